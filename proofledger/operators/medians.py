@@ -24,7 +24,7 @@ _EDGE = 2**62
 def order_bin(v: Column) -> Column:
     """A BIGINT that never decreases as the DOUBLE ``v`` grows; never NULL, finite in number."""
     magnitude = F.floor(F.ln(F.abs(v)) * BINS_PER_E_FOLD) + F.lit(_OFFSET)
-    return (
+    bin_number = (
         F.when(v.isNull(), F.lit(-_EDGE))
         .when(F.isnan(v) | (v == F.lit(float("inf"))), F.lit(_EDGE))
         .when(v == F.lit(float("-inf")), F.lit(-_EDGE))
@@ -32,6 +32,8 @@ def order_bin(v: Column) -> Column:
         .when(v < 0, -magnitude)
         .otherwise(F.lit(0).cast("bigint"))
     )
+    # Declared non-NULL, so a join on the bin adds no filter and both readers share one shuffle.
+    return F.coalesce(bin_number, F.lit(0).cast("bigint"))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:

@@ -178,13 +178,13 @@ def q14(t, s):
                          round_places(F.col("change"), 2).alias("change_from_prev"))
 
 
-def _sparse_rows(t, s):
+def sparse_rows(t, s):
     rows = t.where((F.col("town") == s.sparse_town) & (F.col("flat_type") == s.sparse_type))
     return rows.where(F.col("street_name").isin(*s.sparse_streets)) if s.sparse_streets else rows
 
 
 def q15(t, s):
-    rows = _sparse_rows(t, s).where(years(*s.sparse_years))
+    rows = sparse_rows(t, s).where(years(*s.sparse_years))
     series = exact_median(rows, ["month", "sale_month"], _ppsm(), "med")
     rolled = rolling_median_by_calendar(series, "med", "sale_month", 3, "rolled")
     return rolled.select("month", round_places(F.col("rolled"), 2).alias("rolling_3m_median_ppsm"))
@@ -464,14 +464,14 @@ def q14_rounds_both(t, s):
 
 def q15_row_frame(t, s):
     """Row frame over the whole history, months cut afterwards."""
-    series = exact_median(_sparse_rows(t, s), ["month", "sale_month"], _ppsm(), "med")
+    series = exact_median(sparse_rows(t, s), ["month", "sale_month"], _ppsm(), "med")
     rolled = rolling_median_by_rows(series, "med", "month", 3, "rolled").where(
         F.col("month").between(f"{s.sparse_years[0]}-01", f"{s.sparse_years[1]}-12"))
     return rolled.select("month", round_places(F.col("rolled"), 2).alias("rolling_median"))
 
 
 def q15_row_frame_inside(t, s):
-    series = exact_median(_sparse_rows(t, s).where(years(*s.sparse_years)), ["month"], _ppsm(), "med")
+    series = exact_median(sparse_rows(t, s).where(years(*s.sparse_years)), ["month"], _ppsm(), "med")
     rolled = rolling_median_by_rows(series, "med", "month", 3, "rolled")
     return rolled.select("month", round_places(F.col("rolled"), 2).alias("rolling_median"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workloads import question_queries
+from workloads import question_queries, table_queries
 
-MODULES = [question_queries]
+MODULES = [question_queries, table_queries]
 ENTRIES = {name: entry for module in MODULES for name, entry in module.ENTRIES.items()}
