@@ -234,14 +234,21 @@ def compare_totals(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def contract_hash(questions: DataFrame) -> DataFrame:
-    """Identity of a question set: the hash over its rows' hashes in id order.
+    """Identity of a question set, as one row.
 
-    Rows are hashed where they are; what meets in one place is one digest per question.
+    Questions are hashed where they are, then per bucket in id order, then over the buckets in order,
+    so no task holds more than one bucket's digests or 65,536 bucket digests.
     """
     digest = F.sha2(F.to_json(F.struct(*sorted(questions.columns))), 256)
-    entry = F.struct(F.col("question_id"), digest.alias("digest"))
-    rows = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["digest"])
-    return questions.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("contract_sha256"))
+    hashed = questions.select("question_id", digest.alias("digest"))
+
+    def over(entries: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(entries), lambda e: e["digest"]), "\n"), 256)
+
+    bucket = F.substring(F.sha2("question_id", 256), 1, 4)
+    buckets = hashed.groupBy(bucket.alias("bucket")).agg(
+        over(F.collect_list(F.struct("question_id", "digest"))).alias("digest"))
+    return buckets.agg(over(F.collect_list(F.struct("bucket", "digest"))).alias("contract_sha256"))
 
 
 def identity_differences(stored: DataFrame, now: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from proofledger import schemas
 def read_raw_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Raw records as text plus ``_corrupt``; plain and gzip files alike.
 
+    Records are parsed whole whatever columns a job uses, else a wrong number of fields goes unseen.
     A gzip file cannot be split, so one big ``.csv.gz`` is one task: see ``spread``. Records with
     line breaks inside quotes need ``multi_line``, which also reads each file in one task.
     """
@@ -21,6 +22,7 @@ def read_raw_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", schemas.CORRUPT)
         .option("escape", '"')
+        .option("columnPruning", False)
         .option("multiLine", multi_line)
         .csv(path)
     )
