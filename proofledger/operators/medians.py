@@ -13,27 +13,46 @@ Steps 2 and 3 read the same histogram, so the input is scanned once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS_PER_E_FOLD = 10_000
 _OFFSET = 8_000_000  # above |ln(smallest double)| * BINS_PER_E_FOLD, so bins of positives are positive
 _EDGE = 2**62
 
-
-def order_bin(v: Column) -> Column:
-    """A BIGINT that never decreases as the DOUBLE ``v`` grows; never NULL, finite in number."""
-    magnitude = F.floor(F.ln(F.abs(v)) * BINS_PER_E_FOLD) + F.lit(_OFFSET)
-    bin_number = (
-        F.when(v.isNull(), F.lit(-_EDGE))
-        .when(F.isnan(v) | (v == F.lit(float("inf"))), F.lit(_EDGE))
-        .when(v == F.lit(float("-inf")), F.lit(-_EDGE))
-        .when(v > 0, magnitude)
-        .when(v < 0, -magnitude)
-        .otherwise(F.lit(0).cast("bigint"))
+# A BIGINT that never decreases as the DOUBLE v grows. Declared non-NULL by coalesce, so that the join
+# on it adds no filter and both readers of the histogram share one shuffle.
+ORDER_BIN = f"""coalesce(CASE
+    WHEN v IS NULL THEN -{_EDGE}
+    WHEN isnan(v) OR v = double('inf') THEN {_EDGE}
+    WHEN v = double('-inf') THEN -{_EDGE}
+    WHEN v > 0 THEN floor(ln(v) * {BINS_PER_E_FOLD}) + {_OFFSET}
+    WHEN v < 0 THEN -(floor(ln(-v) * {BINS_PER_E_FOLD}) + {_OFFSET})
+    ELSE 0 END, 0)"""
+
+_MEDIAN = f"""
+    WITH histogram AS (
+      SELECT g, bin, v, count(v) AS n FROM (SELECT g, v, {ORDER_BIN} AS bin FROM {{values}}) GROUP BY g, bin, v
+    ),
+    bins AS (
+      SELECT g, bin, upto - bin_n AS before, (total - 1) div 2 AS low_rank, total div 2 AS high_rank
+      FROM (
+        SELECT g, bin, sum(n) AS bin_n,
+          sum(sum(n)) OVER (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto,
+          sum(sum(n)) OVER (PARTITION BY g) AS total
+        FROM histogram GROUP BY g, bin)
+      WHERE total = 0 OR (upto > (total - 1) div 2 AND upto - bin_n <= total div 2)
+    ),
+    ranked AS (
+      SELECT g, v, n, low_rank, high_rank,
+        before + sum(n) OVER (PARTITION BY g, bin ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto
+      FROM histogram JOIN bins USING (g, bin)
     )
-    # Declared non-NULL, so a join on the bin adds no filter and both readers share one shuffle.
-    return F.coalesce(bin_number, F.lit(0).cast("bigint"))
+    SELECT {{select}}
+      max(v) FILTER (WHERE upto > low_rank AND upto - n <= low_rank) * 0.5D
+        + max(v) FILTER (WHERE upto > high_rank AND upto - n <= high_rank) * 0.5D AS {{name}}
+    FROM ranked {{group}}
+"""
 
 
 def exact_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
@@ -44,32 +63,10 @@ def exact_median(df: DataFrame, keys: list[str], value: Column, name: str) -> Da
     # A struct key compares equal field by field, NULLs included, and is never NULL itself.
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     values = df.select(group.alias("g"), value.cast("double").alias("v"))
-    histogram = values.groupBy("g", order_bin(F.col("v")).alias("bin"), "v").agg(F.count("v").alias("n"))
-
-    running = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        histogram.groupBy("g", "bin")
-        .agg(F.sum("n").alias("bin_n"))
-        .withColumn("upto", F.sum("bin_n").over(running))
-        .withColumn("total", F.sum("bin_n").over(Window.partitionBy("g")))
-        .withColumn("low_rank", F.expr("(total - 1) div 2"))
-        .withColumn("high_rank", F.expr("total div 2"))
-        .where("total = 0 OR (upto > low_rank AND upto - bin_n <= high_rank)")
-        .select("g", "bin", F.expr("upto - bin_n AS before"), "low_rank", "high_rank")
-    )
-
-    in_bin = Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = histogram.join(bins, ["g", "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(in_bin))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank))
-        return F.max(F.when(hit, F.col("v")))
-
-    ends = [at("low_rank").alias("low"), at("high_rank").alias("high")]
-    middle = (F.col("low") * 0.5 + F.col("high") * 0.5).alias(name)
-    if not keys:
-        return ranked.agg(*ends).select(middle)
-    return ranked.groupBy("g").agg(*ends).select(*[F.col(f"g.{k}").alias(k) for k in keys], middle)
+    select = "".join(f"g.`{k}` AS `{k}`, " for k in keys)
+    statement = _MEDIAN.replace("{select}", select).replace("{name}", f"`{name}`")
+    statement = statement.replace("{group}", "GROUP BY g" if keys else "")
+    return df.sparkSession.sql(statement, values=values)
 
 
 def period_medians(df: DataFrame, periods: dict[str, Column], value: Column) -> DataFrame:
