@@ -15,8 +15,10 @@ HAS_MONTHS = "[0-9]+ months?$"
 
 
 def overview(staged: DataFrame) -> DataFrame:
-    return staged.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    """Rows and distinct months, towns, types; counted on the few combinations, not on the rows."""
+    cells = counts_by(staged, "month", "town", "flat_type")
+    return cells.agg(
+        F.sum("n").alias("n_rows"),
         F.count_distinct("month").alias("n_months"),
         F.count_distinct("town").alias("n_towns"),
         F.count_distinct("flat_type").alias("n_types"),
@@ -65,18 +67,21 @@ def last_month(staged: DataFrame) -> DataFrame:
 
 
 def key_uniqueness(staged: DataFrame) -> DataFrame:
-    return staged.agg(
-        F.count_distinct("block").alias("block_strings"),
-        F.count_distinct("town", "street_name", "block").alias("physical_blocks"),
-    )
+    """Distinct block strings against distinct (town, street, block)."""
+    physical = staged.select("town", "street_name", "block").where("block IS NOT NULL").distinct()
+    complete = F.col("town").isNotNull() & F.col("street_name").isNotNull()
+    return physical.agg(F.count_distinct("block").alias("block_strings"),
+                        F.count_if(complete).alias("physical_blocks"))
 
 
 def block_spread(staged: DataFrame) -> DataFrame:
     """Per block string: rows, towns and streets it occurs in."""
-    return staged.groupBy("block").agg(
+    physical = counts_by(staged, "block", "town", "street_name")
+    complete = F.col("town").isNotNull() & F.col("street_name").isNotNull()
+    return physical.groupBy("block").agg(
         F.count_distinct("town").alias("towns"),
-        F.count_distinct("town", "street_name").alias("streets"),
-        F.count(F.lit(1)).alias("n"),
+        F.count_if(complete).alias("streets"),
+        F.sum("n").alias("n"),
     )
 
 

@@ -62,7 +62,7 @@ def repinned(questions: DataFrame, recomputed: DataFrame) -> DataFrame:
 # ---- classification ----
 
 
-def classified(attempts: DataFrame, references: DataFrame) -> DataFrame:
+def classified(attempts: DataFrame, references: DataFrame, cap: int = schemas.ROW_CAP) -> DataFrame:
     """Adds ``mismatch`` ('' for a match), ``reason`` and ``ok`` to each attempt.
 
     attempts: question_id, attempt_n, outcome, note, rows, sha256, and optionally defect, oversized.
@@ -91,7 +91,7 @@ def classified(attempts: DataFrame, references: DataFrame) -> DataFrame:
 
     reason = (
         F.when(F.col("mismatch") == "", F.lit(""))
-        .when(over, F.lit(f"row cap exceeded ({schemas.ROW_CAP})"))
+        .when(over, F.lit(f"row cap exceeded ({cap})"))
         .when(F.col("mismatch") == "result_contract_error", F.coalesce("defect", "note"))
         .when(F.col("mismatch") == "wrong_row_count",
               F.concat(F.lit("rows "), text("rows"), F.lit(" != "), text("want_rows")))
@@ -151,7 +151,7 @@ def by_trap(v: DataFrame) -> DataFrame:
     """Both trap values, zero-filled."""
     both = v.sparkSession.createDataFrame([("true",), ("false",)], "trap STRING")
     seen = v.groupBy("trap").agg(F.count(F.lit(1)).alias("n"), _passed())
-    return F.broadcast(both).join(seen, "trap", "left").na.fill(0)
+    return both.join(seen, "trap", "left").na.fill(0)
 
 
 def mismatch_counts(v: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def type_chart(v: DataFrame, type_order: list[str] | None = None) -> DataFrame:
     """Passed and failed per type; ``place`` follows the fixed type order, unknown types are left out."""
     order = type_order or schemas.QUESTION_TYPES
     places = v.sparkSession.createDataFrame([(t, i) for i, t in enumerate(order)], "type STRING, place INT")
-    return by_type(v).join(F.broadcast(places), "type").select(
+    return by_type(v).join(places, "type").select(
         "place", "type", "passed", (F.col("n") - F.col("passed")).alias("failed"))
 
 
@@ -181,7 +181,7 @@ def failure_chart(v: DataFrame) -> DataFrame:
                                              "mismatch_type STRING, place INT")
     counts = mismatch_counts(v)
     largest = counts.agg(F.max_by("mismatch_type", F.struct(F.col("n"), _name_descending())).alias("largest"))
-    filled = F.broadcast(classes).join(counts, "mismatch_type", "left").na.fill(0, ["n"])
+    filled = classes.join(counts, "mismatch_type", "left").na.fill(0, ["n"])
     return filled.crossJoin(F.broadcast(largest)).select(
         "place", "mismatch_type", "n", F.col("mismatch_type").eqNullSafe(F.col("largest")).alias("is_largest"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofledger.functions.parse import MONTH_TEXT
@@ -23,13 +23,22 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def coverage(raw_text: DataFrame) -> DataFrame:
     """rows, month_min, month_max and distinct months over well-formed month text."""
+    return raw_text.agg(*_coverage())
+
+
+def coverage_by_file(raw_text: DataFrame) -> DataFrame:
+    """The same per source file, for records that carry a ``file`` column."""
+    return raw_text.groupBy("file").agg(*_coverage())
+
+
+def _coverage() -> list[Column]:
     month = F.when(F.col("month").rlike(MONTH_TEXT), F.col("month"))
-    return raw_text.agg(
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.min(month).alias("month_min"),
         F.max(month).alias("month_max"),
         F.count_distinct(month).alias("months"),
-    )
+    ]
 
 
 def with_receipt_time(manifest: DataFrame, previous: DataFrame, now: str) -> DataFrame:

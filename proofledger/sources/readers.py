@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from proofledger import schemas
 
 
-def read_raw_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_raw_text(spark: SparkSession, path: str, multi_line: bool = False, check_header: bool = True) -> DataFrame:
     """Raw records as text plus ``_corrupt``; plain and gzip files alike.
 
     Records are parsed whole whatever columns a job uses, else a wrong number of fields goes unseen.
     A gzip file cannot be split, so one big ``.csv.gz`` is one task: see ``spread``. Records with
-    line breaks inside quotes need ``multi_line``, which also reads each file in one task.
+    line breaks inside quotes need ``multi_line``, which also reads each file in one task. A wrong header
+    fails the read unless ``check_header`` is off, as it is where headers are counted as violations.
     """
     return (
         spark.read.schema(schemas.RAW_TEXT_SCHEMA)
         .option("header", True)
-        .option("enforceSchema", False)
+        .option("enforceSchema", not check_header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", schemas.CORRUPT)
         .option("escape", '"')

@@ -296,6 +296,15 @@ def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_result_rows(changed, 1)
 
 
+def order_rows(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
+    """Reference (0) or candidate (1) rows of all orders from the result table, written once."""
+    def make(path: str) -> None:
+        both = order_references(spark, sf_dir).unionByName(order_attempts(spark, sf_dir))
+        both.write.mode("errorifexists").partitionBy("attempt_n").parquet(path)
+
+    return spark.read.parquet(made_once(spark, sf_dir, "order_rows", make)).where(F.col("attempt_n") == attempt_n)
+
+
 def order_log(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
     """One executed attempt per order."""
     ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id")).distinct()

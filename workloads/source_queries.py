@@ -47,7 +47,7 @@ def log_scan(spark, sf_dir):
 
 def question_scan(spark, sf_dir):
     def make(path):
-        sinks.write_json(an.event_questions(spark, sf_dir), path)
+        sinks.write_json(questions(spark, sf_dir), path)
 
     read = readers.read_questions(spark, an.made_once(spark, sf_dir, "questions", make))
     return read.select("question_id", "type", "trap", "rows", "sha256")

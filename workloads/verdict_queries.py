@@ -20,35 +20,34 @@ from workloads import analogue as an
 
 
 def order_fingerprints(spark, sf_dir, version):
-    prints = fingerprints(an.order_references(spark, sf_dir), version, cap=an.ORDER_CAP)
+    prints = fingerprints(an.order_rows(spark, sf_dir, 0), version, cap=an.ORDER_CAP)
     return prints.select("question_id", "rows", "sha256", "oversized")
 
 
 def _order_prints(spark, sf_dir):
     references = with_empty_results(an.order_log(spark, sf_dir, 0),
-                                    fingerprints(an.order_references(spark, sf_dir), 2, cap=an.ORDER_CAP), 2)
+                                    fingerprints(an.order_rows(spark, sf_dir, 0), 2, cap=an.ORDER_CAP), 2)
     attempts = with_empty_results(an.order_log(spark, sf_dir, 1),
-                                  fingerprints(an.order_attempts(spark, sf_dir), 2, cap=an.ORDER_CAP), 2)
+                                  fingerprints(an.order_rows(spark, sf_dir, 1), 2, cap=an.ORDER_CAP), 2)
     return references, attempts
 
 
 def order_classes(spark, sf_dir):
     """The class of every changed result, with its note."""
     references, attempts = _order_prints(spark, sf_dir)
-    judged = vd.classified(attempts, references)
-    reason = F.regexp_replace("reason", r"\(10000\)", f"({an.ORDER_CAP})")
-    return judged.select("question_id", "mismatch", reason.alias("reason"), "ok")
+    judged = vd.classified(attempts, references, an.ORDER_CAP)
+    return judged.select("question_id", "mismatch", "reason", "ok")
 
 
 def typed_comparison(spark, sf_dir):
     references, attempts = _order_prints(spark, sf_dir)
-    rows = an.order_references(spark, sf_dir).unionByName(an.order_attempts(spark, sf_dir))
+    rows = an.order_rows(spark, sf_dir, 0).unionByName(an.order_rows(spark, sf_dir, 1))
     return rp.typed_comparison(references.unionByName(attempts), rows)
 
 
 def order_differences(spark, sf_dir, extra_rows=False):
     """Differing positions per order, with rows only one side has when ``extra_rows``."""
-    found = differing_positions(an.order_references(spark, sf_dir), an.order_attempts(spark, sf_dir),
+    found = differing_positions(an.order_rows(spark, sf_dir, 0), an.order_rows(spark, sf_dir, 1),
                                 ["question_id"], "line_v1", extra_rows)
     return found.select("question_id", "pos", F.col("reference_line").isNotNull().alias("in_reference"),
                         F.col("candidate_line").isNotNull().alias("in_candidate"))
@@ -58,7 +57,11 @@ def order_differences(spark, sf_dir, extra_rows=False):
 
 
 def questions(spark, sf_dir):
-    return an.event_questions(spark, sf_dir)
+    """The question set with its pinned answers, computed and written once."""
+    def make(path):
+        an.event_questions(spark, sf_dir).write.mode("errorifexists").parquet(path)
+
+    return spark.read.parquet(an.made_once(spark, sf_dir, "event_questions", make))
 
 
 def records(spark, sf_dir):
