@@ -18,6 +18,16 @@ def round_places(x: Column, places: int) -> Column:
     return F.round(x.cast("double") * scale, 0) / scale
 
 
+def mean(x: Column, places: int = 8) -> Column:
+    """Mean over values held at ``places`` decimals.
+
+    A DOUBLE sum depends on the order in which tasks finish, and its last bit can flip a rounded
+    answer and with it the answer's fingerprint. DECIMAL addition gives the same sum in any order.
+    """
+    total = F.sum(x.cast(f"decimal(28,{places})")).cast("double")
+    return total / F.nullif(F.count(x).cast("double"), F.lit(0.0))
+
+
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0).cast("double"))
 

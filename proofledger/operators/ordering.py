@@ -36,3 +36,16 @@ def with_position(df: DataFrame, order_by: list[str] | None, cap: int) -> DataFr
     order = order_columns(df, order_by)
     kept = df.orderBy(*order).limit(cap + 1)
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint") - 1)
+
+
+def with_own_position(df: DataFrame, cap: int) -> DataFrame:
+    """The same for a query that orders itself: ``pos`` follows its own ORDER BY.
+
+    A limit ends in one partition that keeps the order, where the generated ids are 0, 1, 2, ...; an
+    id from any other partition would be huge, and stops the job.
+    """
+    seq = F.monotonically_increasing_id()
+    numbered = df.limit(cap + 1).withColumn("pos", seq)
+    one_partition = F.when(F.col("pos") <= cap, F.col("pos")).otherwise(
+        F.raise_error(F.lit("result rows are not in one partition")).cast("bigint"))
+    return numbered.withColumn("pos", one_partition)

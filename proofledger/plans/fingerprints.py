@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofledger.functions.cells import RECORD_SEPARATOR, plain_text, row_defect, row_line
-from proofledger.operators.ordering import with_position
+from proofledger.operators.ordering import with_own_position, with_position
 from proofledger.schemas import ROW_CAP
 
 RESULT_KEY = ["question_id", "attempt_n"]
@@ -27,10 +27,13 @@ def line_columns(df: DataFrame, columns: list[str]) -> list[Column]:
 
 
 def result_rows(df: DataFrame, question_id: str, attempt_n: int, order_by: list[str] | None = None,
-                cap: int = ROW_CAP) -> DataFrame:
-    """One result in the long form, at most ``cap + 1`` rows of it."""
+                cap: int = ROW_CAP, own_order: bool = False) -> DataFrame:
+    """One result in the long form, at most ``cap + 1`` rows of it.
+
+    Its order is ``order_by`` and then all columns, or what the query itself ends with (``own_order``).
+    """
     columns = df.columns
-    placed = with_position(df, order_by, cap)
+    placed = with_own_position(df, cap) if own_order else with_position(df, order_by, cap)
     return placed.select(F.lit(question_id).alias("question_id"), F.lit(attempt_n).alias("attempt_n"), "pos",
                          *line_columns(placed, columns))
 

@@ -43,10 +43,10 @@ def manifest_row(spark: SparkSession, source: str, dataset: dict[str, str], now:
 
 
 def text_runs(spark: SparkSession, attempts: DataFrame, as_of: str | None) -> list[rp.Run]:
-    """Runs from stored query texts: question_id, attempt_n, sql, order_by. Each text is a job of its own
-    anyway, so the texts are streamed to the driver that submits them."""
+    """Runs from stored query texts: question_id, attempt_n, sql, order_by (NULL: the text orders itself).
+    Each text is a job of its own, so the texts are streamed to the driver that submits them."""
     chosen = attempts.select("question_id", "attempt_n", "sql", "order_by").orderBy("question_id", "attempt_n")
-    return [rp.sql_run(spark, r.question_id, r.attempt_n, r.sql, r.order_by or (), as_of)
+    return [rp.sql_run(spark, r.question_id, r.attempt_n, r.sql, r.order_by, as_of)
             for r in chosen.toLocalIterator()]
 
 
@@ -67,7 +67,8 @@ def verify_log(spark: SparkSession, questions: DataFrame, log: DataFrame, work:
     vd.require_candidates(questions, records)
 
     own = questions.select("question_id", F.lit(rp.REFERENCE).alias("attempt_n"), "sql", "order_by")
-    stored = vd.expand_attempts(records).join(questions.select("question_id", "order_by"), "question_id")
+    stored = vd.expand_attempts(records).join(questions.select("question_id"), "question_id").withColumn(
+        "order_by", F.lit(None).cast("array<string>"))
     runs = text_runs(spark, own, meta.run_date) + text_runs(spark, stored, meta.run_date)
     attempts, rows = rp.replay(spark, runs, work, cap)
     found = rp.fingerprinted(attempts, rows, version, cap)

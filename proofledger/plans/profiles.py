@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofledger import schemas
-from proofledger.functions.numeric import round_places
+from proofledger.functions.numeric import mean, round_places
 from proofledger.operators.medians import exact_median
 from proofledger.operators.ordering import top
 from proofledger.operators.windows import rolling_median_by_calendar, rolling_median_by_rows
@@ -136,8 +136,8 @@ def lease_component(staged: DataFrame) -> DataFrame:
     years_only = F.floor("remaining_lease_years")
     return staged.agg(
         F.count_if(F.col("remaining_lease").rlike(HAS_MONTHS)).alias("with_months"),
-        round_places(F.avg("remaining_lease_years"), 1).alias("mean_years"),
-        round_places(F.avg(years_only), 1).alias("mean_years_only"),
+        round_places(mean(F.col("remaining_lease_years")), 1).alias("mean_years"),
+        round_places(mean(years_only, 0), 1).alias("mean_years_only"),
     )
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofledger.functions.numeric import round_places, share_pct
+from proofledger.functions.numeric import mean, round_places, share_pct
 from proofledger.functions.parse import year_text
 from proofledger.operators.medians import exact_median, period_medians
 from proofledger.operators.ordering import ordered, top
@@ -134,7 +134,7 @@ def q05(t, s):
 
 def q06(t, s):
     rows = t.where(years(s.year) & (F.col("flat_type") == s.area_type))
-    return rows.agg(round_places(F.avg("floor_area_sqm"), 1).alias("avg_area_sqm"))
+    return rows.agg(round_places(mean(F.col("floor_area_sqm"), 4), 1).alias("avg_area_sqm"))
 
 
 def q07(t, s):
@@ -157,8 +157,8 @@ def q10(t, s):
 
 def q11(t, s):
     rows = t.where(years(s.year) & (F.col("flat_type") == s.main_type))
-    mean = rows.groupBy("town").agg(round_places(F.avg("resale_price"), 2).alias("avg_price"))
-    return top(mean, ["avg_price desc", "town"], 5)
+    prices = rows.groupBy("town").agg(round_places(mean(F.col("resale_price"), 4), 2).alias("avg_price"))
+    return top(prices, ["avg_price desc", "town"], 5)
 
 
 def q12(t, s):
@@ -211,7 +211,7 @@ def q18(t, s):
 
 def q19(t, s):
     rows = t.where(years(s.year) & (F.col("remaining_lease_years") >= s.min_lease))
-    return rows.agg(round_places(F.avg(_ppsm()), 2).alias("avg_ppsm"))
+    return rows.agg(round_places(mean(_ppsm()), 2).alias("avg_ppsm"))
 
 
 def q20(t, s):
@@ -245,18 +245,18 @@ def q24(t, s):
 
 def q25(t, s):
     rows = t.where(years(s.year) & (F.col("block") == s.block))
-    return rows.agg(round_places(F.avg("resale_price"), 2).alias("avg_price"))
+    return rows.agg(round_places(mean(F.col("resale_price"), 4), 2).alias("avg_price"))
 
 
 def q26(t, s):
     rows = t.where(years(s.lease_year) & (F.col("flat_type") == s.main_type))
-    return rows.agg(round_places(F.avg("remaining_lease_years"), 1).alias("avg_lease_years"))
+    return rows.agg(round_places(mean(F.col("remaining_lease_years")), 1).alias("avg_lease_years"))
 
 
 def q27(t, s):
     by_month = t.where(years(s.year)).groupBy("month").agg(_count())
-    mean = by_month.agg(F.avg("n").alias("mean_n"))
-    return by_month.crossJoin(F.broadcast(mean)).where("n > mean_n").agg(_count())
+    average = by_month.agg(F.avg("n").alias("mean_n"))
+    return by_month.crossJoin(F.broadcast(average)).where("n > mean_n").agg(_count())
 
 
 def q28(t, s):
@@ -396,18 +396,18 @@ def q23_pivot(t, s):
 
 def q25_like(t, s):
     rows = t.where(like_year(s.year) & (F.col("block") == s.block))
-    return rows.agg(round_places(F.avg("resale_price"), 2).alias("avg_price"))
+    return rows.agg(round_places(mean(F.col("resale_price"), 4), 2).alias("avg_price"))
 
 
 def q26_like(t, s):
     rows = t.where(like_year(s.lease_year) & (F.col("flat_type") == s.main_type))
-    return rows.agg(round_places(F.avg("remaining_lease_years"), 1).alias("avg_lease"))
+    return rows.agg(round_places(mean(F.col("remaining_lease_years")), 1).alias("avg_lease"))
 
 
 def q27_joined(t, s):
     by_month = t.where(like_year(s.year)).groupBy("month").agg(_count())
-    mean = by_month.agg(F.avg("n").alias("mean_n"))
-    return by_month.join(F.broadcast(mean), F.col("n") > F.col("mean_n")).agg(_count())
+    average = by_month.agg(F.avg("n").alias("mean_n"))
+    return by_month.join(F.broadcast(average), F.col("n") > F.col("mean_n")).agg(_count())
 
 
 def q28_like(t, s):
@@ -498,7 +498,7 @@ def q24_mean_by_clock(as_of: str) -> Build:
     def build(t, s):
         this_year = F.year(F.lit(as_of).cast("date"))
         by_year = t.where(F.col("sale_year") >= this_year - 2).groupBy("sale_year").agg(
-            F.avg("resale_price").alias("mean"))
+            mean(F.col("resale_price"), 4).alias("mean"))
         # Only the last two years are kept before the difference, as the mistaken query does.
         change = change_from_previous(by_year.where(F.col("sale_year") >= this_year - 1), "mean", "sale_year", "d")
         return change.where("d IS NOT NULL").select(round_places(F.col("d"), 0).alias("price_increase"))
@@ -510,7 +510,7 @@ def q24_mean_by_last_date(t, s):
     last = t.agg(F.max("sale_date").alias("last"), F.max("sale_year").alias("last_year"))
     rows = t.select("sale_date", "sale_year", "resale_price").crossJoin(F.broadcast(last)).where(
         F.col("sale_date") >= F.add_months("last", -24))
-    by_year = rows.groupBy("sale_year", "last_year").agg(F.avg("resale_price").alias("mean"))
+    by_year = rows.groupBy("sale_year", "last_year").agg(mean(F.col("resale_price"), 4).alias("mean"))
     change = change_from_previous(by_year, "mean", "sale_year", "d").where("sale_year >= last_year - 1")
     return change.where("d IS NOT NULL").agg(round_places(F.max_by("d", "sale_year"), 0).alias("price_increase"))
 

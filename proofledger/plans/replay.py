@@ -26,20 +26,24 @@ ROWS_SCHEMA = ("pos BIGINT, line_v1 STRING, line_v2 STRING, defect STRING, key S
 
 @dataclass(frozen=True)
 class Run:
-    """One answer to compute: a lazy DataFrame builder and the order of its rows."""
+    """One answer to compute: a lazy DataFrame builder and the order of its rows.
+
+    ``order_by`` None keeps the order the query itself ends with.
+    """
 
     question_id: str
     attempt_n: int
     build: Callable[[], DataFrame]
-    order_by: tuple[str, ...] = ()
+    order_by: tuple[str, ...] | None = ()
 
 
-def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, order_by: Iterable[str] = (),
+def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, order_by: Iterable[str] | None = None,
             as_of: str | None = None, **tables: DataFrame) -> Run:
     """A stored query text. ``:as_of`` is the run date, so a replay does not depend on the clock;
     tables are named in braces. Only query text owned by the caller is run."""
     args = {"as_of": as_of} if as_of else None
-    return Run(question_id, attempt_n, lambda: spark.sql(body, args=args, **tables), tuple(order_by))
+    return Run(question_id, attempt_n, lambda: spark.sql(body, args=args, **tables),
+               None if order_by is None else tuple(order_by))
 
 
 def _note(error: Exception) -> str:
@@ -49,7 +53,8 @@ def _note(error: Exception) -> str:
 def execute(run: Run, path: str, cap: int = ROW_CAP) -> tuple[str, int, str, str]:
     """Write one answer's rows; returns its attempt record. A failing query is an outcome, not a crash."""
     try:
-        rows = result_rows(run.build(), run.question_id, run.attempt_n, list(run.order_by), cap)
+        rows = result_rows(run.build(), run.question_id, run.attempt_n, list(run.order_by or ()), cap,
+                           own_order=run.order_by is None)
         rows.drop(*RESULT_KEY).write.mode("errorifexists").parquet(
             f"{path}/question_id={run.question_id}/attempt_n={run.attempt_n}")
     except (AnalysisException, PySparkException) as error:

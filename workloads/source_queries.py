@@ -18,6 +18,7 @@ from workloads.verdict_queries import (
     VERDICT_SQL,
     VOLUME_SQL,
     WITH_VERDICTS,
+    questions,
     typed_comparison,
     verdicts,
 )

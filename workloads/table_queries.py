@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofledger.functions.numeric import round_places, safe_ratio, share_pct
+from proofledger.functions.numeric import mean, round_places, safe_ratio, share_pct
 from proofledger.functions.parse import STOREY_HIGH, STOREY_LOW, lease_years, matched_int, month_date
 from proofledger.operators import windows as wn
 from proofledger.operators.medians import exact_median, period_medians
@@ -251,7 +251,7 @@ def sql_percentile(spark, sf_dir):
 def means_and_sums(spark, sf_dir):
     t = an.staged(spark, sf_dir)
     return t.groupBy("flat_type").agg(
-        round_places(F.avg("resale_price"), 2).alias("mean_price"),
+        round_places(mean(F.col("resale_price"), 4), 2).alias("mean_price"),
         F.sum("storey_low").alias("sum_storey"),
         F.min("resale_price").alias("min_price"),
         F.max("resale_price").alias("max_price"))
@@ -266,8 +266,8 @@ def composite_distinct(spark, sf_dir):
 
 def months_above_mean(spark, sf_dir):
     by_month = an.staged(spark, sf_dir).groupBy("town", "month").agg(F.count(F.lit(1)).alias("n"))
-    mean = by_month.groupBy("town").agg(F.avg("n").alias("mean_n"))
-    return by_month.join(mean, "town").where("n > mean_n").groupBy("town").agg(F.count(F.lit(1)).alias("months"))
+    average = by_month.groupBy("town").agg(F.avg("n").alias("mean_n"))
+    return by_month.join(average, "town").where("n > mean_n").groupBy("town").agg(F.count(F.lit(1)).alias("months"))
 
 
 def max_pivot(spark, sf_dir):
@@ -450,8 +450,8 @@ ENTRIES: dict[str, tuple] = {
         FROM inside JOIN history USING (month)""")),
     "profile_lease_component": (lease_component, sql.resale(f"""
         SELECT count(*) FILTER (WHERE remaining_lease LIKE '%month%') AS with_months,
-          round(avg(remaining_lease_years), 1) AS mean_years,
-          round(avg(floor(remaining_lease_years)), 1) AS mean_years_only
+          round({sql.mean('remaining_lease_years')}, 1) AS mean_years,
+          round({sql.mean('floor(remaining_lease_years)', 0)}, 1) AS mean_years_only
         FROM resale WHERE {sql.year(S.lease_year)}""")),
     "profile_top_block": (top_block, sql.resale(f"""
         SELECT * FROM (SELECT 'block string' AS grain, NULL::VARCHAR AS town, NULL::VARCHAR AS street_name, block,
@@ -483,8 +483,8 @@ ENTRIES: dict[str, tuple] = {
     "aggregate_percentile_cont": (sql_percentile, sql.resale("""
         SELECT town, median(n) AS median_monthly_sales
         FROM (SELECT town, count(*) AS n FROM resale GROUP BY town, month) GROUP BY town""")),
-    "aggregate_means_and_sums": (means_and_sums, sql.resale("""
-        SELECT flat_type, round(avg(resale_price), 2) AS mean_price, CAST(sum(storey_low) AS BIGINT) AS sum_storey,
+    "aggregate_means_and_sums": (means_and_sums, sql.resale(f"""
+        SELECT flat_type, round({sql.mean('resale_price', 4)}, 2) AS mean_price, CAST(sum(storey_low) AS BIGINT) AS sum_storey,
           min(resale_price) AS min_price, max(resale_price) AS max_price FROM resale GROUP BY 1""")),
     "aggregate_composite_distinct": (composite_distinct, sql.resale("""
         SELECT town, count(DISTINCT block) AS blocks, count(DISTINCT street_name || '|' || block) AS physical_blocks
