@@ -42,6 +42,21 @@ def kind_of(dtype: T.DataType) -> str:
     return "unsupported"
 
 
+def _cents_text(x: Column) -> Column:
+    """Two-decimal text of a DOUBLE below 9e18: whole part and fraction are split without error."""
+    whole = F.floor(F.abs(x))
+    cents = F.rint((F.abs(x) - whole) * 100.0).cast("bigint")
+    carried = whole + F.when(cents == 100, 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.concat(sign, carried.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def _no_tie(x: Column) -> Column:
+    """The third decimal decides clearly, so every rounding rule gives the same cents."""
+    scaled = (F.abs(x) - F.floor(F.abs(x))) * 100.0
+    return (x != 0) & (F.abs(scaled - F.rint(scaled)) < 0.4999)
+
+
 def plain_text(c: Column, dtype: T.DataType) -> Column:
     """Version 1 text of a cell."""
     kind = kind_of(dtype)
@@ -50,32 +65,33 @@ def plain_text(c: Column, dtype: T.DataType) -> Column:
     if kind == "number":
         x = c.cast("double")
         text = (
-            F.when(F.isnan(x), F.lit("nan"))
+            # From 2**33 on the fraction has few enough bits for an exact product, ties included.
+            F.when((F.abs(x) < 9e18) & (_no_tie(x) | (F.abs(x) >= 2.0**33)), _cents_text(x))
+            .when(F.isnan(x), F.lit("nan"))
             .when(x == F.lit(float("inf")), F.lit("inf"))
             .when(x == F.lit(float("-inf")), F.lit("-inf"))
             .otherwise(F.call_function("format_number", x, F.lit("0.00")))
         )
     elif kind in ("date", "datetime"):
-        text = F.date_format(c, "yyyy-MM-dd")
+        text = F.substring(c.cast("string"), 1, 10)
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("null"))
 
 
 def _two_decimals(c: Column, dtype: T.DataType) -> Column:
+    """Decimal rounding of the shortest decimal text, ties to even; negative zero only for x < 0."""
     if isinstance(dtype, _INTEGRAL):
         return F.concat(c.cast("string"), F.lit(".00"))
     if isinstance(dtype, T.DecimalType):
-        rounded = F.bround(c, 2).cast("decimal(38,2)")
-        negative = c < 0
-    else:
-        x = c.cast("double")
-        # From 1e15 on a double has at most one digit after the point, so two decimals hold it.
-        fine = F.bround(F.when(F.abs(x) < 1e15, x).try_cast("decimal(38,18)"), 2).cast("decimal(38,2)")
-        rounded = F.coalesce(fine, x.try_cast("decimal(38,2)"))
-        negative = x < 0
-    sign = F.when(negative & (rounded == 0), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, rounded.cast("string"))
+        rounded = F.bround(c, 2).try_cast("decimal(38,2)")
+        return F.concat(F.when((c < 0) & (rounded == 0), "-").otherwise(""), rounded.cast("string"))
+    x = c.cast("double")
+    # From 1e15 on a double has at most one digit after the point, so two decimals hold it.
+    fine = F.bround(x.try_cast("decimal(38,18)"), 2).cast("decimal(38,2)")
+    rounded = F.when(F.abs(x) < 1e15, fine).otherwise(x.try_cast("decimal(38,2)"))
+    near_tie = F.concat(F.when((x < 0) & (rounded == 0), "-").otherwise(""), rounded.cast("string"))
+    return F.when((F.abs(x) < 1e9) & _no_tie(x), _cents_text(x)).otherwise(near_tie)
 
 
 def json_text(s: Column) -> Column:
@@ -98,28 +114,28 @@ def typed_pair(c: Column, dtype: T.DataType) -> Column:
     elif kind == "number":
         body = F.concat(F.lit('"'), _two_decimals(c, dtype), F.lit('"'))
     elif kind == "datetime":
-        micros = F.date_format(c, "SSSSSS")
-        fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
-        body = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit('"'))
+        # Spark drops trailing zeros of the fraction; ISO text has six digits or none.
+        iso = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+        body = F.concat(F.lit('"'), F.when(F.length(iso) > 19, F.rpad(iso, 26, "0")).otherwise(iso), F.lit('"'))
     elif kind == "date":
-        body = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd"), F.lit('"'))
+        body = F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
     else:
         body = json_text(c.cast("string"))
     pair = F.concat(F.lit(f'["{kind}",'), body, F.lit("]"))
     return F.when(c.isNull(), F.lit('["null"]')).otherwise(pair)
 
 
-def contract_defect(c: Column, dtype: T.DataType) -> Column:
-    """Why a cell cannot be serialized, NULL when it can."""
+def contract_defect(c: Column, dtype: T.DataType) -> Column | None:
+    """Why a cell cannot be serialized, NULL when it can; None for a type that always can."""
     kind = kind_of(dtype)
     if kind == "unsupported":
         return F.when(c.isNotNull(), F.lit(f"TypeError: unsupported result type: {dtype.simpleString()}"))
-    if kind == "number" and not isinstance(dtype, _INTEGRAL):
-        bad = F.when(typed_pair(c, dtype).isNull(), F.lit("ValueError: result number out of range"))
-        if isinstance(dtype, _FLOATING):
-            return F.when(_not_finite(c), F.lit("ValueError: non-finite result number")).otherwise(bad)
-        return bad
-    return F.lit(None).cast("string")
+    too_large = F.lit("ValueError: result number out of range")
+    if isinstance(dtype, _FLOATING):
+        return F.when(_not_finite(c), F.lit("ValueError: non-finite result number")).when(F.abs(c) >= 1e36, too_large)
+    if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale > 36:
+        return F.when(F.abs(c) >= F.lit("1" + "0" * 36).cast("decimal(38,0)"), too_large)
+    return None
 
 
 def row_line(df: DataFrame, columns: list[str], version: int) -> Column:
@@ -136,4 +152,5 @@ def row_line(df: DataFrame, columns: list[str], version: int) -> Column:
 
 def row_defect(df: DataFrame, columns: list[str]) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
-    return F.coalesce(*[contract_defect(df[c], types[c]) for c in columns], F.lit(None).cast("string"))
+    defects = [contract_defect(df[c], types[c]) for c in columns]
+    return F.coalesce(*[d for d in defects if d is not None], F.lit(None).cast("string"))

@@ -20,7 +20,7 @@ def build_table(spark: SparkSession, source: str, root: str, as_of: str, publish
     contract.require_clean(contract.contract_checks(spark, source, floors), "raw source validation")
     typed = readers.typed_raw(readers.read_raw_text(spark, source))
     receipt = manifest.file_manifest(spark, source)
-    clean, outcome = publish.publish(spark, staging.stage(typed), root, receipt, staging.accounting(typed),
+    clean, outcome = publish.publish(spark, staging.stage(typed, for_writing=True), root, receipt, staging.accounting(typed),
                                      as_of, first_day, published_at)
     if not clean:
         contract.require_clean(outcome, "table checks")

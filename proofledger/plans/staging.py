@@ -48,9 +48,16 @@ def derive(typed: DataFrame) -> DataFrame:
     )
 
 
-def stage(typed: DataFrame) -> DataFrame:
-    """Derived rows of the records no rule excludes; nothing is coerced to a default."""
-    return derive(typed.where(~excluded()))
+def stage(typed: DataFrame, for_writing: bool = False) -> DataFrame:
+    """Derived rows of the records no rule excludes; nothing is coerced to a default.
+
+    ``for_writing`` brings each year's records together first, in partitions of even size: AQE splits a
+    hot year and joins small ones. It moves the eleven raw columns, and the rest is derived afterwards.
+    """
+    kept = typed.where(~excluded())
+    if for_writing:
+        kept = kept.withColumn("_year", F.substring("month", 1, 4)).hint("rebalance", "_year")
+    return derive(kept)
 
 
 def exclusion_counts(typed: DataFrame) -> DataFrame:

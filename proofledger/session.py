@@ -18,6 +18,8 @@ def build_session(app_name: str = "proofledger", master: str | None = None, **co
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Result text is long generated code; above this size the JVM would only interpret it.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)

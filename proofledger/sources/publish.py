@@ -24,10 +24,9 @@ PUBLISHED_SCHEMA = "seq BIGINT, version STRING, published_at STRING"
 
 
 def write_staged(staged: DataFrame, path: str) -> None:
-    """Partitioned by year, files evened out by AQE (a hot year is split), sorted for row-group skipping."""
+    """Partitioned by year and sorted inside a file, so that row groups of other towns are skipped."""
     (
-        staged.hint("rebalance", "sale_year")
-        .sortWithinPartitions("sale_year", "town", "flat_type", "month")
+        staged.sortWithinPartitions("sale_year", "town", "flat_type", "month")
         .write.mode("errorifexists")
         .partitionBy("sale_year")
         .parquet(path)

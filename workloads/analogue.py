@@ -126,13 +126,21 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return work_path(spark, what, uuid.uuid4().hex)
 
 
+def raw_table(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+    """The raw records, joined once and landed in files of even size."""
+    def make(path: str) -> None:
+        raw_sales(spark, sf_dir, dirty).hint("rebalance").write.mode("errorifexists").parquet(path)
+
+    return spark.read.parquet(made_once(spark, sf_dir, f"landed_{'dirty' if dirty else 'clean'}", make))
+
+
 def staged_root(spark: SparkSession, sf_dir: str) -> str:
     """The staged table, written, checked and published through the library's own path."""
     def make(path: str) -> None:
-        raw = raw_sales(spark, sf_dir)
+        raw = raw_table(spark, sf_dir)
         receipt = file_manifest(spark, sf_dir, "lineitem.parquet")
         counted = staging.accounting(raw)
-        clean, results = publish.publish(spark, staging.stage(raw), path, receipt, counted, LAST_DAY, FIRST_DAY,
+        clean, results = publish.publish(spark, staging.stage(raw, for_writing=True), path, receipt, counted, LAST_DAY, FIRST_DAY,
                                          f"{AS_OF}T00:00:00Z")
         if not clean:
             raise ValueError(f"staging failed: {results.where('violations > 0').collect()}")
@@ -154,7 +162,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_csv(spark: SparkSession, sf_dir: str, dirty: bool = False, codec: str = "none") -> str:
     """The raw records as delimited files with a header."""
     def make(path: str) -> None:
-        (raw_sales(spark, sf_dir, dirty).write.mode("errorifexists").option("header", True)
+        (raw_table(spark, sf_dir, dirty).write.mode("errorifexists").option("header", True)
          .option("compression", codec).option("escape", '"').csv(path))
 
     return made_once(spark, sf_dir, f"raw_{'dirty' if dirty else 'clean'}_{codec}", make)

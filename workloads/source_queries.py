@@ -70,7 +70,7 @@ def broken_csv(spark, sf_dir):
     Every file starts with the header, put before the first line of each task's output.
     """
     def make(path):
-        raw = an.raw_sales(spark, sf_dir, dirty=True)
+        raw = an.raw_table(spark, sf_dir, dirty=True)
         brand, block = F.col("street_name"), F.col("block")
         price = (F.when((brand == "Brand#9") & (block == "7"), F.lit("inf"))
                  .when((brand == "Brand#8") & (block == "8"), F.lit("NaN"))
@@ -82,7 +82,7 @@ def broken_csv(spark, sf_dir):
         whole = F.concat_ws(",", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in schemas.RAW_FIELDS])
         line = F.when((brand == "Brand#5") & (block == "5"), F.concat_ws(",", "month", "town")).otherwise(whole)
         place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-        placed = fields.select(line.alias("line"), place.alias("place"))
+        placed = fields.select(line.alias("line")).hint("rebalance").select("line", place.alias("place"))
         lines = F.when(F.col("place") == 0, F.array(F.lit(schemas.RAW_HEADER), "line")).otherwise(F.array("line"))
         placed.select(F.explode(lines).alias("value")).write.mode("errorifexists").text(path)
 
@@ -143,8 +143,8 @@ def partition_counts(spark, sf_dir):
 def publish_gate(spark, sf_dir):
     """A clean version is published, a spoiled one after it is not, and readers keep the clean one."""
     def make(path):
-        raw = an.raw_sales(spark, sf_dir)
-        clean = staging.stage(raw)
+        raw = an.raw_table(spark, sf_dir)
+        clean = staging.stage(raw, for_writing=True)
         receipt = manifest.file_manifest(spark, sf_dir, "lineitem.parquet")
         counted = staging.accounting(raw)
         root = f"{path}/table"

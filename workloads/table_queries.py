@@ -19,7 +19,7 @@ S = an.SUBJECT
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.raw_sales(spark, sf_dir, dirty=True)
+    return an.raw_table(spark, sf_dir, dirty=True)
 
 
 # ---- staging ----
