@@ -1,14 +1,16 @@
 """Exact interpolated median that never gathers a group in one task.
 
 The built-in ``median`` keeps every distinct value of a group in one buffer, which a hot group
-cannot afford. Here a group is a value histogram spread over the cluster:
+cannot afford. Here values are counted per order-preserving bin (relative width 1e-4): a bounded list
+per group, added up before the shuffle, which tells the bins that hold the middle ranks. Only the
+values inside those bins are then counted one by one and ranked.
 
-1. count equal (group, value) pairs; partial counts run before the shuffle, so ties cost nothing;
-2. add the counts up per order-preserving bin (relative width 1e-4), a bounded list per group,
-   and find the bins that hold the middle ranks;
-3. rank values inside those bins only.
+The second step meets its values in one of two ways:
 
-Steps 2 and 3 read the same histogram, so the input is scanned once.
+* few groups, known or counted: the middle bins (two per group at most) are broadcast and a second
+  scan keeps about one row in ten thousand, so next to nothing is shuffled;
+* any number of groups: equal (group, value) pairs are counted first and joined with the middle bins
+  by key. The input is scanned once, and its distinct pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -30,41 +32,74 @@ ORDER_BIN = f"""coalesce(CASE
     WHEN v < 0 THEN -(floor(ln(-v) * {BINS_PER_E_FOLD}) + {_OFFSET})
     ELSE 0 END, 0)"""
 
-_MEDIAN = f"""
+BROADCAST_GROUPS = 10_000  # two bins per group, well under a megabyte
+
+_BY_HISTOGRAM = f"""
     WITH histogram AS (
       SELECT g, bin, v, count(v) AS n FROM (SELECT g, v, {ORDER_BIN} AS bin FROM {{values}}) GROUP BY g, bin, v
     ),
-    bins AS (
+    bin_counts AS (SELECT g, bin, sum(n) AS bin_n FROM histogram GROUP BY g, bin),
+    {{middle_bins}},
+    middle AS (SELECT g, bin, v, n, before, low_rank, high_rank FROM histogram JOIN middle_bins USING (g, bin))
+"""
+
+_BY_SECOND_SCAN = f"""
+    WITH binned AS (SELECT g, v, {ORDER_BIN} AS bin FROM {{values}}),
+    bin_counts AS (SELECT g, bin, count(v) AS bin_n FROM binned GROUP BY g, bin),
+    {{middle_bins}},
+    middle AS (
+      SELECT /*+ BROADCAST(m) */ b.g, b.bin, b.v, count(b.v) AS n, m.before, m.low_rank, m.high_rank
+      FROM binned b JOIN middle_bins m ON b.g = m.g AND b.bin = m.bin
+      GROUP BY b.g, b.bin, b.v, m.before, m.low_rank, m.high_rank
+    )
+"""
+
+_MIDDLE_BINS = """
+    middle_bins AS (
       SELECT g, bin, upto - bin_n AS before, (total - 1) div 2 AS low_rank, total div 2 AS high_rank
       FROM (
-        SELECT g, bin, sum(n) AS bin_n,
-          sum(sum(n)) OVER (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto,
-          sum(sum(n)) OVER (PARTITION BY g) AS total
-        FROM histogram GROUP BY g, bin)
+        SELECT g, bin, bin_n, sum(bin_n) OVER (PARTITION BY g ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto,
+          sum(bin_n) OVER (PARTITION BY g) AS total
+        FROM bin_counts)
       WHERE total = 0 OR (upto > (total - 1) div 2 AND upto - bin_n <= total div 2)
-    ),
+    )"""
+
+_RANKED = """,
     ranked AS (
       SELECT g, v, n, low_rank, high_rank,
         before + sum(n) OVER (PARTITION BY g, bin ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto
-      FROM histogram JOIN bins USING (g, bin)
+      FROM middle
     )
-    SELECT {{select}}
+    SELECT {select}
       max(v) FILTER (WHERE upto > low_rank AND upto - n <= low_rank) * 0.5D
-        + max(v) FILTER (WHERE upto > high_rank AND upto - n <= high_rank) * 0.5D AS {{name}}
-    FROM ranked {{group}}
+        + max(v) FILTER (WHERE upto > high_rank AND upto - n <= high_rank) * 0.5D AS {name}
+    FROM ranked {group}
 """
 
 
-def exact_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+def few_groups(df: DataFrame, keys: list[str]) -> int | None:
+    """The number of groups when it is at most ``BROADCAST_GROUPS``, else None; a job over the keys alone."""
+    n = df.select(*keys).distinct().limit(BROADCAST_GROUPS + 1).count()
+    return n if n <= BROADCAST_GROUPS else None
+
+
+def exact_median(df: DataFrame, keys: list[str], value: Column, name: str,
+                 groups_at_most: int | None = None) -> DataFrame:
     """Median of ``value`` per ``keys`` (the whole input for no keys), NULL values left out.
 
-    A group with only NULL values keeps a row with NULL, and so does an empty input without keys.
+    Pass ``groups_at_most`` where the data bounds the groups (months of a period) or ``few_groups``
+    counted them, and the input is a plain scan; leave it out for any number of groups or an input that
+    is costly to compute twice. A group with only NULL values keeps a row with NULL, and so does an
+    empty input without keys.
     """
     # A struct key compares equal field by field, NULLs included, and is never NULL itself.
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     values = df.select(group.alias("g"), value.cast("double").alias("v"))
+    bound = groups_at_most if keys else 1
+    few = bound is not None and bound <= BROADCAST_GROUPS
+    statement = (_BY_SECOND_SCAN if few else _BY_HISTOGRAM).replace("{middle_bins}", _MIDDLE_BINS) + _RANKED
     select = "".join(f"g.`{k}` AS `{k}`, " for k in keys)
-    statement = _MEDIAN.replace("{select}", select).replace("{name}", f"`{name}`")
+    statement = statement.replace("{select}", select).replace("{name}", f"`{name}`")
     statement = statement.replace("{group}", "GROUP BY g" if keys else "")
     return df.sparkSession.sql(statement, values=values)
 
@@ -73,5 +108,5 @@ def period_medians(df: DataFrame, periods: dict[str, Column], value: Column) ->
     """One row with one median per named period (a predicate each), from a single scan."""
     label = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in periods.items()])
     by_period = exact_median(df.select(label.alias("period"), value.alias("v")).where("period IS NOT NULL"),
-                             ["period"], F.col("v"), "med")
+                             ["period"], F.col("v"), "med", groups_at_most=len(periods))
     return by_period.agg(*[F.max(F.when(F.col("period") == p, F.col("med"))).alias(p) for p in periods])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proofledger.functions.numeric import mean, round_places, share_pct
 from proofledger.functions.parse import year_text
-from proofledger.operators.medians import exact_median, period_medians
+from proofledger.operators.medians import exact_median, few_groups, period_medians
 from proofledger.operators.ordering import ordered, top
 from proofledger.operators.windows import (
     change_from_previous,
@@ -105,6 +105,20 @@ def _ppsm() -> Column:
     return F.col("price_per_sqm")
 
 
+def _years_in(span: tuple[int, int]) -> int:
+    return span[1] - span[0] + 1
+
+
+def _months_in(span: tuple[int, int]) -> int:
+    """Staged month text is strictly YYYY-MM, so a span of years has no more months than this."""
+    return 12 * _years_in(span)
+
+
+def counted_median(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Median per group of a label column, whose number of values is counted before anything is broadcast."""
+    return exact_median(rows, keys, value, name, few_groups(rows, keys))
+
+
 # ---- filters and single figures ----
 
 
@@ -147,7 +161,7 @@ def q08(t, s):
 
 
 def q09(t, s):
-    med = exact_median(t.where(years(s.year)), ["town"], _ppsm(), "med")
+    med = counted_median(t.where(years(s.year)), ["town"], _ppsm(), "med")
     return top(med.select("town", round_places(F.col("med"), 2).alias("median_ppsm")), ["median_ppsm desc", "town"], 1)
 
 
@@ -172,7 +186,7 @@ def q13(t, s):
 
 
 def q14(t, s):
-    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "med")
+    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "med", groups_at_most=12)
     change = change_from_previous(med, "med", "month", "change")
     return change.select("month", round_places(F.col("med"), 2).alias("med_ppsm"),
                          round_places(F.col("change"), 2).alias("change_from_prev"))
@@ -185,7 +199,7 @@ def sparse_rows(t, s):
 
 def q15(t, s):
     rows = sparse_rows(t, s).where(years(*s.sparse_years))
-    series = exact_median(rows, ["month", "sale_month"], _ppsm(), "med")
+    series = exact_median(rows, ["month", "sale_month"], _ppsm(), "med", _months_in(s.sparse_years))
     rolled = rolling_median_by_calendar(series, "med", "sale_month", 3, "rolled")
     return rolled.select("month", round_places(F.col("rolled"), 2).alias("rolling_3m_median_ppsm"))
 
@@ -197,7 +211,8 @@ def q16(t, s):
 
 def q17(t, s):
     rows = t.where(years(*s.complete_years)).withColumn("yr", year_text(F.col("sale_month")))
-    change = change_from_previous(exact_median(rows, ["yr"], _ppsm(), "med"), "med", "yr", "change")
+    series = exact_median(rows, ["yr"], _ppsm(), "med", _years_in(s.complete_years))
+    change = change_from_previous(series, "med", "yr", "change")
     return change.select("yr", round_places(F.col("med"), 2).alias("med_ppsm"),
                          round_places(F.col("change"), 2).alias("change_from_prev_year"))
 
@@ -205,7 +220,7 @@ def q17(t, s):
 def q18(t, s):
     rows = t.where(years(s.year))
     overall = exact_median(rows, [], _ppsm(), "med_all")  # one row by construction
-    by_town = exact_median(rows, ["town"], _ppsm(), "med").crossJoin(F.broadcast(overall))
+    by_town = counted_median(rows, ["town"], _ppsm(), "med").crossJoin(F.broadcast(overall))
     return by_town.select("town", round_places(F.col("med") / F.col("med_all"), 2).alias("ratio_to_overall"))
 
 
@@ -264,7 +279,7 @@ def q28(t, s):
 
 
 def q29(t, s):
-    med = exact_median(t.where(years(s.year)), ["flat_type"], _ppsm(), "med").where(F.col("med") > s.high_ppsm)
+    med = counted_median(t.where(years(s.year)), ["flat_type"], _ppsm(), "med").where(F.col("med") > s.high_ppsm)
     return med.select("flat_type", round_places(F.col("med"), 2).alias("median_ppsm"))
 
 
@@ -376,7 +391,7 @@ def q08_like(t, s):
 
 
 def q18_joined(t, s):
-    by_town = exact_median(t.where(like_year(s.year)), ["town"], _ppsm(), "town_median")
+    by_town = counted_median(t.where(like_year(s.year)), ["town"], _ppsm(), "town_median")
     overall = exact_median(t.where(like_year(s.year)), [], _ppsm(), "overall_median")
     ratio = round_places(F.col("town_median") / F.col("overall_median"), 2)
     return by_town.join(F.broadcast(overall)).select("town", ratio.alias("ratio"))
@@ -389,7 +404,7 @@ def q22_like(t, s):
 
 def q23_pivot(t, s):
     two = t.where(F.col("sale_year").isin(s.year - 1, s.year)).withColumn("yr", F.year("sale_month"))
-    by_year = exact_median(two, ["yr"], _ppsm(), "med")
+    by_year = exact_median(two, ["yr"], _ppsm(), "med", groups_at_most=2)
     wide = by_year.groupBy().pivot("yr", [s.year - 1, s.year]).agg(F.max("med"))
     return wide.select(round_places(F.col(f"`{s.year}`") - F.col(f"`{s.year - 1}`"), 2).alias("change"))
 
@@ -415,7 +430,7 @@ def q28_like(t, s):
 
 
 def q29_alias(t, s):
-    med = exact_median(t.where(like_year(s.year)), ["flat_type"], _ppsm(), "med")
+    med = counted_median(t.where(like_year(s.year)), ["flat_type"], _ppsm(), "med")
     rounded = med.select("flat_type", round_places(F.col("med"), 2).alias("median_ppsm"))
     return rounded.where(F.col("median_ppsm") > s.high_ppsm)
 
@@ -449,14 +464,14 @@ def q13_block_only_dates(t, s):
 
 
 def q14_rounds_first(t, s):
-    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "med")
+    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "med", groups_at_most=12)
     rounded = med.select("month", round_places(F.col("med"), 2).alias("med"))
     change = change_from_previous(rounded, "med", "month", "change")
     return change.select("month", "med", round_places(F.col("change"), 2).alias("change"))
 
 
 def q14_rounds_both(t, s):
-    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "raw")
+    med = exact_median(t.where(years(s.year)), ["month"], _ppsm(), "raw", groups_at_most=12)
     both = med.select("month", round_places(F.col("raw"), 2).alias("med"))
     change = change_from_previous(both, "med", "month", "change")
     return change.select("month", "med", round_places(F.col("change"), 2).alias("change"))
@@ -471,26 +486,28 @@ def q15_row_frame(t, s):
 
 
 def q15_row_frame_inside(t, s):
-    series = exact_median(sparse_rows(t, s).where(years(*s.sparse_years)), ["month"], _ppsm(), "med")
+    series = exact_median(sparse_rows(t, s).where(years(*s.sparse_years)), ["month"], _ppsm(), "med",
+                          _months_in(s.sparse_years))
     rolled = rolling_median_by_rows(series, "med", "month", 3, "rolled")
     return rolled.select("month", round_places(F.col("rolled"), 2).alias("rolling_median"))
 
 
-def _integer_years(rows):
+def _integer_years(rows, s):
     rows = rows.withColumn("year", F.year("sale_date"))
-    change = change_from_previous(exact_median(rows, ["year"], _ppsm(), "med"), "med", "year", "change")
+    series = exact_median(rows, ["year"], _ppsm(), "med", _years_in(s.complete_years))
+    change = change_from_previous(series, "med", "year", "change")
     return change.select("year", round_places(F.col("med"), 2).alias("median"),
                          round_places(F.col("change"), 2).alias("change"))
 
 
 def q17_integer_year(t, s):
-    return _integer_years(t.where(years(*s.complete_years)))
+    return _integer_years(t.where(years(*s.complete_years)), s)
 
 
 def q17_integer_year_by_date(t, s):
     first, last = s.complete_years
     days = (F.col("sale_date") >= f"{first}-01-01") & (F.col("sale_date") <= f"{last}-12-31")
-    return _integer_years(t.where(F.col("sale_year").between(first, last) & days))
+    return _integer_years(t.where(F.col("sale_year").between(first, last) & days), s)
 
 
 def q24_mean_by_clock(as_of: str) -> Build:

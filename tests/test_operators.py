@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from proofledger.functions.numeric import is_finite_positive, round_places
 from proofledger.operators.matching import differing_positions, require_none, without_match
-from proofledger.operators.medians import exact_median, period_medians
+from proofledger.operators import medians as median_module
+from proofledger.operators.medians import exact_median, few_groups, period_medians
 from proofledger.operators.ordering import ordered, with_position
 from proofledger.operators.windows import (
     change_from_previous,
@@ -23,8 +24,12 @@ from proofledger.operators.windows import (
 
 
 def medians(spark, rows):
+    """Both ways must agree."""
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    return {r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m").collect()}
+    by_histogram = {r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m").collect()}
+    by_second_scan = {r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m", few_groups(df, ["k"])).collect()}
+    assert by_histogram == by_second_scan
+    return by_histogram
 
 
 def test_median_against_brute_force_with_a_hot_group(spark):
@@ -50,6 +55,18 @@ def test_median_of_any_doubles(spark, values):
     assert medians(spark, [("k", v) for v in values])["k"] == statistics.median(values)
 
 
+def test_groups_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    df = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").cast("double").alias("v"))
+    assert few_groups(df, ["k"]) == 10
+    few = exact_median(df, ["k"], F.col("v"), "m", 10)
+    monkeypatch.setattr(median_module, "BROADCAST_GROUPS", 9)
+    assert few_groups(df, ["k"]) is None
+    many = exact_median(df, ["k"], F.col("v"), "m", 10)
+    assert sorted(many.collect()) == sorted(few.collect())
+    assert "histogram" not in few._jdf.queryExecution().logical().toString()
+    assert "histogram" in many._jdf.queryExecution().logical().toString()
+
+
 def test_median_of_everything_and_of_nothing(spark):
     df = spark.createDataFrame([(1.0,), (9.0,), (2.0,), (float("inf"),)], "v DOUBLE")
     assert exact_median(df, [], F.col("v"), "m").collect()[0].m == 5.5

@@ -44,12 +44,17 @@ def test_month_filters_reach_the_files(spark, sf_dir):
     assert "resale_price" not in text  # only the columns in use are read
 
 
-def test_median_reads_its_input_once(spark, sf_dir):
+def test_median_of_many_groups_reads_its_input_once(spark, sf_dir):
     df = exact_median(an.staged(spark, sf_dir), ["town"], F.col("price_per_sqm"), "m")
     df.collect()
     assert "ReusedExchange" in plan(df)
 
 
+def test_median_of_few_groups_shuffles_counts_only(spark, sf_dir):
+    df = exact_median(an.staged(spark, sf_dir), ["town"], F.col("price_per_sqm"), "m", 25)
+    assert "BroadcastHashJoin Inner BuildRight" in plan(df)
+
+
 def test_checks_take_one_scan(spark, sf_dir):
     from proofledger.plans.checks import table_checks
 
