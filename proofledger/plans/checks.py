@@ -18,6 +18,7 @@ def _missing(name: str) -> Column:
 def table_rules(first_day: str, as_of: str) -> dict[str, Column]:
     month, low, high = F.col("sale_month"), F.col("storey_low"), F.col("storey_high")
     lease, ppsm = F.col("remaining_lease_years"), F.col("price_per_sqm")
+    # ---- fixed values: the check names ----
     return {
         "price > 0": F.col("resale_price") <= 0,
         "area > 0": F.col("floor_area_sqm") <= 0,

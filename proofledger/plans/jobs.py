@@ -90,3 +90,12 @@ def verify_log(spark: SparkSession, questions: DataFrame, log: DataFrame, work:
         F.broadcast(models))
     sinks.write_summary(vd.summary_json(verdicts, receipt), f"{out}/summary")
     return verdicts
+
+
+def verify_published(spark: SparkSession, root: str, source: str, locked: DataFrame, questions: DataFrame,
+                     log: DataFrame, work: str, out_root: str, cap: int = schemas.ROW_CAP) -> DataFrame:
+    """``verify_log`` on the published table, after the identity gate: the locked (file, sha256) set must
+    equal the source files and the receipt stored with the table, else nothing is run."""
+    manifest.require_identity(locked, manifest.file_manifest(spark, source), publish.current_receipt(spark, root))
+    publish.current_table(spark, root).createOrReplaceTempView("resale")
+    return verify_log(spark, questions, log, work, out_root, cap)

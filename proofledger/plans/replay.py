@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +46,16 @@ def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, or
                None if order_by is None else tuple(order_by))
 
 
+# ---- fixed values: SQLSTATE classes of errors that are the query's own ----
+QUERY_ERROR_CLASSES = ("0A", "21", "22", "42")  # unsupported feature, cardinality, data, syntax or names
+
+
+def is_query_error(error: PySparkException) -> bool:
+    """False for a failing cluster or file system, which must stop the run and not judge the query."""
+    state, condition = error.getSqlState() or "", error.getCondition() or ""
+    return state[:2] in QUERY_ERROR_CLASSES and not condition.startswith("PATH_")
+
+
 def _note(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error)[:200]}"
 
@@ -57,7 +67,9 @@ def execute(run: Run, path: str, cap: int = ROW_CAP) -> tuple[str, int, str, str
                            own_order=run.order_by is None)
         rows.drop(*RESULT_KEY).write.mode("errorifexists").parquet(
             f"{path}/question_id={run.question_id}/attempt_n={run.attempt_n}")
-    except (AnalysisException, PySparkException) as error:
+    except PySparkException as error:
+        if not is_query_error(error):
+            raise
         return run.question_id, run.attempt_n, "sql_error", _note(error)
     return run.question_id, run.attempt_n, "ok", ""
 

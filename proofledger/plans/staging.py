@@ -18,6 +18,7 @@ def exclusion_rules() -> dict[str, Column]:
     NaN is not excluded here: the source contract stops it before staging.
     """
     price, area = F.col("resale_price"), F.col("floor_area_sqm")
+    # ---- fixed values: the rule names ----
     return {
         "price null or <= 0": price.isNull() | (price <= 0),
         "area null or <= 0": area.isNull() | (area <= 0),

@@ -11,8 +11,7 @@ import time
 
 import duckdb
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-          "labels conversations").split()
+from workloads.analogue import TABLES
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

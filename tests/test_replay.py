@@ -83,7 +83,7 @@ def test_replay_outcomes(spark, resale, tmp_path):
         rp.sql_run(spark, q, 0, BODY, ["n desc"], "2026-01-01"),
         rp.sql_run(spark, q, 1, "SELECT nope FROM resale"),
         rp.sql_run(spark, q, 2, "SELEC 1"),
-        rp.sql_run(spark, q, 3, "SELECT CAST('x' AS INT) AS a"),
+        rp.sql_run(spark, q, 3, "SELECT CAST(concat('x', block) AS INT) AS a FROM resale"),
         rp.sql_run(spark, q, 4, "SELECT month, block FROM resale"),
         rp.sql_run(spark, q, 5, BODY + " HAVING n > 99", ["n desc"], "2026-01-01"),
         rp.sql_run(spark, q, 6, "SELECT double('NaN') AS a"),
@@ -104,6 +104,13 @@ def test_replay_outcomes(spark, resale, tmp_path):
     assert [n for n, r in sorted(typed.items()) if r.match] == [10, 11]
 
 
+def test_a_failing_file_system_is_no_verdict(spark, tmp_path):
+    run = rp.sql_run(spark, "Q", 1, "SELECT 1 AS a")
+    assert rp.execute(run, str(tmp_path))[2] == "ok"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        rp.execute(run, str(tmp_path))
+
+
 def test_typed_comparison_agrees_with_rows(spark, resale, tmp_path):
     s = Subject()
     q14, runs = BY_ID["Q14"], []
@@ -165,3 +172,28 @@ def test_verify_log_end_to_end(spark, resale, tmp_path, version):
         stale = questions.withColumn("sha256", F.lit("0"))
         with pytest.raises(ValueError, match="do not reproduce"):
             jobs.verify_log(spark, stale, log, str(tmp_path / "work2"), str(tmp_path / "out2"))
+
+
+def test_identity_gate_comes_before_any_query(spark, tmp_path):
+    from proofledger import schemas
+    from proofledger.sources import contract, manifest
+
+    source = tmp_path / "src"
+    source.mkdir()
+    line = "2017-01,TOWN,4 ROOM,1,ST,01 TO 03,90,Model,2000,80 years,500000"
+    (source / "raw.csv").write_text(f"{schemas.RAW_HEADER}\n{line}\n{line}\n")
+    root = str(tmp_path / "table")
+    jobs.build_table(spark, str(source), root, "2026-01-01", "t", contract.Floors(1, "2017-01", "2017-01"))
+    locked = manifest.file_manifest(spark, str(source)).select("file", "sha256").collect()
+    locked = spark.createDataFrame(locked)
+    schema = """question_id STRING, type STRING, trap BOOLEAN, question STRING, why STRING, sql STRING,
+        order_by ARRAY<STRING>, rows BIGINT, sha256 STRING"""
+    questions = spark.createDataFrame([("Q1", "grouping", False, "?", "", BODY, ["n desc"], None, None)], schema)
+    log = readers.read_log(spark, log_file(tmp_path, 2, [BODY + " ORDER BY n DESC"]))
+    args = (root, str(source), locked, questions, log)
+    done = jobs.verify_published(spark, *args, str(tmp_path / "w"), str(tmp_path / "o"))
+    assert [r.status for r in done.collect()] == ["pass_first_try"]
+    (source / "raw.csv").write_text(f"{schemas.RAW_HEADER}\n{line}\n{line}\n{line}\n")
+    with pytest.raises(ValueError, match="identity drift"):
+        jobs.verify_published(spark, *args, str(tmp_path / "w2"), str(tmp_path / "o2"))
+    assert not (tmp_path / "w2").exists()

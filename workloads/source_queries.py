@@ -259,8 +259,12 @@ ENTRIES: dict[str, tuple] = {
         SELECT count(*) AS rows, min(month) AS month_min, max(month) AS month_max, count(DISTINCT month) AS months
         FROM (SELECT CASE WHEN month <> 'bad' THEN month END AS month FROM ruled)"""),
     "manifest_files": (files, None),
-    "manifest_receipt_times": (receipt_times, None),
-    "manifest_identity_gate": (identity_gate, None),
+    "manifest_receipt_times": (receipt_times, f"""
+        SELECT name || '.parquet' AS file,
+          CASE name WHEN 'events' THEN '2026-06-01T08:00:00+08:00' ELSE '2026-01-01T23:30:00+08:00' END AS retrieved_at,
+          CASE name WHEN 'events' THEN DATE '2026-06-01' ELSE DATE '2026-01-01' END AS local_day
+        FROM (VALUES {', '.join(f"('{t}')" for t in an.TABLES)}) t(name)"""),
+    "manifest_identity_gate": (identity_gate, "SELECT 'doctored table' AS side, 'lineitem.parquet' AS file"),
     "publish_partition_counts": (partition_counts, sql.resale("""
         SELECT sale_year, count(*) AS n, min(month) AS first, max(month) AS last FROM resale
         WHERE sale_year <> 1997 GROUP BY 1""")),

@@ -216,16 +216,16 @@ def above_scalar(spark, sf_dir):
     """Rows of the last 12 months of the table, by a scalar subquery on the latest date, in SQL."""
     return spark.sql(
         """SELECT town, count(*) AS n FROM {resale}
-           WHERE sale_date > (SELECT max(sale_date) - INTERVAL 12 MONTH FROM {resale}) GROUP BY town""",
+           WHERE sale_date > (SELECT max(sale_date) - INTERVAL 12 MONTH FROM {resale}) GROUP BY 1""",
         resale=an.staged(spark, sf_dir))
 
 
 def as_of_clock(spark, sf_dir):
     """The run date is a bound parameter, so the same text gives the same answer on any day."""
     return spark.sql(
-        """SELECT sale_year, count(*) AS n, max(sale_date) AS last_day FROM {resale}
+        """SELECT extract(YEAR FROM sale_date) AS yr, count(*) AS n, max(sale_date) AS last_day FROM {resale}
            WHERE sale_date >= date_trunc('YEAR', CAST(:as_of AS DATE)) - INTERVAL 2 YEAR
-             AND sale_date <= CAST(:as_of AS DATE) GROUP BY sale_year""",
+             AND sale_date <= CAST(:as_of AS DATE) GROUP BY yr""",
         args={"as_of": an.AS_OF}, resale=an.staged(spark, sf_dir))
 
 
@@ -474,7 +474,7 @@ ENTRIES: dict[str, tuple] = {
         SELECT town, count(*) AS n FROM resale
         WHERE sale_date > (SELECT max(sale_date) FROM resale) - INTERVAL 12 MONTH GROUP BY 1""")),
     "filter_as_of_clock": (as_of_clock, sql.resale(f"""
-        SELECT sale_year, count(*) AS n, max(sale_date) AS last_day FROM resale
+        SELECT CAST(year(sale_date) AS INTEGER) AS yr, count(*) AS n, max(sale_date) AS last_day FROM resale
         WHERE sale_date BETWEEN DATE '1999-01-01' AND DATE '{an.AS_OF}' GROUP BY 1""")),
     "filter_having_alias": (having_alias, sql.resale("""
         SELECT town, street_name, count(*) AS n FROM resale GROUP BY 1, 2 HAVING count(*) > 100""")),
