@@ -19,7 +19,7 @@ from proofledger.plans.fingerprints import RESULT_KEY, fingerprints, result_rows
 from proofledger.schemas import ROW_CAP
 
 REFERENCE = 0  # attempt number of a question's own answer
-JOBS_AT_ONCE = 4
+JOBS_AT_ONCE = 8
 ROWS_SCHEMA = ("pos BIGINT, line_v1 STRING, line_v2 STRING, defect STRING, key STRING, "
                "question_id STRING, attempt_n INT")
 
