@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofledger.llm.common import in_batches, portions
+from proofledger.llm.common import by_rows, portions
 
 #: White space and the characters after it up to the next white space: no pre-token crosses such a border.
 CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
@@ -249,8 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
                     yield len(ids), (doc_id, ids, len(ids) // 4)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda batches: in_batches(rows(batches), schema), "doc_id long, ids binary, n_tokens long")
+    return by_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -265,5 +264,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 text = decoder.decode(ids)
                 yield len(ids) + len(text), (doc_id, ids, n_tokens, text)
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(
-        lambda batches: in_batches(rows(batches), schema), "doc_id long, ids binary, n_tokens long, decoded binary")
+    return by_rows(encoded.select("doc_id", "ids", "n_tokens"), rows, schema)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
 from proofledger.session import work_path
@@ -72,6 +76,38 @@ def portions(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str
         yield keys, texts
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, which need not see the driver's folders: a small archive
+    that Spark hands to them, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="code-"), "proofledger.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def by_tasks(df: DataFrame, tasks: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: pa.Schema) -> DataFrame:
+    """``df`` through ``tasks``, a function from Arrow batches to Arrow batches that runs once per partition."""
+    ship(df.sparkSession)
+    return df.mapInArrow(tasks, from_arrow_schema(schema))
+
+
+def by_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, tuple]]], schema: pa.Schema) -> DataFrame:
+    """As ``by_tasks``; ``rows`` gives each row with its size in bytes."""
+    return by_tasks(df, lambda batches: in_batches(rows(batches), schema), schema)
+
+
 def in_batches(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows, each with its size in bytes, as Arrow batches of bounded size."""
     held: list[tuple] = []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing
+from proofledger.llm import byte_bpe, mixing, token_counts, token_files
 from proofledger.llm.common import table
+from proofledger.session import work_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,6 +20,18 @@ def byte_bpe_digests(spark, sf_dir):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def piece_counts(spark, sf_dir):
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def token_file_digests(spark, sf_dir):
+    out = work_path(spark, "llm", f"token-files-{uuid.uuid4().hex[:12]}")
+    token_files.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, out).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def mixture(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc.doc_id", "size", "source_size", "target", "taken")
@@ -56,5 +71,7 @@ FROM placed
 
 ENTRIES = {
     "op3_byte_bpe": (byte_bpe_digests, None),
+    "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
+    "op9_token_files": (token_file_digests, None),
 }
