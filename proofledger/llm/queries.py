@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, token_counts, token_files
+from proofledger.llm import byte_bpe, mixing, near_join, token_counts, token_files
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
@@ -32,6 +32,11 @@ def token_file_digests(spark, sf_dir):
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def near_classes(spark, sf_dir):
+    return near_join.near_join(table(spark, sf_dir, "documents"), size=3, share=(9, 10)).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def mixture(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc.doc_id", "size", "source_size", "target", "taken")
@@ -74,4 +79,5 @@ ENTRIES = {
     "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
     "op9_token_files": (token_file_digests, None),
+    "op10_near_join": (near_classes, None),
 }
