@@ -7,13 +7,17 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, near_join, token_counts, token_files
+from proofledger.llm import byte_bpe, mixing, near_join, span_dedup, token_counts, token_files
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def without_repeats(spark, sf_dir):
+    return span_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_digests(spark, sf_dir):
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     return byte_bpe.decode(ids, BYTE_RANKS).select(
@@ -75,6 +79,7 @@ FROM placed
 """
 
 ENTRIES = {
+    "op2_span_dedup": (without_repeats, None),
     "op3_byte_bpe": (byte_bpe_digests, None),
     "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
