@@ -7,13 +7,17 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, near_join, span_dedup, token_counts, token_files
+from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, token_counts, token_files
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def private_values(spark, sf_dir):
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+
+
 def without_repeats(spark, sf_dir):
     return span_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ FROM placed
 """
 
 ENTRIES = {
+    "op1_pseudonyms": (private_values, None),
     "op2_span_dedup": (without_repeats, None),
     "op3_byte_bpe": (byte_bpe_digests, None),
     "op4_token_counts": (piece_counts, None),
