@@ -11,7 +11,8 @@ email      local part letter by letter and digit by digit; the domain stays
 card       13 to 19 digits that pass the Luhn check; the last is computed anew
 iban       remainder 1 modulo 97; the account part is permuted, the check digits are computed anew
 ip         four octets up to 255; each octet keeps its number of digits
-phone      a country code, or three groups of 3, 3 and 4 digits; the country code stays, leading digits stay valid
+phone      a country code, or three groups of 3, 3 and 4 digits; the country code stays, leading digits
+           keep to their range
 ssn        three groups of 3, 2 and 4 digits in their valid ranges
 date       a day of 1900 to 2099 as year-month-day, day.month.year or month/day/year
 =========  =====================================================================================================
@@ -169,18 +170,19 @@ def phone(m: Column, key: str) -> Column:
         code, rest = parts["code"], parts["rest"]
         american = code.isin("+1", "")
 
-        def read(d: Column, i: Column) -> Column:
-            return F.when(american & i.isin(0, 3), symbol(d - 2, F.lit(8))).when(
-                (i == 0) & (d > 0), symbol(d - 1, F.lit(9))).when(i == 0, symbol(d, F.lit(1))).otherwise(symbol(d, F.lit(10)))
+        # Area and exchange codes start with 2 to 9, others with 1 to 9; a digit outside stays outside.
+        def least(d: Column, i: Column) -> Column:
+            return F.when(american & i.isin(0, 3) & (d > 1), 2).when(~american & (i == 0) & (d > 0), 1).otherwise(0)
 
-        def back(values: Column, digits: Column) -> Column:
-            return F.transform(values, lambda v, i: v + F.when(american & i.isin(0, 3), 2).when(
-                (i == 0) & (F.element_at(digits, 1) > 0), 1).otherwise(0))
+        def read(d: Column, i: Column) -> Column:
+            low = least(d, i)
+            return symbol(d - low, F.when(low > 0, 10 - low).when(american & i.isin(0, 3), 2).when(
+                ~american & (i == 0), 1).otherwise(10))
 
         def fill(digits: Column) -> Column:
-            valid = F.when(american, (F.size(digits) == 10) & (F.element_at(digits, 1) > 1) & (F.element_at(digits, 4) > 1)).otherwise(
-                F.size(digits).between(6, 13))
-            new = back(permuted(F.transform(digits, read), F.concat(F.lit("phone/"), code), key), digits)
+            valid = F.when(american, F.size(digits) == 10).otherwise(F.size(digits).between(6, 13))
+            new = F.zip_with(permuted(F.transform(digits, read), F.concat(F.lit("phone/"), code), key),
+                             F.transform(digits, least), lambda v, low: v + low)
             return F.when(valid, F.concat(code, let(new, lambda n: filled(rest, n))))
 
         return let(digits_of(rest), fill)
