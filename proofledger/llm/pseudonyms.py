@@ -39,7 +39,8 @@ DATE = (FREE + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2
         + END)
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])"
 SSN = FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
-PHONE = (r"(?:(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}"
+PHONE = (r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+         r"|(?<![\p{L}\p{N}+])\+[2-9][0-9]{1,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}"
          r"|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END)
 CARD = FREE + r"[0-9](?:[ -]?[0-9]){12,18}" + END
 ANY = "|".join([EMAIL, IBAN, DATE, IP, SSN, PHONE, CARD])

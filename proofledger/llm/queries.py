@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, token_counts, token_files
+from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, token_counts, token_files, weak_rules
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
@@ -40,6 +40,11 @@ def token_file_digests(spark, sf_dir):
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def quality_verdicts(spark, sf_dir):
+    return weak_rules.with_verdict(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        F.col("doc.doc_id").alias("doc_id"), *weak_rules.BASE, "base_failed", "kept", "posterior")
+
+
 def near_classes(spark, sf_dir):
     return near_join.near_join(table(spark, sf_dir, "documents"), size=3, share=(9, 10)).select(
         "doc_id", "n_shingles", "component_id")
@@ -88,6 +93,7 @@ ENTRIES = {
     "op3_byte_bpe": (byte_bpe_digests, None),
     "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
+    "op8_weak_rules": (quality_verdicts, None),
     "op9_token_files": (token_file_digests, None),
     "op10_near_join": (near_classes, None),
 }
