@@ -2,7 +2,7 @@
 
 For every document the rules' votes are computed from its text. How often each rule is right about good and about
 bad documents, and how many are good, is estimated from all documents by expectation-maximisation: the votes
-form at most 3^8 patterns, their counts are one aggregate over the documents, and every step is one aggregate over
+form at most 3^12 patterns, their counts are one aggregate over the documents, and every step is one aggregate over
 the pattern counts. A document's posterior probability of being good is the result. DataFrame functions only.
 
 Defined results: text NULL, empty or without words has no words, all rules abstain and its posterior is the prior; a
@@ -24,12 +24,15 @@ from proofledger.llm.common import let, settle
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: A word without a letter or digit.
+BARE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]++(?![^\x20\x09-\x0D])"
 #: Words of a window that may repeat.
 WINDOW = 8
 #: Steps of the estimation at most, and the change at which it ends.
 STEPS, STILL = 50, 1e-4
-#: Where the estimation starts: share of good documents, and how often a vote is right.
-PRIOR, RIGHT = 0.8, 0.8
+#: Where the estimation starts: the share of good documents, and how often a vote is right about a good and a bad
+#: one. A rule knows one kind of junk and takes the other kinds for good.
+PRIOR, RIGHT = 0.8, (0.97, 0.3)
 #: A rule's accuracy is estimated with this many right and wrong votes added.
 ADDED = 1.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -64,21 +67,24 @@ def measures() -> Column:
 
     from_words = let(let(words, lambda w: F.transform(w, lambda x: F.xxhash64(x))), lambda h: F.struct(
         F.size(h).cast("long").alias("n_words"), F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
+        F.size(F.filter(h, lambda x, i: F.get(h, i - 1) == x)).cast("long").alias("n_echoes"),
         F.coalesce(repeat_words(h), F.lit(0).cast("long")).alias("n_repeat_words")))
+    row = r"\|[^|]*\||\t[^\t]*\t"  # of a table
     from_lines = let(lines, lambda x: F.struct(
+        F.size(F.filter(x, lambda line: line.rlike(row))).cast("long").alias("n_rows"),
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(x, lambda line: line.rlike(r"[.!?][\"')\x20\x09-\x0D]*$"))).cast("long").alias("n_ended")))
     return F.struct(
         from_words.alias("of_words"), from_lines.alias("of_lines"), F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
         left_out(SYMBOLS).alias("n_symbols"), left_out(r"\p{Lu}").alias("n_capitals"), left_out(r"\p{L}").alias("n_letters"),
-        left_out("!").alias("n_cries"))
+        left_out("!").alias("n_cries"), F.regexp_count(text, F.lit(BARE)).cast("long").alias("n_bare"))
 
 
 def measured(docs: DataFrame, kept: list[str]) -> DataFrame:
     """The columns ``kept`` in one struct ``doc``, and the measures of every text."""
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), measures().alias("found"))
     return found.select("doc", "found.of_words.*", "found.of_lines.*", *[f"found.{c}" for c in (
-        "word_chars", "n_symbols", "n_capitals", "n_letters", "n_cries")])
+        "word_chars", "n_symbols", "n_capitals", "n_letters", "n_cries", "n_bare")])
 
 
 def rules() -> dict[str, Column]:
@@ -96,6 +102,10 @@ def rules() -> dict[str, Column]:
         "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02, any_),
         "capitals": vote(F.col("n_capitals") > 0.4 * F.col("n_letters"), F.col("n_capitals") < 0.15 * F.col("n_letters"), F.col("n_letters") >= 20),
         "cries": vote(per_word("n_cries") > 0.2, per_word("n_cries") < 0.05, any_),
+        "letters": vote(F.col("n_letters") < 0.75 * F.col("word_chars"), F.col("n_letters") > 0.85 * F.col("word_chars"), words >= 20),
+        "bare_marks": vote(per_word("n_bare") > 0.1, per_word("n_bare") < 0.03, any_),
+        "table_rows": vote(F.col("n_rows") > 0.4 * lines, F.col("n_rows") < 0.1 * lines, any_),
+        "echoes": vote(per_word("n_echoes") > 0.2, per_word("n_echoes") < 0.08, words >= 20),
         "word_length": vote((per_word("word_chars") < 3) | (per_word("word_chars") > 7.5), per_word("word_chars").between(4, 6.5), words >= 20),
         "variety": vote(per_word("n_distinct") < 0.3, per_word("n_distinct") > 0.45, words.between(20, 5000)),
         "line_ends": vote(F.col("n_ended") < 0.3 * lines, F.col("n_ended") > 0.7 * lines, any_),
@@ -121,7 +131,7 @@ class Beliefs:
 
 def estimated(patterns: DataFrame, names: list[str]) -> Beliefs:
     """Beliefs from pattern counts (a column for each rule, and n)."""
-    now = Beliefs(PRIOR, {name: (RIGHT, RIGHT) for name in names})
+    now = Beliefs(PRIOR, dict.fromkeys(names, RIGHT))
     for _ in range(STEPS):
         good = F.col("n") * now.posterior()
         bad = F.col("n") - good
