@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, token_counts, token_files, weak_rules
+from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, threshold_search, token_counts, token_files, weak_rules
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
@@ -45,6 +45,24 @@ def quality_verdicts(spark, sf_dir):
         F.col("doc.doc_id").alias("doc_id"), *weak_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def best_matches(spark, sf_dir):
+    return threshold_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+BEST_MATCHES_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def near_classes(spark, sf_dir):
     return near_join.near_join(table(spark, sf_dir, "documents"), size=3, share=(9, 10)).select(
         "doc_id", "n_shingles", "component_id")
@@ -93,6 +111,7 @@ ENTRIES = {
     "op3_byte_bpe": (byte_bpe_digests, None),
     "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
+    "op7_threshold_search": (best_matches, BEST_MATCHES_SQL),
     "op8_weak_rules": (quality_verdicts, None),
     "op9_token_files": (token_file_digests, None),
     "op10_near_join": (near_classes, None),
