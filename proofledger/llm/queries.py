@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, span_dedup, threshold_search, token_counts, token_files, weak_rules
+from proofledger.llm import byte_bpe, class_lm, mixing, near_join, pseudonyms, span_dedup, threshold_search, token_counts, token_files, weak_rules
 from proofledger.llm.common import table
 from proofledger.session import work_path
 
@@ -45,6 +45,11 @@ def quality_verdicts(spark, sf_dir):
         F.col("doc.doc_id").alias("doc_id"), *weak_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def language_scores(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return class_lm.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def best_matches(spark, sf_dir):
     return threshold_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -111,6 +116,7 @@ ENTRIES = {
     "op3_byte_bpe": (byte_bpe_digests, None),
     "op4_token_counts": (piece_counts, None),
     "op5_source_mixing": (mixture, MIXTURE_SQL),
+    "op6_class_lm": (language_scores, None),
     "op7_threshold_search": (best_matches, BEST_MATCHES_SQL),
     "op8_weak_rules": (quality_verdicts, None),
     "op9_token_files": (token_file_digests, None),
