@@ -74,7 +74,7 @@ def allocate(docs: DataFrame, keep: list[str] | None = None, share: float = SHAR
         F.col("source").alias("own"), "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("key"), F.col("doc_id")]
     placed = positions(sized, order, "place", "source").join(shares, F.col("source").eqNullSafe(F.col("own")))
-    expected = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    expected = F.coalesce(F.least(F.lit(most), F.try_divide("target", "source_size")), F.lit(0.0))
     offset = uniform(seed, F.col("source"))
     crossed = F.floor(offset + expected * (F.col("place") + 1)) - F.floor(offset + expected * F.col("place"))
     copies = F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long")

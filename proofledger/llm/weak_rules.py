@@ -94,20 +94,20 @@ def rules() -> dict[str, Column]:
     def vote(bad: Column, good: Column, asked: Column) -> Column:
         return F.when(asked & bad, 0).when(asked & good, 1)
 
-    def per_word(count: str) -> Column:
-        return F.col(count) / words
+    def above(count: str, share: float) -> Column:  # of the words; no division, as there may be none
+        return F.col(count) > share * words
 
     any_ = words > 0
     return {
-        "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02, any_),
+        "symbols": vote(above("n_symbols", 0.1), ~above("n_symbols", 0.02), any_),
         "capitals": vote(F.col("n_capitals") > 0.4 * F.col("n_letters"), F.col("n_capitals") < 0.15 * F.col("n_letters"), F.col("n_letters") >= 20),
-        "cries": vote(per_word("n_cries") > 0.2, per_word("n_cries") < 0.05, any_),
+        "cries": vote(above("n_cries", 0.2), ~above("n_cries", 0.05), any_),
         "letters": vote(F.col("n_letters") < 0.75 * F.col("word_chars"), F.col("n_letters") > 0.85 * F.col("word_chars"), words >= 20),
-        "bare_marks": vote(per_word("n_bare") > 0.1, per_word("n_bare") < 0.03, any_),
+        "bare_marks": vote(above("n_bare", 0.1), ~above("n_bare", 0.03), any_),
         "table_rows": vote(F.col("n_rows") > 0.4 * lines, F.col("n_rows") < 0.1 * lines, any_),
-        "echoes": vote(per_word("n_echoes") > 0.2, per_word("n_echoes") < 0.08, words >= 20),
-        "word_length": vote((per_word("word_chars") < 3) | (per_word("word_chars") > 7.5), per_word("word_chars").between(4, 6.5), words >= 20),
-        "variety": vote(per_word("n_distinct") < 0.3, per_word("n_distinct") > 0.45, words.between(20, 5000)),
+        "echoes": vote(above("n_echoes", 0.2), ~above("n_echoes", 0.08), words >= 20),
+        "word_length": vote(~above("word_chars", 3) | above("word_chars", 7.5), above("word_chars", 4) & ~above("word_chars", 6.5), words >= 20),
+        "variety": vote(~above("n_distinct", 0.3), above("n_distinct", 0.45), words.between(20, 5000)),
         "line_ends": vote(F.col("n_ended") < 0.3 * lines, F.col("n_ended") > 0.7 * lines, any_),
         "line_copies": vote(F.col("n_dup_lines") > 0.4 * lines, F.col("n_dup_lines") < 0.1 * lines, lines >= 3),
         "window_copies": vote(F.col("n_repeat_words") > 0.3 * words, F.col("n_repeat_words") < 0.1 * words, words >= 20),
