@@ -28,24 +28,37 @@ def top(df: DataFrame, order_by: list[str], k: int) -> DataFrame:
     return df.orderBy(*order_columns(df, order_by)).limit(k)
 
 
-def with_position(df: DataFrame, order_by: list[str] | None, cap: int) -> DataFrame:
-    """First ``cap + 1`` rows in order with a 0-based ``pos``; the extra row shows an oversized result.
+def sequenced(df: DataFrame, order_by: list[str] | None) -> DataFrame:
+    """``df`` in order with ``pos``, a number that rises along the order and has gaps between partitions.
+
+    The rows are sorted by ranges, so a result of any length takes many tasks."""
+    return own_sequence(df.orderBy(*order_columns(df, order_by)))
+
+
+def own_sequence(df: DataFrame) -> DataFrame:
+    """The same for a query that orders itself: ``pos`` follows its own ORDER BY."""
+    return df.withColumn("pos", F.monotonically_increasing_id())
 
-    The limit runs as a distributed top-k, so the one-partition window sees at most cap + 1 rows.
-    """
-    order = order_columns(df, order_by)
-    kept = df.orderBy(*order).limit(cap + 1)
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint") - 1)
 
+def without_gaps(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows with ``pos`` counted 0, 1, 2, ... per key: the place in its own partition plus the rows of the
+    partitions before, so that no result has to meet in one task."""
+    split = stored.withColumn("_part", F.shiftright("pos", 33))
+    sizes = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
+    return split.join(starts, [*keys, "_part"]).withColumn("pos", F.col("pos") + F.col("_shift")).drop("_part", "_shift").select(
+        *stored.columns)
 
-def with_own_position(df: DataFrame, cap: int) -> DataFrame:
-    """The same for a query that orders itself: ``pos`` follows its own ORDER BY.
 
-    A limit ends in one partition that keeps the order, where the generated ids are 0, 1, 2, ...; an
-    id from any other partition would be huge, and stops the job.
-    """
-    seq = F.monotonically_increasing_id()
-    numbered = df.limit(cap + 1).withColumn("pos", seq)
-    one_partition = F.when(F.col("pos") <= cap, F.col("pos")).otherwise(
-        F.raise_error(F.lit("result rows are not in one partition")).cast("bigint"))
-    return numbered.withColumn("pos", one_partition)
+def numbered(df: DataFrame, order_by: list[str] | None, path: str) -> DataFrame:
+    """``df`` with its places 0, 1, 2, ... in order as ``pos``, by way of a table written at ``path``."""
+    sequenced(df, order_by).write.mode("errorifexists").parquet(path)
+    return without_gaps(df.sparkSession.read.parquet(path), [])
+
+
+def top_with_position(df: DataFrame, order_by: list[str] | None, k: int) -> DataFrame:
+    """The first ``k`` rows in order with ``pos``: a distributed top-k, then a window over at most k rows."""
+    order = order_columns(df, order_by)
+    kept = df.orderBy(*order).limit(k)
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint") - 1)

@@ -1,7 +1,12 @@
 """Results as rows of text, and one (row count, SHA-256) fingerprint per result.
 
 A long table ``result_rows(question_id, attempt_n, pos, line_v1, line_v2, defect, key)`` carries any
-number of results at once; ``pos`` is the row's place in the result's own order.
+number of results at once; ``pos`` rises along the result's own order, and is its place once the
+rows are stored and read back.
+
+Versions 1 and 2 hash a result as one text, as pinned questions need it: the lines of one result meet
+in one buffer, so they are for results that a person pinned. Version 3 folds: rows are hashed where
+they are, then per block of positions, then over the blocks, whatever the length.
 """
 
 from __future__ import annotations
@@ -10,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofledger.functions.cells import RECORD_SEPARATOR, plain_text, row_defect, row_line
-from proofledger.operators.ordering import with_own_position, with_position
-from proofledger.schemas import ROW_CAP
+from proofledger.operators.ordering import own_sequence, sequenced
 
 RESULT_KEY = ["question_id", "attempt_n"]
 
@@ -27,13 +31,13 @@ def line_columns(df: DataFrame, columns: list[str]) -> list[Column]:
 
 
 def result_rows(df: DataFrame, question_id: str, attempt_n: int, order_by: list[str] | None = None,
-                cap: int = ROW_CAP, own_order: bool = False) -> DataFrame:
-    """One result in the long form, at most ``cap + 1`` rows of it.
+                own_order: bool = False) -> DataFrame:
+    """One whole result in the long form.
 
     Its order is ``order_by`` and then all columns, or what the query itself ends with (``own_order``).
     """
     columns = df.columns
-    placed = with_own_position(df, cap) if own_order else with_position(df, order_by, cap)
+    placed = own_sequence(df) if own_order else sequenced(df, order_by)
     return placed.select(F.lit(question_id).alias("question_id"), F.lit(attempt_n).alias("attempt_n"), "pos",
                          *line_columns(placed, columns))
 
@@ -46,34 +50,55 @@ def payload(lines: Column, version: int) -> Column:
     raise ValueError(f"unsupported serializer version: {version}")
 
 
-def fingerprints(rows: DataFrame, version: int, keys: list[str] | None = None, cap: int = ROW_CAP) -> DataFrame:
-    """(keys, rows, sha256, defect, oversized) per result that has rows.
+BLOCK = 4096  # entries that one fold hashes together
+FOLDS = 5  # 4096 ** 5 rows
+
+
+def fingerprints(rows: DataFrame, version: int, keys: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """(keys, rows, sha256, defect, oversized) per result that has rows; ``rows`` is the true count.
 
-    A hash is over the whole ordered result, so its lines meet in one place. The cap bounds them:
-    positions beyond ``cap`` are dropped before the shuffle except the one that proves the excess,
-    and such a result is reported as oversized without a hash.
+    A result of more than ``cap`` rows, where a run sets one, is oversized and gets no hash.
     """
     keys = keys or RESULT_KEY
-    line = F.coalesce(F.col(f"line_v{version}"), F.lit(""))
-    grouped = rows.where(F.col("pos") <= cap).groupBy(*keys).agg(
+    whole = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("placed"),
-        F.min_by("defect", F.when(F.col("defect").isNotNull(), F.col("pos"))).alias("found_defect"),
-    )
-    lines = F.transform("placed", lambda p: p["line"])
-    oversized = F.col("rows") > cap
-    defect = F.col("found_defect") if version == 2 else F.lit(None).cast("string")
-    return grouped.select(
+        F.min_by("defect", F.when(F.col("defect").isNotNull(), F.col("pos"))).alias("found_defect"))
+    oversized = F.col("rows") > cap if cap is not None else F.lit(False)
+    counted = whole.withColumn("oversized", oversized)
+    if cap is not None:
+        rows = rows.join(counted.where(~F.col("oversized")).select(*keys), keys, "left_semi")
+    hashed = folded(rows, keys) if version == 3 else flat(rows, version, keys)
+    defect = F.lit(None).cast("string") if version == 1 else F.col("found_defect")
+    return counted.join(hashed, keys, "left").select(
         *keys,
         "rows",
-        F.when(~oversized & defect.isNull(), F.sha2(payload(lines, version), 256)).alias("sha256"),
-        F.when(~oversized, defect).alias("defect"),
-        oversized.alias("oversized"),
+        F.when(~F.col("oversized") & defect.isNull(), F.col("sha256")).alias("sha256"),
+        F.when(~F.col("oversized"), defect).alias("defect"),
+        "oversized",
     )
 
 
+def flat(rows: DataFrame, version: int, keys: list[str]) -> DataFrame:
+    """One hash over the text of a whole result."""
+    line = F.coalesce(F.col(f"line_v{version}"), F.lit(""))
+    placed = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    return rows.groupBy(*keys).agg(placed.alias("placed")).select(
+        *keys, F.sha2(payload(F.transform("placed", lambda p: p["line"]), version), 256).alias("sha256"))
+
+
+def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One hash over the typed lines of a result, from the hashes of its rows, block by block; needs ``pos`` without gaps."""
+    digests = rows.select(*keys, "pos", F.sha2(F.coalesce("line_v2", F.lit("")), 256).alias("sha256"))
+    for _ in range(FOLDS):
+        entries = F.array_sort(F.collect_list(F.struct("pos", "sha256")))
+        digests = digests.groupBy(*keys, F.floor(F.col("pos") / BLOCK).alias("block")).agg(entries.alias("entries")).select(
+            *keys, F.col("block").alias("pos"),
+            F.sha2(F.array_join(F.transform("entries", lambda e: e["sha256"]), "\n"), 256).alias("sha256"))
+    return digests.drop("pos")
+
+
 def empty_sha(version: int) -> Column:
-    return F.sha2(F.lit("" if version == 1 else "[]"), 256)
+    return F.sha2(F.lit("[]" if version == 2 else ""), 256)
 
 
 def with_empty_results(results: DataFrame, prints: DataFrame, version: int, keys: list[str] | None = None) -> DataFrame:
@@ -87,10 +112,10 @@ def with_empty_results(results: DataFrame, prints: DataFrame, version: int, keys
     })
 
 
-def fingerprint(df: DataFrame, order_by: list[str] | None = None, version: int = 1, cap: int = ROW_CAP) -> DataFrame:
+def fingerprint(df: DataFrame, order_by: list[str] | None = None, version: int = 1, cap: int | None = None) -> DataFrame:
     """One row (rows, sha256, defect, oversized) for one result."""
     if version not in (1, 2):
         raise ValueError(f"unsupported serializer version: {version}")
-    rows = result_rows(df, "", 1, order_by, cap)
+    rows = result_rows(df, "", 1, order_by)
     one = df.sparkSession.range(1).select(F.lit("").alias("question_id"), F.lit(1).alias("attempt_n"))
     return with_empty_results(one, fingerprints(rows, version, cap=cap), version).drop(*RESULT_KEY)

@@ -14,9 +14,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofledger.operators.matching import differing_positions
+from proofledger.operators.ordering import without_gaps
 from proofledger.plans.fingerprints import RESULT_KEY, fingerprints, result_rows, with_empty_results
-from proofledger.schemas import ROW_CAP
+from proofledger.plans.guard import Text, read_text
 
 REFERENCE = 0  # attempt number of a question's own answer
 JOBS_AT_ONCE = 8
@@ -28,22 +28,25 @@ ROWS_SCHEMA = ("pos BIGINT, line_v1 STRING, line_v2 STRING, defect STRING, key S
 class Run:
     """One answer to compute: a lazy DataFrame builder and the order of its rows.
 
-    ``order_by`` None keeps the order the query itself ends with.
+    ``order_by`` None keeps the order the query itself ends with. ``text`` is set for a query text: it is
+    judged before anything of it is run.
     """
 
     question_id: str
     attempt_n: int
     build: Callable[[], DataFrame]
     order_by: tuple[str, ...] | None = ()
+    text: Callable[[], Text] | None = None
 
 
 def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, order_by: Iterable[str] | None = None,
-            as_of: str | None = None, **tables: DataFrame) -> Run:
-    """A stored query text. ``:as_of`` is the run date, so a replay does not depend on the clock;
-    tables are named in braces. Only query text owned by the caller is run."""
+            as_of: str | None = None, tables: Iterable[str] = ("resale",)) -> Run:
+    """A stored query text. ``:as_of`` is the run date, so a replay does not depend on the clock.
+
+    Only one query over the views ``tables`` is run. A text that does not end in a sort gets the default order."""
     args = {"as_of": as_of} if as_of else None
-    return Run(question_id, attempt_n, lambda: spark.sql(body, args=args, **tables),
-               None if order_by is None else tuple(order_by))
+    return Run(question_id, attempt_n, lambda: spark.sql(body, args=args),
+               None if order_by is None else tuple(order_by), lambda: read_text(spark, body, set(tables)))
 
 
 # ---- fixed values: SQLSTATE classes of errors that are the query's own ----
@@ -60,11 +63,19 @@ def _note(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error)[:200]}"
 
 
-def execute(run: Run, path: str, cap: int = ROW_CAP) -> tuple[str, int, str, str]:
+def execute(run: Run, path: str) -> tuple[str, int, str, str]:
     """Write one answer's rows; returns its attempt record. A failing query is an outcome, not a crash."""
+    own_order = run.order_by is None
+    if run.text is not None:
+        text = run.text()
+        if text.outcome:
+            return run.question_id, run.attempt_n, text.outcome, text.note
+        own_order = own_order and text.ordered
     try:
-        rows = result_rows(run.build(), run.question_id, run.attempt_n, list(run.order_by or ()), cap,
-                           own_order=run.order_by is None)
+        answer = run.build()
+        if not answer.columns:
+            return run.question_id, run.attempt_n, "result_contract_error", "ValueError: a result without columns"
+        rows = result_rows(answer, run.question_id, run.attempt_n, list(run.order_by or ()), own_order)
         rows.drop(*RESULT_KEY).write.mode("errorifexists").parquet(
             f"{path}/question_id={run.question_id}/attempt_n={run.attempt_n}")
     except PySparkException as error:
@@ -74,10 +85,10 @@ def execute(run: Run, path: str, cap: int = ROW_CAP) -> tuple[str, int, str, str
     return run.question_id, run.attempt_n, "ok", ""
 
 
-def replay(spark: SparkSession, runs: list[Run], path: str, cap: int = ROW_CAP) -> tuple[DataFrame, DataFrame]:
+def replay(spark: SparkSession, runs: Iterable[Run], path: str) -> tuple[DataFrame, DataFrame]:
     """Execute every run; returns (attempts, result_rows). Independent jobs overlap on the cluster."""
     with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
-        records = list(pool.map(lambda r: execute(r, path, cap), runs))
+        records = list(pool.map(lambda r: execute(r, path), runs))
     attempts = spark.createDataFrame(records, "question_id STRING, attempt_n INT, outcome STRING, note STRING")
     if not any(r[2] == "ok" for r in records):
         return attempts, spark.createDataFrame([], ROWS_SCHEMA)
@@ -85,10 +96,11 @@ def replay(spark: SparkSession, runs: list[Run], path: str, cap: int = ROW_CAP)
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ROWS_SCHEMA).parquet(path)
+    """All stored rows with their places in their results."""
+    return without_gaps(spark.read.schema(ROWS_SCHEMA).parquet(path), RESULT_KEY)
 
 
-def fingerprinted(attempts: DataFrame, rows: DataFrame, version: int, cap: int = ROW_CAP) -> DataFrame:
+def fingerprinted(attempts: DataFrame, rows: DataFrame, version: int, cap: int | None = None) -> DataFrame:
     """Attempts with rows, sha256, defect, oversized; a failed attempt has none of them."""
     prints = with_empty_results(attempts, fingerprints(rows, version, cap=cap), version)
     ran = F.col("outcome") == "ok"
@@ -99,10 +111,13 @@ def references(prints: DataFrame) -> DataFrame:
     return prints.where(F.col("attempt_n") == REFERENCE).select("question_id", "rows", "sha256", "outcome", "oversized")
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Candidate attempts with ``stored``, the number of them per question."""
+def candidates(prints: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Candidate attempts with ``stored``, the number of attempts that the log holds of a question.
+
+    ``stored`` (question_id, stored) is that number where a log is replayed in part; else all attempts count."""
     real = prints.where(F.col("attempt_n") != REFERENCE)
-    stored = real.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("stored"))
+    if stored is None:
+        stored = real.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("stored"))
     return real.join(stored, "question_id")
 
 
@@ -114,6 +129,7 @@ def typed_comparison(prints: DataFrame, rows: DataFrame) -> DataFrame:
     same_count = F.col("rows").eqNullSafe(F.col("want_rows"))
     return joined.select(
         *RESULT_KEY, "outcome", "rows", "sha256",
+        F.array(F.col("want_rows").cast("string"), "want_sha").alias("reference_fingerprint"),
         (same_count & F.col("sha256").eqNullSafe(F.col("want_sha"))).alias("match"),
         (same_count & F.col("differing").isNull()).alias("direct_rows_equal"),
     )
@@ -121,17 +137,16 @@ def typed_comparison(prints: DataFrame, rows: DataFrame) -> DataFrame:
 
 def row_differences(rows: DataFrame) -> DataFrame:
     """Positions at which a candidate's row differs from the reference row, with the reference key."""
-    reference = rows.where(F.col("attempt_n") == REFERENCE).drop("attempt_n")
-    candidate = rows.where(F.col("attempt_n") != REFERENCE)
-    numbered = candidate.select(*RESULT_KEY).distinct()
-    spread_out = reference.join(numbered, "question_id")
-    found = differing_positions(spread_out, candidate, RESULT_KEY, "line_v2")
-    keys = spread_out.select(*RESULT_KEY, "pos", "key")
-    return found.join(keys, [*RESULT_KEY, "pos"])
+    reference = rows.where(F.col("attempt_n") == REFERENCE).select(
+        "question_id", "pos", F.col("line_v2").alias("reference_line"), "key")
+    candidate = rows.where(F.col("attempt_n") != REFERENCE).select(
+        *RESULT_KEY, "pos", F.col("line_v2").alias("candidate_line"))
+    return candidate.join(reference, ["question_id", "pos"]).where(
+        ~F.col("reference_line").eqNullSafe(F.col("candidate_line")))
 
 
 def mismatch_keys(differences: DataFrame, question_id: str, attempt_n: int) -> DataFrame:
-    """Keys (first column) of one attempt's differing rows in order, bounded by the row cap."""
+    """Keys (first column) of one attempt's differing rows in order, as one list."""
     chosen = differences.where((F.col("question_id") == question_id) & (F.col("attempt_n") == attempt_n))
     placed = F.array_sort(F.collect_list(F.struct("pos", "key")))
     return chosen.agg(F.transform(placed, lambda p: p["key"]).alias("keys"))

@@ -14,10 +14,9 @@ from proofledger.operators.matching import require_none, without_match
 
 
 def latest_records(records: DataFrame) -> DataFrame:
-    """The last record of each question: a later one never has fewer attempts."""
-    rec = F.struct("question", "model", "attempts")
-    return records.groupBy("question_id").agg(F.max_by(rec, F.size("attempts")).alias("rec")).select(
-        "question_id", "rec.*")
+    """The record of each question that comes last in the log (``read_at``: file, place in the file)."""
+    rec = F.struct("question", "model", "attempts", "read_at")
+    return records.groupBy("question_id").agg(F.max_by(rec, "read_at").alias("rec")).select("question_id", "rec.*")
 
 
 def expand_attempts(records: DataFrame, at_most: int | None = 2) -> DataFrame:
@@ -32,13 +31,15 @@ def expand_attempts(records: DataFrame, at_most: int | None = 2) -> DataFrame:
 
 
 def require_candidates(questions: DataFrame, records: DataFrame) -> None:
-    require_none(without_match(questions, records, ["question_id"]), "no candidates for", "question_id")
+    require_none(without_match(questions, records, ["question_id"]), "questions without an attempt", "question_id")
 
 
-def models_used(records: DataFrame, meta: DataFrame) -> DataFrame:
-    """Distinct models, the run's own where a record names none."""
+def models_used(latest: DataFrame, meta: DataFrame, questions: DataFrame) -> DataFrame:
+    """Distinct models of the records that count, the run's own where a record names none.
+
+    Superseded records and records of other questions do not count."""
     run = meta.agg(F.first("model").alias("run_model"))
-    return (records.select("model").crossJoin(F.broadcast(run))
+    return (latest.join(questions.select("question_id"), "question_id", "left_semi").select("model").crossJoin(F.broadcast(run))
             .select(F.coalesce("model", "run_model").alias("model")).distinct())
 
 
@@ -62,7 +63,7 @@ def repinned(questions: DataFrame, recomputed: DataFrame) -> DataFrame:
 # ---- classification ----
 
 
-def classified(attempts: DataFrame, references: DataFrame, cap: int = schemas.ROW_CAP) -> DataFrame:
+def classified(attempts: DataFrame, references: DataFrame, cap: int | None = None) -> DataFrame:
     """Adds ``mismatch`` ('' for a match), ``reason`` and ``ok`` to each attempt.
 
     attempts: question_id, attempt_n, outcome, note, rows, sha256, and optionally defect, oversized.
@@ -163,11 +164,11 @@ def mismatch_counts(v: DataFrame) -> DataFrame:
 
 
 def type_chart(v: DataFrame, type_order: list[str] | None = None) -> DataFrame:
-    """Passed and failed per type; ``place`` follows the fixed type order, unknown types are left out."""
+    """Passed and failed per type; ``place`` follows the fixed type order, other types share the place after it."""
     order = type_order or schemas.QUESTION_TYPES
     places = v.sparkSession.createDataFrame([(t, i) for i, t in enumerate(order)], "type STRING, place INT")
-    return by_type(v).join(places, "type").select(
-        "place", "type", "passed", (F.col("n") - F.col("passed")).alias("failed"))
+    return by_type(v).join(F.broadcast(places), "type", "left").select(
+        F.coalesce("place", F.lit(len(order))).alias("place"), "type", "passed", (F.col("n") - F.col("passed")).alias("failed"))
 
 
 def trap_rates(v: DataFrame) -> DataFrame:
@@ -176,14 +177,14 @@ def trap_rates(v: DataFrame) -> DataFrame:
 
 
 def failure_chart(v: DataFrame) -> DataFrame:
-    """Every class of the taxonomy, zero-filled, with the largest one marked."""
+    """Every class of the taxonomy, zero-filled, and after them any other that occurs, with the largest one marked."""
     classes = v.sparkSession.createDataFrame([(c, i) for i, c in enumerate(schemas.FAILURE_CLASSES)],
                                              "mismatch_type STRING, place INT")
     counts = mismatch_counts(v)
     largest = counts.agg(F.max_by("mismatch_type", F.struct(F.col("n"), _name_descending())).alias("largest"))
-    filled = classes.join(counts, "mismatch_type", "left").na.fill(0, ["n"])
+    filled = classes.join(counts, "mismatch_type", "full_outer").na.fill(0, ["n"])
     return filled.crossJoin(F.broadcast(largest)).select(
-        "place", "mismatch_type", "n", F.col("mismatch_type").eqNullSafe(F.col("largest")).alias("is_largest"))
+        F.coalesce("place", F.lit(len(schemas.FAILURE_CLASSES))).alias("place"), "mismatch_type", "n", F.col("mismatch_type").eqNullSafe(F.col("largest")).alias("is_largest"))
 
 
 def _name_descending() -> Column:
@@ -264,7 +265,7 @@ def identity_differences(stored: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def require_same_run(stored: DataFrame, now: DataFrame) -> None:
-    require_none(identity_differences(stored, now), "resume identity mismatch", "field")
+    require_none(identity_differences(stored, now), "settings differ from the run to resume", "field")
 
 
 def done_questions(records: DataFrame, references: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def published(spark: SparkSession, root: str) -> DataFrame:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    row = published(spark, root).agg(F.max_by("version", "seq").alias("version")).first()
+    row = published(spark, root).agg(F.max_by("version", F.struct("seq", "published_at", "version")).alias("version")).first()
     return row.version
 
 
@@ -74,7 +74,8 @@ def publish(spark: SparkSession, staged: DataFrame, root: str, receipt: DataFram
     """Write a new version, check the written files, publish it when clean.
 
     Returns whether it was published, and the check rows. ``accounting`` is the one-row exclusion
-    count, whose reconciliation is one of the checks.
+    count; the rows found in the written files and the excluded ones must make up the raw ones. One writer
+    publishes at a time: of two with the same number the later ``published_at``, then the larger version, is read.
     """
     version = version or uuid.uuid4().hex
     folder = f"{root}/versions/{version}"
@@ -82,9 +83,10 @@ def publish(spark: SparkSession, staged: DataFrame, root: str, receipt: DataFram
     receipt.write.mode("errorifexists").parquet(f"{folder}/source_receipt")
     written = read_staged(spark, f"{folder}/resale")
     results = table_checks.table_checks(written, first_day, as_of)
-    reconciled = accounting.select(
+    stored = written.agg(F.count(F.lit(1)).alias("stored"))
+    reconciled = accounting.crossJoin(F.broadcast(stored)).select(
         F.lit("retained + excluded = raw").alias("check_name"),
-        F.when(F.col("reconciled"), 0).otherwise(1).cast("bigint").alias("violations"),
+        F.when(F.col("stored") + F.col("excluded") == F.col("raw"), 0).otherwise(1).cast("bigint").alias("violations"),
     )
     results.unionByName(reconciled).write.mode("errorifexists").parquet(f"{folder}/checks")
     outcome = spark.read.parquet(f"{folder}/checks")

@@ -43,7 +43,9 @@ def typed_raw(raw_text: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LOG_SCHEMA).json(path)
+    """The log with ``read_at``, which rises along it: by file name, then along the file."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.schema(schemas.LOG_SCHEMA).json(path).withColumn("read_at", place)
 
 
 def log_meta(log: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def log_meta(log: DataFrame) -> DataFrame:
 
 
 def log_records(log: DataFrame) -> DataFrame:
-    return log.where("id IS NOT NULL").select(F.col("id").alias("question_id"), "question", "model", "attempts")
+    return log.where("id IS NOT NULL").select(F.col("id").alias("question_id"), "question", "model", "attempts", "read_at")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

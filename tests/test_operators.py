@@ -12,7 +12,7 @@ from proofledger.functions.numeric import is_finite_positive, round_places
 from proofledger.operators.matching import differing_positions, require_none, without_match
 from proofledger.operators import medians as median_module
 from proofledger.operators.medians import exact_median, few_groups, period_medians
-from proofledger.operators.ordering import ordered, with_position
+from proofledger.operators.ordering import numbered, ordered, top_with_position
 from proofledger.operators.windows import (
     change_from_previous,
     first_per_group,
@@ -127,12 +127,20 @@ def test_first_per_group_cuts_before_the_shuffle(spark):
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
 
 
-def test_order_puts_nulls_last_and_is_total(spark):
+def test_order_puts_nulls_last_and_is_total(spark, tmp_path):
     df = spark.createDataFrame([("b", 1), (None, 1), ("a", 2), ("a", 1)], "k STRING, n INT")
     assert [tuple(r) for r in ordered(df).collect()] == [("a", 1), ("a", 2), ("b", 1), (None, 1)]
-    placed = with_position(df, ["n desc"], 10).orderBy("pos").collect()
+    placed = numbered(df, ["n desc"], str(tmp_path / "n")).orderBy("pos").collect()
     assert [(r.k, r.n, r.pos) for r in placed] == [("a", 2, 0), ("a", 1, 1), ("b", 1, 2), (None, 1, 3)]
-    assert with_position(df, ["n desc"], 1).count() == 2
+    assert sorted((r.pos, r.k) for r in top_with_position(df, ["n desc"], 2).collect()) == [(0, "a"), (1, "a")]
+
+
+def test_places_of_a_long_result_in_many_partitions(spark, tmp_path):
+    df = spark.range(50_000, numPartitions=7).select((F.col("id") * 7919 % 50_021).alias("v"))
+    placed = numbered(df, ["v"], str(tmp_path / "long"))
+    assert placed.count() == 50_000
+    before = placed.alias("a").join(placed.alias("b"), F.col("a.pos") + 1 == F.col("b.pos"))
+    assert before.where("a.v < b.v").count() == 49_999
 
 
 def test_matching(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from proofledger.plans import jobs
 from proofledger.plans import replay as rp
 from proofledger.plans import verdicts as vd
+from proofledger.plans.fingerprints import BLOCK, FOLDS
+from proofledger.plans.guard import read_text
 from proofledger.plans.questions import BY_ID, QUESTIONS, Subject, answer
 from proofledger.plans.staging import stage
 from proofledger.plans.verdicts import repinned
@@ -71,8 +73,8 @@ def test_first_change_is_null_and_year_is_text(resale):
 BODY = "SELECT town, count(*) AS n FROM resale WHERE sale_date <= CAST(:as_of AS DATE) GROUP BY town"
 
 
-def replayed(spark, tmp_path, runs, version=2, cap=10_000):
-    attempts, rows = rp.replay(spark, runs, str(tmp_path / "rows"), cap)
+def replayed(spark, tmp_path, runs, version=2, cap=None):
+    attempts, rows = rp.replay(spark, runs, str(tmp_path / "rows"))
     return rp.fingerprinted(attempts, rows, version, cap), rows
 
 
@@ -104,6 +106,53 @@ def test_replay_outcomes(spark, resale, tmp_path):
     assert [n for n, r in sorted(typed.items()) if r.match] == [10, 11]
 
 
+@pytest.mark.parametrize("body,outcome", [
+    ("DROP VIEW resale", "guardrail_reject"), ("SELECT 1 AS a; DROP VIEW resale", "guardrail_reject"),
+    ("SELECT * FROM other", "guardrail_reject"), ("SELECT * FROM parquet.`/tmp/x`", "guardrail_reject"),
+    ("INSERT INTO resale SELECT 1", "guardrail_reject"), ("SELECT * FROM range(3)", "guardrail_reject"),
+    ("WITH r AS (SELECT 1 AS a) SELECT * FROM r JOIN secret", "guardrail_reject"),
+    ("SELECT a FROM resale WHERE (SELECT max(x) FROM hidden) > 1", "guardrail_reject"),
+    ("SELEC 1", "sql_error"), ("SELECT ';' AS a", ""), ("WITH r AS (SELECT town FROM resale) SELECT * FROM r;", ""),
+])
+def test_texts_are_judged_before_they_run(spark, resale, tmp_path, body, outcome):
+    resale.createOrReplaceTempView("resale")
+    assert read_text(spark, body, {"resale"}).outcome == outcome
+    record = rp.execute(rp.sql_run(spark, "Q", 1, body), str(tmp_path))
+    assert record[2] == (outcome or "ok")
+    assert spark.catalog.tableExists("resale")
+
+
+def test_unordered_text_has_one_hash(spark, resale, tmp_path):
+    many = resale.unionByName(resale.withColumn("town", F.concat("town", F.lit("2")))).unionByName(
+        resale.withColumn("town", F.concat("town", F.lit("3"))))
+    many.createOrReplaceTempView("resale")
+    body = "SELECT town, block, count(*) AS n FROM resale GROUP BY town, block"
+    assert not read_text(spark, body, {"resale"}).ordered
+    assert read_text(spark, f"WITH a AS ({body}) SELECT * FROM a ORDER BY n LIMIT 3", {"resale"}).ordered
+    hashes = set()
+    for k, partitions in enumerate((2, 3, 8)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found, _ = replayed(spark, tmp_path / str(k), [rp.sql_run(spark, "Q", 0, body)])
+        hashes.add(rp.references(found).first().sha256)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    resale.createOrReplaceTempView("resale")
+    assert len(hashes) == 1
+
+
+def test_a_long_result_is_counted_and_folded(spark, tmp_path):
+    import hashlib
+
+    df = spark.range(30_000, numPartitions=5).select((F.lit(30_000) - F.col("id")).alias("v"))
+    found, rows = replayed(spark, tmp_path, [rp.Run("Q", 0, lambda: df, ("v",)), rp.Run("Q", 1, lambda: df, ("v desc",))], 3)
+    assert {r.attempt_n: r.rows for r in found.collect()} == {0: 30_000, 1: 30_000}
+    digests = [hashlib.sha256(f'[["number","{v}.00"]]'.encode()).hexdigest() for v in range(1, 30_001)]
+    for _ in range(FOLDS):
+        digests = [hashlib.sha256("\n".join(digests[k:k + BLOCK]).encode()).hexdigest() for k in range(0, len(digests), BLOCK)]
+    assert [rp.references(found).first().sha256] == digests
+    compared = rp.typed_comparison(found, rows).first()
+    assert not compared.match and not compared.direct_rows_equal
+
+
 def test_a_failing_file_system_is_no_verdict(spark, tmp_path):
     run = rp.sql_run(spark, "Q", 1, "SELECT 1 AS a")
     assert rp.execute(run, str(tmp_path))[2] == "ok"
@@ -168,15 +217,45 @@ def test_verify_log_end_to_end(spark, resale, tmp_path, version):
     out = tmp_path / "out" / "run_date=2026-01-01" / f"serializer_version={version}" / "summary"
     summary = json.loads(spark.read.text(str(out)).first().value)
     assert summary["totals"]["passed"] == 1 and summary["receipt"]["models_used"] == ["m"]
-    if version == 1:
+    for _ in range(1):
         stale = questions.withColumn("sha256", F.lit("0"))
-        with pytest.raises(ValueError, match="do not reproduce"):
+        with pytest.raises(ValueError, match="no longer gives"):
             jobs.verify_log(spark, stale, log, str(tmp_path / "work2"), str(tmp_path / "out2"))
 
 
+def test_a_log_with_superseded_foreign_and_long_records(spark, resale, tmp_path):
+    """The last record counts whatever its length, other questions' records do not, and all stored attempts are counted."""
+    resale.createOrReplaceTempView("resale")
+    schema = """question_id STRING, type STRING, trap BOOLEAN, question STRING, why STRING, sql STRING,
+        order_by ARRAY<STRING>, rows BIGINT, sha256 STRING"""
+    unpinned = spark.createDataFrame([("Q1", "grouping", True, "?", "", BODY, ["n desc"], None, None)], schema)
+    found, _ = replayed(spark, tmp_path / "pin", [rp.sql_run(spark, "Q1", 0, BODY, ["n desc"], "2026-01-01")], 1)
+    questions = repinned(unpinned, rp.references(found))
+
+    def line(question, model, *texts):
+        return {"id": question, "model": model, "attempts": [{"n": n, "sql": t, "outcome": "ok"} for n, t in enumerate(texts, 1)]}
+
+    meta = {"meta": {"model": "m", "run_date": "2026-01-01", "serializer_version": 2, "golden_set_version": 7}}
+    lines = [meta, line("Q1", "old", *[f"SELECT {k} AS a" for k in range(4)]), line("Q9", "foreign", "SELECT 1 AS a"),
+             line("Q1", "new", "SELECT 1 AS a", "DROP VIEW resale", "SELECT 3 AS a")]
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in lines))
+    log = readers.read_log(spark, str(path))
+    got = jobs.verify_log(spark, questions, log, str(tmp_path / "w"), str(tmp_path / "o"), as_of="2026-01-01",
+                          candidates_file="log.jsonl", set_version=3).collect()
+    assert [(r.status, r.attempts, r.attempt2_status) for r in got] == [("fail", 3, "guardrail_reject")]
+    out = str(tmp_path / "o" / "run_date=2026-01-01" / "serializer_version=2")
+    receipt = json.loads(spark.read.text(f"{out}/summary").first().value)["receipt"]
+    assert receipt["models_used"] == ["new"] and receipt["golden_set_version"] == 3
+    assert receipt["as_of"] == "2026-01-01" and receipt["candidates_file"] == "log.jsonl" and receipt["fingerprints_verified"]
+    with pytest.raises(ValueError, match="finished run"):
+        jobs.verify_log(spark, questions, log, str(tmp_path / "w2"), str(tmp_path / "o"))
+    assert spark.catalog.tableExists("resale")
+
+
 def test_identity_gate_comes_before_any_query(spark, tmp_path):
     from proofledger import schemas
-    from proofledger.sources import contract, manifest
+    from proofledger.sources import contract, manifest, publish
 
     source = tmp_path / "src"
     source.mkdir()
@@ -189,6 +268,9 @@ def test_identity_gate_comes_before_any_query(spark, tmp_path):
     schema = """question_id STRING, type STRING, trap BOOLEAN, question STRING, why STRING, sql STRING,
         order_by ARRAY<STRING>, rows BIGINT, sha256 STRING"""
     questions = spark.createDataFrame([("Q1", "grouping", False, "?", "", BODY, ["n desc"], None, None)], schema)
+    publish.current_table(spark, root).createOrReplaceTempView("resale")
+    found, _ = replayed(spark, tmp_path / "pin", [rp.sql_run(spark, "Q1", 0, BODY, ["n desc"], "2026-01-01")], 1)
+    questions = repinned(questions, rp.references(found))
     log = readers.read_log(spark, log_file(tmp_path, 2, [BODY + " ORDER BY n DESC"]))
     args = (root, str(source), locked, questions, log)
     done = jobs.verify_published(spark, *args, str(tmp_path / "w"), str(tmp_path / "o"))

@@ -119,7 +119,7 @@ def test_empty_result(spark, version, text):
 
 def test_unknown_version_is_refused(spark):
     with pytest.raises(ValueError):
-        print_of(spark, [(1,)], "a INT", version=3)
+        print_of(spark, [(1,)], "a INT", version=4)
 
 
 def test_order_and_cap(spark):

@@ -36,9 +36,9 @@ LOG = [
 
 @pytest.fixture(scope="module")
 def records(spark):
-    rows = [(i, "?", model, attempts) for i, model, attempts in LOG]
-    return spark.createDataFrame(
-        rows, f"question_id STRING, question STRING, model STRING, attempts ARRAY<{schemas.ATTEMPT_STRUCT}>")
+    rows = [(i, "?", model, attempts, ("file", 0, at)) for at, (i, model, attempts) in enumerate(LOG)]
+    return spark.createDataFrame(rows, f"""question_id STRING, question STRING, model STRING,
+        attempts ARRAY<{schemas.ATTEMPT_STRUCT}>, read_at STRUCT<file: STRING, start: BIGINT, id: BIGINT>""")
 
 
 @pytest.fixture(scope="module")
@@ -135,9 +135,9 @@ def test_runs_are_compared(verdicts):
 
 def test_models_and_missing_candidates(spark, questions, records):
     meta = spark.createDataFrame([("m0",)], "model STRING")
-    assert sorted(r.model for r in vd.models_used(records, meta).collect()) == ["m0", "m2", "m3"]
+    assert sorted(r.model for r in vd.models_used(vd.latest_records(records), meta, questions).collect()) == ["m0", "m2", "m3"]
     vd.require_candidates(questions, records)
-    with pytest.raises(ValueError, match="no candidates for: \\['Q5'\\]"):
+    with pytest.raises(ValueError, match="questions without an attempt: \\['Q5'\\]"):
         vd.require_candidates(questions, records.where("question_id <> 'Q5'"))
 
 

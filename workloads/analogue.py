@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -13,7 +13,7 @@ from proofledger import schemas
 from proofledger.functions.cells import plain_text
 from proofledger.functions.numeric import round_places
 from proofledger.operators.medians import exact_median
-from proofledger.operators.windows import first_per_group
+from proofledger.operators.ordering import numbered
 from proofledger.plans import staging
 from proofledger.plans.fingerprints import line_columns
 from proofledger.plans.questions import Subject
@@ -172,7 +172,7 @@ def raw_csv(spark: SparkSession, sf_dir: str, dirty: bool = False, codec: str =
     return made_once(spark, sf_dir, f"raw_{'dirty' if dirty else 'clean'}_{codec}", make)
 
 
-# ---- verdict log: each (user, day) is a question, its first two events are the attempts ----
+# ---- verdict log: each (user, day) is a question, its events are the attempts ----
 
 
 def event_outcome():
@@ -210,11 +210,9 @@ def event_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested log record per question with at most two attempts.
-
-    ``first_per_group`` keeps two events per group before they meet, so a hot user costs nothing extra.
-    """
-    kept = first_per_group(event_groups(spark, sf_dir), ["question_id"], [F.col("ts"), F.col("event_id")], "n", 2)
+    """One nested log record per question with all its attempts, as a log holds them."""
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("ts", "event_id"))
+    kept = event_groups(spark, sf_dir).withColumn("n", place)
     ok = F.col("outcome") == "ok"
     rows, sha = value_print(F.col("value"))
     entry = F.struct(
@@ -245,7 +243,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         records = event_records(spark, sf_dir)
         meta = spark.createDataFrame([(META,)], f"meta {schemas.META_STRUCT}")
-        early = records.where(F.size("attempts") == 2).withColumn("attempts", F.slice("attempts", 1, 1))
+        early = records.where(F.size("attempts") >= 2).withColumn("attempts", F.slice("attempts", 1, 1))
         log = meta.unionByName(early, allowMissingColumns=True).unionByName(records, allowMissingColumns=True)
         log.write.mode("errorifexists").json(path)
 
@@ -254,24 +252,26 @@ def event_log(spark: SparkSession, sf_dir: str) -> str:
 
 # ---- result rows at volume: every order is a result, its line items are the rows ----
 
-ORDER_CAP = 8  # results longer than this are rejected, as a long-running service would at 10,000
 CELLS = ["label", "part", "price", "signed", "tax", "shipped", "day", "open"]
+ITEM_KEYS = ["l_orderkey"]
 # Total up to line items that are equal in every cell.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
               "l_returnflag", "l_linestatus"]
 
 
 def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered result rows per order with cells of every kind, at most ``ORDER_CAP + 1`` rows each.
-
-    The cut happens in each task before the shuffle, so an order with any number of items is harmless.
-    """
+    """Ordered result rows per order with cells of every kind, all items of every order."""
     line = table(spark, sf_dir, "lineitem")
-    placed = first_per_group(line, ["l_orderkey"], [F.col(c) for c in LINE_ORDER], "place", ORDER_CAP + 1)
+    placed = line.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    return item_cells(placed, F.col("l_orderkey"), F.col("place").cast("bigint") - 1)
+
+
+def item_cells(placed: DataFrame, question_id: Column, pos: Column) -> DataFrame:
+    """Line items as result rows."""
     odd_text = F.when(F.col("l_linenumber") % 2 == 0, F.lit('"\\\t\x01é/')).otherwise("")
     return placed.select(
-        F.col("l_orderkey").alias("question_id"),
-        (F.col("place").cast("bigint") - 1).alias("pos"),
+        question_id.alias("question_id"),
+        pos.alias("pos"),
         F.concat(F.col("l_returnflag"), odd_text).alias("label"),
         F.col("l_partkey").alias("part"),
         F.col("l_extendedprice").alias("price"),
@@ -296,7 +296,7 @@ def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number that cannot be serialized, or without any row, by the order number."""
     cells = order_results(spark, sf_dir)
     kind = F.col("question_id") % 7
-    size = F.count(F.lit(1)).over(Window.partitionBy("question_id"))  # at most ORDER_CAP + 1 rows
+    size = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
     last = F.col("size") - 1
     changed = (
         cells.withColumn("size", size)
@@ -317,6 +317,15 @@ def order_rows(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
     return spark.read.parquet(made_once(spark, sf_dir, "order_rows", make)).where(F.col("attempt_n") == attempt_n)
 
 
+def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as the rows of one result, by the hundred thousand and more."""
+    def make(path: str) -> None:
+        placed = numbered(table(spark, sf_dir, "lineitem"), [*ITEM_KEYS, *LINE_ORDER], f"{path}-places")
+        as_result_rows(item_cells(placed, F.lit("items"), F.col("pos")), 0).write.mode("errorifexists").parquet(path)
+
+    return spark.read.parquet(made_once(spark, sf_dir, "all_items", make))
+
+
 def order_log(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
     """One executed attempt per order."""
     ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id")).distinct()

@@ -55,11 +55,12 @@ def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Attempts and result rows of all references and candidates, computed once per input folder."""
     def make(path: str) -> None:
         table = an.staged(spark, sf_dir)
-        attempts, _ = rp.replay(spark, reference_runs(table) + attempt_runs(table), f"{path}/rows")
+        attempts, rows = rp.replay(spark, reference_runs(table) + attempt_runs(table), f"{path}/rows")
         attempts.write.parquet(f"{path}/attempts")
+        rows.write.parquet(f"{path}/placed")
 
     path = an.made_once(spark, sf_dir, "replay", make)
-    return spark.read.parquet(f"{path}/attempts"), rp.stored_rows(spark, f"{path}/rows")
+    return spark.read.parquet(f"{path}/attempts"), spark.read.parquet(f"{path}/placed")
 
 
 def prints(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
@@ -80,7 +81,7 @@ def verdict_table(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFra
 
 def typed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = replayed(spark, sf_dir)
-    return rp.typed_comparison(prints(spark, sf_dir, 2), rows)
+    return rp.typed_comparison(prints(spark, sf_dir, 2), rows).drop("reference_fingerprint")
 
 
 def rolling_mismatch_months(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,11 +188,12 @@ def replay_documents(spark, sf_dir):
     def make(path):
         sinks.write_json(sinks.replay_documents(typed_comparison(spark, sf_dir)), path)
 
-    schema = """question_id BIGINT, status STRING, attempts ARRAY<STRUCT<attempt_n: INT, outcome: STRING,
+    schema = """question_id BIGINT, status STRING, reference_fingerprint ARRAY<STRING>, attempts ARRAY<STRUCT<attempt_n: INT, outcome: STRING,
         fingerprint: ARRAY<STRING>, match: BOOLEAN, direct_rows_equal: BOOLEAN>>"""
     docs = spark.read.schema(schema).json(an.made_once(spark, sf_dir, "evidence", make))
-    return docs.select("question_id", "status", F.explode("attempts").alias("a")).select(
-        "question_id", "status", "a.attempt_n", "a.outcome", F.element_at("a.fingerprint", 1).alias("rows"),
+    wanted = F.element_at("reference_fingerprint", 1).alias("reference_rows")
+    return docs.select("question_id", "status", wanted, F.explode("attempts").alias("a")).select(
+        "question_id", "status", "reference_rows", "a.attempt_n", "a.outcome", F.element_at("a.fingerprint", 1).alias("rows"),
         "a.match", "a.direct_rows_equal")
 
 
@@ -287,7 +288,7 @@ ENTRIES: dict[str, tuple] = {
              ({BY_TYPE_SQL}) b"""),
     "sink_replay_documents": (replay_documents, f"""{VOLUME_SQL}
         SELECT question_id, CASE WHEN match THEN 'pass_first_try' ELSE 'fail' END AS status, attempt_n, outcome,
-          CAST(rows AS VARCHAR) AS rows, match, direct_rows_equal FROM typed"""),
+          CAST(want_rows AS VARCHAR) AS reference_rows, CAST(rows AS VARCHAR) AS rows, match, direct_rows_equal FROM typed"""),
     "sink_separate_runs": (separate_runs, f"""{WITH_VERDICTS}
         SELECT CAST(d AS DATE) AS run_date, s AS serializer_version, status, count(*) AS n
         FROM v, (VALUES ('2001-06-30', 1), ('2001-07-01', 2)) r(d, s) GROUP BY 1, 2, 3"""),

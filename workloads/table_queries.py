@@ -9,7 +9,7 @@ from proofledger.functions.numeric import mean, round_places, safe_ratio, share_
 from proofledger.functions.parse import STOREY_HIGH, STOREY_LOW, lease_years, matched_int, month_date
 from proofledger.operators import windows as wn
 from proofledger.operators.medians import exact_median, period_medians
-from proofledger.operators.ordering import with_position
+from proofledger.operators.ordering import numbered, top_with_position
 from proofledger.plans import checks, profiles, staging
 from proofledger.plans.questions import sparse_rows, years
 from workloads import analogue as an
@@ -336,13 +336,13 @@ def arg_max_struct(spark, sf_dir):
 def top_positions(spark, sf_dir):
     """Top twenty (town, street, block) with the place of each in the order."""
     counts = an.staged(spark, sf_dir).groupBy("town", "street_name", "block").agg(F.count(F.lit(1)).alias("n"))
-    return with_position(counts, ["n desc", "town", "street_name", "block"], 19)
+    return top_with_position(counts, ["n desc", "town", "street_name", "block"], 20)
 
 
 def default_order(spark, sf_dir):
     """No order given: every column ascending, NULLs last; positions show the order."""
     counts = spoiled(an.staged(spark, sf_dir)).groupBy("town", "flat_type").agg(F.count(F.lit(1)).alias("n"))
-    return with_position(counts, None, 10_000)
+    return numbered(counts, None, an.fresh_path(spark, "numbered"))
 
 
 def check_union(spark, sf_dir):

@@ -12,7 +12,7 @@ from proofledger.operators.matching import differing_positions, without_match
 from proofledger.plans import checks
 from proofledger.plans import replay as rp
 from proofledger.plans import verdicts as vd
-from proofledger.plans.fingerprints import fingerprints, with_empty_results
+from proofledger.plans.fingerprints import BLOCK, FOLDS, fingerprints, with_empty_results
 from proofledger.sources import readers
 from workloads import analogue as an
 
@@ -20,25 +20,34 @@ from workloads import analogue as an
 
 
 def order_fingerprints(spark, sf_dir, version):
-    prints = fingerprints(an.order_rows(spark, sf_dir, 0), version, cap=an.ORDER_CAP)
+    prints = fingerprints(an.order_rows(spark, sf_dir, 0), version)
     return prints.select("question_id", "rows", "sha256", "oversized")
 
 
 def _order_prints(spark, sf_dir):
     references = with_empty_results(an.order_log(spark, sf_dir, 0),
-                                    fingerprints(an.order_rows(spark, sf_dir, 0), 2, cap=an.ORDER_CAP), 2)
+                                    fingerprints(an.order_rows(spark, sf_dir, 0), 2), 2)
     attempts = with_empty_results(an.order_log(spark, sf_dir, 1),
-                                  fingerprints(an.order_rows(spark, sf_dir, 1), 2, cap=an.ORDER_CAP), 2)
+                                  fingerprints(an.order_rows(spark, sf_dir, 1), 2), 2)
     return references, attempts
 
 
+def whole_table_fingerprint(spark, sf_dir):
+    """One result with a row for every line item."""
+    return fingerprints(an.all_items(spark, sf_dir), 3).select("question_id", "rows", "sha256", "oversized")
+
+
 def order_classes(spark, sf_dir):
     """The class of every changed result, with its note."""
     references, attempts = _order_prints(spark, sf_dir)
-    judged = vd.classified(attempts, references, an.ORDER_CAP)
+    judged = vd.classified(attempts, references)
     return judged.select("question_id", "mismatch", "reason", "ok")
 
 
+def compared(spark, sf_dir):
+    return typed_comparison(spark, sf_dir).drop("reference_fingerprint")
+
+
 def typed_comparison(spark, sf_dir):
     references, attempts = _order_prints(spark, sf_dir)
     rows = an.order_rows(spark, sf_dir, 0).unionByName(an.order_rows(spark, sf_dir, 1))
@@ -120,7 +129,7 @@ def runs_compared(spark, sf_dir):
 
 def models(spark, sf_dir):
     log = readers.read_log(spark, an.event_log(spark, sf_dir))
-    return vd.models_used(readers.log_records(log), readers.log_meta(log))
+    return vd.models_used(records(spark, sf_dir), readers.log_meta(log), questions(spark, sf_dir))
 
 
 def done(spark, sf_dir):
@@ -166,12 +175,13 @@ _EVENTS = """
     ev AS (
       SELECT 'U' || user_id || '-' || strftime(ts, '%Y%m%d') AS question_id, ts, event_id, event_type, value,
         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-        row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n
+        row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n,
+        count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS stored
       FROM events
     ),
     att AS (
       SELECT question_id, CAST(n AS INTEGER) AS attempt_n,
-        CAST(count(*) OVER (PARTITION BY question_id) AS INTEGER) AS stored,
+        CAST(stored AS INTEGER) AS stored,
         CASE event_type WHEN 'error' THEN 'sql_error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS outcome,
         CASE WHEN event_type IN ('error', 'signup') THEN 'event ' || event_id ELSE '' END AS note,
         CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(1 AS BIGINT) END AS rows,
@@ -221,8 +231,6 @@ _TOTALS = """SELECT count(*) AS questions, count(*) FILTER (WHERE status = 'pass
 _LABEL = "l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN chr(34) || chr(92) || chr(9) || chr(1) || 'é/' ELSE '' END"
 _LABEL_JSON = ("l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN chr(92) || chr(34) || chr(92) || chr(92) || "
                "chr(92) || 't' || chr(92) || 'u0001é/' ELSE '' END")
-_C = an.ORDER_CAP
-
 
 def _lines(price: str, version: int) -> str:
     if version == 1:
@@ -241,8 +249,8 @@ def _lines(price: str, version: int) -> str:
 _ORDERED = f"""WITH placed AS (
       SELECT *, l_orderkey AS question_id,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(an.LINE_ORDER)}) - 1 AS pos,
-        least(count(*) OVER (PARTITION BY l_orderkey), {_C + 1}) AS size
-      FROM lineitem QUALIFY pos <= {_C}
+        count(*) OVER (PARTITION BY l_orderkey) AS size
+      FROM lineitem
     ),
     ref AS (SELECT question_id, pos, size, {_lines('l_extendedprice', 1)} AS line1,
         {_lines('l_extendedprice', 2)} AS line2 FROM placed),
@@ -262,36 +270,52 @@ def _order_print_sql(version: int) -> str:
     text = ("string_agg(line1, chr(30) ORDER BY pos)" if version == 1
             else "'[' || string_agg(line2, ',' ORDER BY pos) || ']'")
     return f"""{_ORDERED}
-    SELECT question_id, count(*) AS rows, CASE WHEN count(*) <= {_C} THEN sha256({text}) END AS sha256,
-      count(*) > {_C} AS oversized FROM ref GROUP BY 1"""
+    SELECT question_id, count(*) AS rows, sha256({text}) AS sha256, false AS oversized FROM ref GROUP BY 1"""
+
+
+def _folded_sql(rows: str) -> str:
+    """Hash of ``rows`` (question_id, pos, line2) folded block by block."""
+    steps = [f"f0 AS (SELECT question_id, pos, sha256(line2) AS d FROM {rows})"]
+    for k in range(FOLDS):
+        steps.append(f"""f{k + 1} AS (SELECT question_id, pos // {BLOCK} AS pos, sha256(string_agg(d, chr(10) ORDER BY pos)) AS d
+            FROM f{k} GROUP BY 1, 2)""")
+    return ", ".join(steps)
+
+
+_FOLDED_ORDERS = f"""{_ORDERED}, {_folded_sql('ref')}
+    SELECT question_id, rows, d AS sha256, false AS oversized FROM f{FOLDS}
+    JOIN (SELECT question_id, count(*) AS rows FROM ref GROUP BY 1) USING (question_id)"""
+_ALL_ITEMS = f"""WITH items AS (SELECT 'items' AS question_id, {_lines('l_extendedprice', 2)} AS line2,
+        row_number() OVER (ORDER BY {', '.join([*an.ITEM_KEYS, *an.LINE_ORDER])}) - 1 AS pos FROM lineitem),
+    {_folded_sql('items')}
+    SELECT question_id, (SELECT count(*) FROM items) AS rows, d AS sha256, false AS oversized FROM f{FOLDS}"""
 
 
 VOLUME_SQL = f"""{_ORDERED},
     rp AS (SELECT question_id, count(*) AS rows,
-        CASE WHEN count(*) <= {_C} THEN sha256('[' || string_agg(line2, ',' ORDER BY pos) || ']') END AS sha256
+        sha256('[' || string_agg(line2, ',' ORDER BY pos) || ']') AS sha256
       FROM ref GROUP BY 1),
-    cp AS (SELECT question_id, count(c.pos) AS rows, count(c.pos) > {_C} AS oversized,
-        count(c.pos) <= {_C} AND count(c.pos) > count(c.line2) AS defect,
+    cp AS (SELECT question_id, count(c.pos) AS rows,
+        count(c.pos) > count(c.line2) AS defect,
         CASE WHEN count(c.pos) = 0 THEN sha256('[]')
-          WHEN count(c.pos) <= {_C} AND count(c.pos) = count(c.line2)
+          WHEN count(c.pos) = count(c.line2)
           THEN sha256('[' || string_agg(c.line2, ',' ORDER BY c.pos) || ']') END AS sha256
       FROM (SELECT DISTINCT question_id FROM placed) LEFT JOIN cand c USING (question_id) GROUP BY 1),
     diff AS (SELECT question_id, count(*) AS differing FROM ref JOIN cand USING (question_id, pos)
       WHERE ref.line2 IS DISTINCT FROM cand.line2 GROUP BY 1),
-    typed AS (SELECT question_id, 1 AS attempt_n, 'ok' AS outcome, cp.rows, cp.sha256,
+    typed AS (SELECT question_id, 1 AS attempt_n, 'ok' AS outcome, cp.rows, cp.sha256, rp.rows AS want_rows,
         cp.rows = rp.rows AND cp.sha256 IS NOT DISTINCT FROM rp.sha256 AS match,
         cp.rows = rp.rows AND differing IS NULL AS direct_rows_equal
       FROM cp JOIN rp USING (question_id) LEFT JOIN diff USING (question_id))"""
 
 _CLASS_SQL = f"""{VOLUME_SQL}
     SELECT question_id, mismatch, CASE mismatch WHEN '' THEN ''
-        WHEN 'guardrail_reject' THEN 'row cap exceeded ({_C})'
         WHEN 'result_contract_error' THEN 'ValueError: non-finite result number'
         WHEN 'wrong_row_count' THEN 'rows ' || rows || ' != ' || want_rows
         ELSE 'rows ' || rows || ' right, sha ' || left(sha256, 12) || ' != ' || left(want_sha, 12) END AS reason,
       mismatch = '' AS ok
     FROM (SELECT cp.*, rp.rows AS want_rows, rp.sha256 AS want_sha,
-        CASE WHEN oversized THEN 'guardrail_reject' WHEN defect THEN 'result_contract_error'
+        CASE WHEN defect THEN 'result_contract_error'
           WHEN cp.rows <> rp.rows THEN 'wrong_row_count'
           WHEN cp.sha256 IS DISTINCT FROM rp.sha256 THEN 'value_mismatch' ELSE '' END AS mismatch
       FROM cp JOIN rp USING (question_id))"""
@@ -328,8 +352,10 @@ _DONE = """done AS (SELECT question_id FROM att JOIN qs USING (question_id)
 ENTRIES: dict[str, tuple] = {
     "print_orders_v1": (partial(order_fingerprints, version=1), _order_print_sql(1)),
     "print_orders_v2": (partial(order_fingerprints, version=2), _order_print_sql(2)),
+    "print_orders_v3": (partial(order_fingerprints, version=3), _FOLDED_ORDERS),
+    "print_all_items_v3": (whole_table_fingerprint, _ALL_ITEMS),
     "compare_order_classes": (order_classes, _CLASS_SQL),
-    "compare_order_typed": (typed_comparison, f"""{VOLUME_SQL}
+    "compare_order_typed": (compared, f"""{VOLUME_SQL}
         SELECT question_id, attempt_n, outcome, rows, sha256, match, direct_rows_equal FROM typed"""),
     "compare_order_positions": (order_differences, f"""{_ORDERED}
         SELECT question_id, pos, true AS in_reference, true AS in_candidate FROM ref JOIN cand USING (question_id, pos)
