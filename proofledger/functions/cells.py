@@ -126,7 +126,9 @@ def typed_pair(c: Column, dtype: T.DataType) -> Column:
 
 
 def contract_defect(c: Column, dtype: T.DataType) -> Column | None:
-    """Why a cell cannot be serialized, NULL when it can; None for a type that always can."""
+    """Why a cell cannot be serialized, NULL when it can; None for a type that always can.
+
+    Fixed values: the wording, which verdict files carry."""
     kind = kind_of(dtype)
     if kind == "unsupported":
         return F.when(c.isNotNull(), F.lit(f"TypeError: unsupported result type: {dtype.simpleString()}"))

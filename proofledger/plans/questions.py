@@ -523,12 +523,12 @@ def q24_mean_by_clock(as_of: str) -> Build:
 
 
 def q24_mean_by_last_date(t, s):
-    """Mean instead of median, anchored on the last date of the table."""
-    last = t.agg(F.max("sale_date").alias("last"), F.max("sale_year").alias("last_year"))
-    rows = t.select("sale_date", "sale_year", "resale_price").crossJoin(F.broadcast(last)).where(
-        F.col("sale_date") >= F.add_months("last", -24))
-    by_year = rows.groupBy("sale_year", "last_year").agg(mean(F.col("resale_price"), 4).alias("mean"))
-    change = change_from_previous(by_year, "mean", "sale_year", "d").where("sale_year >= last_year - 1")
+    """Mean instead of median, anchored on the last date of the table, which is looked up in its newest year."""
+    newest = t.agg(F.max("sale_year")).scalar()
+    last = t.where(F.col("sale_year") == newest).agg(F.max("sale_date")).scalar()
+    rows = t.where((F.col("sale_year") >= newest - 2) & (F.col("sale_date") >= F.add_months(last, -24)))
+    by_year = rows.groupBy("sale_year").agg(mean(F.col("resale_price"), 4).alias("mean"))
+    change = change_from_previous(by_year, "mean", "sale_year", "d").where(F.col("sale_year") >= newest - 1)
     return change.where("d IS NOT NULL").agg(round_places(F.max_by("d", "sale_year"), 0).alias("price_increase"))
 
 

@@ -90,6 +90,7 @@ def classified(attempts: DataFrame, references: DataFrame, cap: int | None = Non
     def head(c: str) -> Column:
         return F.substring(text(c), 1, 12)
 
+    # The wording of the notes, which verdict files carry.
     reason = (
         F.when(F.col("mismatch") == "", F.lit(""))
         .when(over, F.lit(f"row cap exceeded ({cap})"))

@@ -41,7 +41,7 @@ VERDICT_FIELDS = [
     "attempt2_mismatch",
     "note",
 ]
-ROW_CAP = 10_000
+ROW_CAP = 10_000  # a limit that a run may ask for; no rows are cut
 NOTE_LENGTH = 120
 
 # All-text raw schema: a wrong number of fields is then the only thing that marks a record corrupt.
@@ -52,6 +52,7 @@ QUESTION_SCHEMA = """
     order_by ARRAY<STRING>, rows BIGINT, sha256 STRING
 """
 
+# ---- fixed values: fields of log records and of a run's identity ----
 ATTEMPT_STRUCT = """
     STRUCT<n: INT, sql: STRING, outcome: STRING, note: STRING,
            fingerprint: ARRAY<STRING>, response_text: STRING>

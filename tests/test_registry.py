@@ -44,6 +44,15 @@ def test_month_filters_reach_the_files(spark, sf_dir):
     assert "resale_price" not in text  # only the columns in use are read
 
 
+def test_questions_on_the_last_date_read_its_years_only(spark, sf_dir):
+    from proofledger.plans.questions import q24_mean_by_last_date
+    from workloads.table_queries import above_scalar
+
+    for df in (q24_mean_by_last_date(an.staged(spark, sf_dir), an.SUBJECT), above_scalar(spark, sf_dir)):
+        filters = [line for line in plan(df).splitlines() if "PartitionFilters" in line]
+        assert filters and any("sale_year" in line and ">=" in line for line in filters)
+
+
 def test_median_of_many_groups_reads_its_input_once(spark, sf_dir):
     df = exact_median(an.staged(spark, sf_dir), ["town"], F.col("price_per_sqm"), "m")
     df.collect()

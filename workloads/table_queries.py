@@ -215,8 +215,11 @@ def null_tests(spark, sf_dir):
 def above_scalar(spark, sf_dir):
     """Rows of the last 12 months of the table, by a scalar subquery on the latest date, in SQL."""
     return spark.sql(
-        """SELECT town, count(*) AS n FROM {resale}
-           WHERE sale_date > (SELECT max(sale_date) - INTERVAL 12 MONTH FROM {resale}) GROUP BY 1""",
+        """WITH newest AS (SELECT max(sale_year) AS sale_year FROM {resale}),
+             latest AS (SELECT max(sale_date) - INTERVAL 12 MONTH AS day FROM {resale}
+                        WHERE sale_year = (SELECT sale_year FROM newest))
+           SELECT town, count(*) AS n FROM {resale}
+           WHERE sale_year >= (SELECT sale_year - 1 FROM newest) AND sale_date > (SELECT day FROM latest) GROUP BY 1""",
         resale=an.staged(spark, sf_dir))
 
 
