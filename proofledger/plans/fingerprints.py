@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofledger.functions.cells import RECORD_SEPARATOR, plain_text, row_defect, row_line
+from proofledger.operators.folding import fold
 from proofledger.operators.ordering import own_sequence, sequenced
 
 RESULT_KEY = ["question_id", "attempt_n"]
@@ -50,10 +51,6 @@ def payload(lines: Column, version: int) -> Column:
     raise ValueError(f"unsupported serializer version: {version}")
 
 
-BLOCK = 4096  # entries that one fold hashes together
-FOLDS = 5  # 4096 ** 5 rows
-
-
 def fingerprints(rows: DataFrame, version: int, keys: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """(keys, rows, sha256, defect, oversized) per result that has rows; ``rows`` is the true count.
 
@@ -87,14 +84,8 @@ def flat(rows: DataFrame, version: int, keys: list[str]) -> DataFrame:
 
 
 def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One hash over the typed lines of a result, from the hashes of its rows, block by block; needs ``pos`` without gaps."""
-    digests = rows.select(*keys, "pos", F.sha2(F.coalesce("line_v2", F.lit("")), 256).alias("sha256"))
-    for _ in range(FOLDS):
-        entries = F.array_sort(F.collect_list(F.struct("pos", "sha256")))
-        digests = digests.groupBy(*keys, F.floor(F.col("pos") / BLOCK).alias("block")).agg(entries.alias("entries")).select(
-            *keys, F.col("block").alias("pos"),
-            F.sha2(F.array_join(F.transform("entries", lambda e: e["sha256"]), "\n"), 256).alias("sha256"))
-    return digests.drop("pos")
+    """One hash over the typed lines of a result, from the hashes of its rows; needs ``pos`` without gaps."""
+    return fold(rows.select(*keys, "pos", F.sha2(F.coalesce("line_v2", F.lit("")), 256).alias("sha256")), keys)
 
 
 def empty_sha(version: int) -> Column:

@@ -16,11 +16,12 @@ from proofledger.sources import contract, manifest, publish, readers, sinks
 
 
 def build_table(spark: SparkSession, source: str, root: str, as_of: str, published_at: str,
-                floors: contract.Floors = contract.Floors(), first_day: str = "2017-01-01") -> DataFrame:
+                floors: contract.Floors = contract.Floors(), first_day: str = "2017-01-01", multi_line: bool = False) -> DataFrame:
     """Raw files to a published table. Raises, and leaves the published version in force, when the raw
-    contract or a table check fails. Returns the published table."""
-    contract.require_clean(contract.contract_checks(spark, source, floors), "raw source validation")
-    typed = readers.typed_raw(readers.read_raw_text(spark, source))
+    contract or a table check fails. Returns the published table. ``multi_line`` accepts line breaks inside quotes,
+    and reads each file in one task."""
+    contract.require_clean(contract.contract_checks(spark, source, floors, multi_line), "raw source validation")
+    typed = readers.typed_raw(readers.read_raw_text(spark, source, multi_line))
     receipt = manifest.file_manifest(spark, source)
     clean, outcome = publish.publish(spark, staging.stage(typed, for_writing=True), root, receipt, staging.accounting(typed),
                                      as_of, first_day, published_at)

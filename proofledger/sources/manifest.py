@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofledger.functions.parse import MONTH_TEXT
+from proofledger.operators.folding import fold
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, bytes and sha256 of every file under ``path``, hashed where the file is read.
+    """name, bytes and hash of every file under ``path``: any size, read in splits.
 
-    One row holds one file, so Spark's 2 GB row limit applies per source file, not per source.
+    ``sha256`` is a folded hash over the hashes of the file's lines (cut at LF alone), so it does not depend on the
+    splits; whether the last line ends is told by ``bytes``, which the listing gives. A hash over the whole file as one
+    value, as a lock may carry it, is a label and not compared. Files without a byte are the contract's affair.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    lines = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
+    splits = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = lines.join(starts, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("pos"), "sha256")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    return listed.join(fold(placed, ["path"]), "path").select(name, "bytes", "sha256")
 
 
 def coverage(raw_text: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from proofledger.operators.folding import BLOCK, FOLDS
 from proofledger.plans import jobs
 from proofledger.plans import replay as rp
 from proofledger.plans import verdicts as vd
-from proofledger.plans.fingerprints import BLOCK, FOLDS
 from proofledger.plans.guard import read_text
 from proofledger.plans.questions import BY_ID, QUESTIONS, Subject, answer
 from proofledger.plans.staging import stage

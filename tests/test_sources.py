@@ -105,13 +105,53 @@ def test_build_publishes_only_clean_data(spark, write, tmp_path):
     assert publish.current_table(spark, root).count() == 1
 
 
+def folded_lines(data):
+    """Hash of the lines' hashes, 4,096 at a time, in five steps."""
+    digests = [hashlib.sha256(x).hexdigest() for x in data.removesuffix(b"\n").split(b"\n")]
+    for _ in range(5):
+        digests = [hashlib.sha256("\n".join(digests[k:k + 4096]).encode()).hexdigest() for k in range(0, len(digests), 4096)]
+    return digests[0]
+
+
+def test_identity_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    data = b"".join(b"%d;\xff\r\n" % (k * 7919 % 10_007) for k in range(12_000)) + b"last"
+    (tmp_path / "src" / "a.csv").write_bytes(data)
+    found = set()
+    for size in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.add(tuple(sorted(tuple(r) for r in manifest.file_manifest(spark, str(tmp_path / "src")).collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {(("a.csv", len(data), folded_lines(data)),)}
+
+
+def test_line_break_inside_quotes_is_published(spark, write, tmp_path):
+    broken = VALID.replace(",ST,", ',"ST\nONE",')
+    path = write(VALID, broken)
+    assert violations(spark, path)["well-formed quoting"] > 0
+    assert contract.contract_checks(spark, path, FLOORS, multi_line=True).where("violations > 0").isEmpty()
+    table = jobs.build_table(spark, path, str(tmp_path / "table"), "2026-01-01", "t", FLOORS, multi_line=True)
+    assert sorted(r.street_name for r in table.collect()) == ["ST", "ST\nONE"]
+
+
+def test_a_short_table_is_not_published(spark, write, tmp_path):
+    """Rows that staging lost on the way show against the written files."""
+    from proofledger.plans import staging
+
+    typed = readers.typed_raw(readers.read_raw_text(spark, write(VALID, VALID, VALID)))
+    receipt = spark.createDataFrame([("raw.csv", 1, "x")], "file STRING, bytes BIGINT, sha256 STRING")
+    short = staging.stage(typed.limit(2), for_writing=True)
+    clean, checks = publish.publish(spark, short, str(tmp_path / "t"), receipt, staging.accounting(typed), "2026-01-01", "2017-01-01", "t")
+    assert not clean and checks.where("check_name = 'retained + excluded = raw' AND violations = 1").count() == 1
+
+
 def test_manifest_and_receipt_time(spark, write):
     path = write(VALID, VALID.replace("2017-01", "2017-02"))
     data = open(f"{path}/raw.csv", "rb").read()
     labels = {"dataset_id": "d", "dataset_url": "u", "source": "s"}
     first = jobs.manifest_row(spark, path, labels, "2026-01-01T23:00:00+08:00")
     row = first.first()
-    assert (row.bytes, row.sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    assert (row.bytes, row.sha256) == (len(data), folded_lines(data))
     assert (row.rows, row.month_min, row.month_max, row.months) == (2, "2017-01", "2017-02", 2)
     again = jobs.manifest_row(spark, path, labels, "later", first).first()
     assert again.retrieved_at == "2026-01-01T23:00:00+08:00"

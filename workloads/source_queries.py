@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofledger import schemas
+from proofledger.operators.folding import FOLDS
 from proofledger.plans import staging
 from proofledger.plans import verdicts as vd
 from proofledger.sources import contract, manifest, publish, readers, sinks
@@ -12,6 +13,7 @@ from workloads import analogue as an
 from workloads import sql
 from workloads.table_queries import SPOILED, spoiled
 from workloads.verdict_queries import (
+    folded_sql,
     BY_TYPE_SQL,
     LOG_SQL,
     QUESTION_SQL,
@@ -110,6 +112,17 @@ def files(spark, sf_dir):
     return manifest.file_manifest(spark, sf_dir, "*.parquet")
 
 
+def text_files(spark, sf_dir):
+    """Identity of text files whose lines are known: a file of customers per nation."""
+    def make(path):
+        line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+        lines = an.table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", line.alias("value"))
+        placed = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+        placed.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+
+    return manifest.file_manifest(spark, f"{an.made_once(spark, sf_dir, 'customer_files', make)}/*").select("bytes", "sha256")
+
+
 def receipt_times(spark, sf_dir):
     """Earlier receipts keep their time for unchanged files; one file is made to look changed."""
     now = files(spark, sf_dir)
@@ -259,7 +272,12 @@ ENTRIES: dict[str, tuple] = {
     "contract_coverage": (coverage, _BROKEN + """
         SELECT count(*) AS rows, min(month) AS month_min, max(month) AS month_max, count(DISTINCT month) AS months
         FROM (SELECT CASE WHEN month <> 'bad' THEN month END AS month FROM ruled)"""),
-    "manifest_files": (files, None),
+    "manifest_files": (text_files, f"""WITH lines AS (
+          SELECT c_nationkey AS question_id, c_custkey || ',' || c_name || ',' || c_mktsegment AS line2,
+            row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
+        {folded_sql('lines')},
+        sizes AS (SELECT question_id, CAST(sum(strlen(line2) + 1) AS BIGINT) AS bytes FROM lines GROUP BY 1)
+        SELECT bytes, d AS sha256 FROM sizes JOIN f{FOLDS} USING (question_id)"""),
     "manifest_receipt_times": (receipt_times, f"""
         SELECT name || '.parquet' AS file,
           CASE name WHEN 'events' THEN '2026-06-01T08:00:00+08:00' ELSE '2026-01-01T23:30:00+08:00' END AS retrieved_at,

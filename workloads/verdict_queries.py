@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from proofledger import schemas
 from proofledger.functions.numeric import round_places
+from proofledger.operators.folding import BLOCK, FOLDS
 from proofledger.operators.matching import differing_positions, without_match
 from proofledger.plans import checks
 from proofledger.plans import replay as rp
 from proofledger.plans import verdicts as vd
-from proofledger.plans.fingerprints import BLOCK, FOLDS, fingerprints, with_empty_results
+from proofledger.plans.fingerprints import fingerprints, with_empty_results
 from proofledger.sources import readers
 from workloads import analogue as an
 
@@ -273,7 +274,7 @@ def _order_print_sql(version: int) -> str:
     SELECT question_id, count(*) AS rows, sha256({text}) AS sha256, false AS oversized FROM ref GROUP BY 1"""
 
 
-def _folded_sql(rows: str) -> str:
+def folded_sql(rows: str) -> str:
     """Hash of ``rows`` (question_id, pos, line2) folded block by block."""
     steps = [f"f0 AS (SELECT question_id, pos, sha256(line2) AS d FROM {rows})"]
     for k in range(FOLDS):
@@ -282,12 +283,12 @@ def _folded_sql(rows: str) -> str:
     return ", ".join(steps)
 
 
-_FOLDED_ORDERS = f"""{_ORDERED}, {_folded_sql('ref')}
+_FOLDED_ORDERS = f"""{_ORDERED}, {folded_sql('ref')}
     SELECT question_id, rows, d AS sha256, false AS oversized FROM f{FOLDS}
     JOIN (SELECT question_id, count(*) AS rows FROM ref GROUP BY 1) USING (question_id)"""
 _ALL_ITEMS = f"""WITH items AS (SELECT 'items' AS question_id, {_lines('l_extendedprice', 2)} AS line2,
         row_number() OVER (ORDER BY {', '.join([*an.ITEM_KEYS, *an.LINE_ORDER])}) - 1 AS pos FROM lineitem),
-    {_folded_sql('items')}
+    {folded_sql('items')}
     SELECT question_id, (SELECT count(*) FROM items) AS rows, d AS sha256, false AS oversized FROM f{FOLDS}"""
 
 
