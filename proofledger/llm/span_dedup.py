@@ -1,36 +1,41 @@
 """Substring dedup by sliding runs of sentences.
 
-A text is cut into sentences: after an end sign, at line ends, before a capital letter, and, in a sentence that goes
-on, after every ``LONGEST`` words. Every run of consecutive sentences, at least two, that is as short as
+A text is cut into sentences: after an end sign, at line ends, before a capital letter, and, in a sentence of more
+than ``LONGEST`` words, after words that their hash picks. Every run of consecutive sentences, at least two, that is as short as
 ``LEAST`` words allow is hashed, once from its first sentence on and once back from its last, so that a repeated
 passage is covered up to its own borders. The runs of all documents meet by hash; sentences that lie in
 a run that is not the first of its kind, by doc_id and place, are removed.
 
 Defined results: text NULL or empty stays as it is; words are compared, white space between
-them is not; a run that repeats within a document is removed there too; rows equal in doc_id and text are
+them is not; a run that repeats within a document is removed there too; runs are compared by 64-bit hashes; rows equal in doc_id and text are
 one document and stay alike; doc_id NULL comes first; a long text is cut whole; an empty table gives an empty
 table; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofledger.llm.common import by_rows, settle
+from proofledger.llm.common import by_rows, by_tasks, settle
 
-BORDER = regex.compile(r"(?<=[.!?])\s+|\s+(?=\p{Lu})|\s*\n\s*")
-#: Words of a run at least, and of a sentence before it is cut.
-LEAST, LONGEST = 16, 24
+#: White space after an end sign, at a line end, or before a capital letter (Latin, Greek, Cyrillic).
+BORDER = re.compile(r"(?:[.!?]\s|\n|\s(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]))\s*")
+WORDS = re.compile(r"\s*\S+\s*")
+#: Words of a run at least, and of a sentence before it is cut; one word in so many ends a part of a long sentence.
+LEAST, LONGEST, PICKED = 16, 24, 8
 
-SPAN = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()),
-                  ("high", pa.int64()), ("low", pa.int64())])
+#: Runs that a task holds before it hands them on.
+HELD = 1 << 17
+#: span: first sentence * 2^32 + sentence after the last.
+SPAN = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("span", pa.int64())])
 CLEANED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
 
 
@@ -47,31 +52,31 @@ def sentences(text: str) -> list[str]:
 
 
 def shortened(sentence: str) -> list[str]:
-    if sentence.count(" ") < LONGEST and len(sentence) < 2 * LONGEST:
+    """A long sentence in parts: cut after words that their hash picks, so that equal passages are cut alike."""
+    if sentence.count(" ") < LONGEST:
         return [sentence]
-    words = regex.findall(r"\s*\S+\s*", sentence) if len(sentence.split()) > LONGEST else []
-    return ["".join(words[k:k + LONGEST]) for k in range(0, len(words), LONGEST)] or [sentence]
+    parts, held = [], []
+    for word in WORDS.findall(sentence):
+        held.append(word)
+        if crc32(word.strip().encode()) % PICKED == 0 or len(held) == LONGEST:
+            parts.append("".join(held))
+            held = []
+    return [*parts, "".join(held)] if held else parts
 
 
-def runs(found: list[str]) -> Iterator[tuple[int, int, int]]:
-    """First sentence, sentence after the last, and 128-bit hash of every run."""
+def runs(found: list[str]) -> tuple[list[int], list[int]]:
+    """Span and hash of every run."""
     words = [s.split() for s in found]
-    sizes = np.array([len(w) for w in words])
     joined = [" ".join(w).encode() for w in words]
-    total = np.concatenate([[0], np.cumsum(sizes)])
     n = len(found)
+    total = np.zeros(n + 1, np.int64)
+    total[1:] = np.cumsum([len(w) for w in words])
     first = np.arange(n)
     stop = np.maximum(np.searchsorted(total, total[:n] + LEAST), first + 2)
     # The latest start from which the words up to this sentence's end are enough.
     start = np.minimum(np.searchsorted(total, total[1:] - LEAST, side="right") - 1, first - 1)
-    spans = {(i, j) for i, j in zip(first.tolist(), stop.tolist(), strict=True) if j <= n}
-    spans.update((i, j) for i, j in zip(start.tolist(), range(1, n + 1), strict=True) if i >= 0)
-    for i, j in spans:
-        yield i, j, xxhash.xxh3_128_intdigest(b" ".join(joined[i:j]))
-
-
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    spans = np.unique(np.concatenate([(first << 32 | stop)[stop <= n], (start << 32 | first + 1)[start >= 0]])).tolist()
+    return spans, [xxhash.xxh3_64_intdigest(b" ".join(joined[span >> 32:span & 0xFFFFFFFF])) for span in spans]
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -80,24 +85,43 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """The runs of every document: doc_id, mark, start, stop, hash."""
+    """The runs of every document: run (hash), doc_id, mark, span."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, hashes, owners, sizes = [], [], [], []
+
+        def handed_on():
+            doc_ids, marks = zip(*owners, strict=True)
+            own = pa.array(np.repeat(np.arange(len(owners)), sizes))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(doc_ids, pa.int64()).take(own),
+                pa.array(marks, pa.int64()).take(own), pa.array(places, pa.int64())], schema=SPAN)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
             for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for start, stop, value in runs(sentences(text.as_py() or "")):
-                    yield 0, (doc_id, mark, start, stop, signed(value >> 64), signed(value & 0xFFFFFFFFFFFFFFFF))
+                found, values = runs(sentences(text.as_py() or ""))
+                places += found
+                hashes += values
+                owners.append((doc_id, mark))
+                sizes.append(len(found))
+                if len(places) >= HELD:
+                    yield handed_on()
+                    places, hashes, owners, sizes = [], [], [], []
+        if places:
+            yield handed_on()
 
-    return by_rows(marked(docs), rows, SPAN)
+    return by_tasks(marked(docs), tasks, SPAN)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, mark and the runs (start, stop) of each document that another place holds before."""
+    """doc_id, mark and the spans (runs) of each document that another place holds before."""
     every = settle(spans(docs), "spans")
-    place = F.struct("doc_id", "mark", "start")
-    known = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = every.join(known.drop("n"), ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    known = every.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    shared = settle(every.join(known, "run"), "shared")
+    place = F.struct("doc_id", "mark", "span")
+    first = shared.groupBy("run").agg(F.min(place).alias("first"))
+    later = shared.join(first, "run").where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("runs"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -113,7 +137,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 found = sentences(text)
                 kept = np.ones(len(found), bool)
                 for run in covered:
-                    kept[run["start"]:run["stop"]] = False
+                    kept[run >> 32:run & 0xFFFFFFFF] = False
                 text = "".join(s for s, keep in zip(found, kept.tolist(), strict=True) if keep)
                 yield len(text), (doc_id, text, int((~kept).sum()))
 
