@@ -6,9 +6,11 @@ driver costs one answer, and fingerprints are computed for all answers in one pa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from proofledger.plans.guard import Text, read_text
 
 REFERENCE = 0  # attempt number of a question's own answer
 JOBS_AT_ONCE = 8
+RUNS_AT_ONCE = 1000  # runs that the driver holds, and attempts whose records are written together
+ATTEMPTS_SCHEMA = "question_id STRING, attempt_n INT, outcome STRING, note STRING, ran_question STRING, ran_attempt INT"
 ROWS_SCHEMA = ("pos BIGINT, line_v1 STRING, line_v2 STRING, defect STRING, key STRING, "
                "question_id STRING, attempt_n INT")
 
@@ -29,7 +33,7 @@ class Run:
     """One answer to compute: a lazy DataFrame builder and the order of its rows.
 
     ``order_by`` None keeps the order the query itself ends with. ``text`` is set for a query text: it is
-    judged before anything of it is run.
+    judged before anything of it is run. Runs with an equal ``key`` give the same answer and are run once.
     """
 
     question_id: str
@@ -37,6 +41,7 @@ class Run:
     build: Callable[[], DataFrame]
     order_by: tuple[str, ...] | None = ()
     text: Callable[[], Text] | None = None
+    key: tuple | None = None
 
 
 def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, order_by: Iterable[str] | None = None,
@@ -46,7 +51,8 @@ def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, or
     Only one query over the views ``tables`` is run. A text that does not end in a sort gets the default order."""
     args = {"as_of": as_of} if as_of else None
     return Run(question_id, attempt_n, lambda: spark.sql(body, args=args),
-               None if order_by is None else tuple(order_by), lambda: read_text(spark, body, set(tables)))
+               None if order_by is None else tuple(order_by), lambda: read_text(spark, body, set(tables)),
+               ("text", body, None if order_by is None else tuple(order_by), as_of, tuple(tables)))
 
 
 # ---- fixed values: SQLSTATE classes of errors that are the query's own ----
@@ -86,18 +92,33 @@ def execute(run: Run, path: str) -> tuple[str, int, str, str]:
 
 
 def replay(spark: SparkSession, runs: Iterable[Run], path: str) -> tuple[DataFrame, DataFrame]:
-    """Execute every run; returns (attempts, result_rows). Independent jobs overlap on the cluster."""
-    with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
-        records = list(pool.map(lambda r: execute(r, path), runs))
-    attempts = spark.createDataFrame(records, "question_id STRING, attempt_n INT, outcome STRING, note STRING")
-    if not any(r[2] == "ok" for r in records):
-        return attempts, spark.createDataFrame([], ROWS_SCHEMA)
-    return attempts, stored_rows(spark, path)
-
+    """Execute every run; returns (attempts, result_rows). Independent jobs overlap on the cluster.
 
-def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All stored rows with their places in their results."""
-    return without_gaps(spark.read.schema(ROWS_SCHEMA).parquet(path), RESULT_KEY)
+    Runs are taken some at a time, so the driver holds neither all texts nor all records; of each answer it keeps
+    a digest of the key and the outcome, to run equal ones once."""
+    ran: dict[bytes, tuple[str, int, str, str]] = {}
+    any_rows = False
+    with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
+        for part in batched(runs, RUNS_AT_ONCE):
+            names = [hashlib.sha256(repr(r.key or ("run", r.question_id, r.attempt_n)).encode()).digest() for r in part]
+            fresh = {name: run for name, run in reversed(list(zip(names, part, strict=True))) if name not in ran}
+            ran.update(zip(fresh, pool.map(lambda r: execute(r, path), fresh.values()), strict=True))
+            records = [(r.question_id, r.attempt_n, *ran[name][2:], *ran[name][:2]) for name, r in zip(names, part, strict=True)]
+            any_rows |= any(r[2] == "ok" for r in records)
+            spark.createDataFrame(records, ATTEMPTS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}-attempts")
+    if not ran:
+        return spark.createDataFrame([], ATTEMPTS_SCHEMA).drop("ran_question", "ran_attempt"), spark.createDataFrame([], ROWS_SCHEMA)
+    attempts = spark.read.schema(ATTEMPTS_SCHEMA).parquet(f"{path}-attempts")
+    rows = stored_rows(spark, path, attempts) if any_rows else spark.createDataFrame([], ROWS_SCHEMA)
+    return attempts.drop("ran_question", "ran_attempt"), rows
+
+
+def stored_rows(spark: SparkSession, path: str, attempts: DataFrame) -> DataFrame:
+    """The rows of every attempt with their places in their results; equal answers are stored once."""
+    stored = without_gaps(spark.read.schema(ROWS_SCHEMA).parquet(path), RESULT_KEY)
+    by = attempts.where("outcome = 'ok'").select(*RESULT_KEY, "ran_question", "ran_attempt")
+    ran = stored.withColumnsRenamed({"question_id": "ran_question", "attempt_n": "ran_attempt"})
+    return ran.join(by, ["ran_question", "ran_attempt"]).select(*stored.columns)
 
 
 def fingerprinted(attempts: DataFrame, rows: DataFrame, version: int, cap: int | None = None) -> DataFrame:

@@ -153,6 +153,19 @@ def test_a_long_result_is_counted_and_folded(spark, tmp_path):
     assert not compared.match and not compared.direct_rows_equal
 
 
+def test_equal_texts_run_once(spark, resale, tmp_path, monkeypatch):
+    resale.createOrReplaceTempView("resale")
+    monkeypatch.setattr(rp, "RUNS_AT_ONCE", 2)
+    done = []
+    monkeypatch.setattr(rp, "execute", lambda run, path, real=rp.execute: (done.append(run.attempt_n), real(run, path))[1])
+    runs = [rp.sql_run(spark, "Q", n, text) for n, text in enumerate(
+        ["SELECT town FROM resale", "SELECT 1 AS a", "SELECT town FROM resale", "DROP VIEW resale", "SELECT 1 AS a"])]
+    found, _ = replayed(spark, tmp_path, iter(runs))
+    assert sorted(done) == [0, 1, 3]
+    got = {r.attempt_n: (r.outcome, r.sha256) for r in found.collect()}
+    assert got[0] == got[2] and got[1] == got[4] and got[0] != got[1] and got[3][0] == "guardrail_reject"
+
+
 def test_a_failing_file_system_is_no_verdict(spark, tmp_path):
     run = rp.sql_run(spark, "Q", 1, "SELECT 1 AS a")
     assert rp.execute(run, str(tmp_path))[2] == "ok"

@@ -25,7 +25,7 @@ def spell(spelling: Spelling, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_runs(table: DataFrame) -> list[rp.Run]:
-    return [rp.Run(q.id, rp.REFERENCE, partial(q.build, table, an.SUBJECT), q.order_by) for q in QUESTIONS]
+    return [rp.Run(q.id, rp.REFERENCE, partial(q.build, table, an.SUBJECT), q.order_by, key=(q.id, "own")) for q in QUESTIONS]
 
 
 def attempt_plan() -> list[tuple[str, int, Spelling | None]]:
@@ -42,7 +42,8 @@ def attempt_runs(table: DataFrame) -> list[rp.Run]:
     for question_id, n, spelling in attempt_plan():
         build = spelling.build if spelling else BY_ID[question_id].build
         order_by = spelling.order_by if spelling else BY_ID[question_id].order_by
-        runs.append(rp.Run(question_id, n, partial(build, table, an.SUBJECT), order_by))
+        key = (question_id, spelling.name if spelling else "own")
+        runs.append(rp.Run(question_id, n, partial(build, table, an.SUBJECT), order_by, key=key))
     return runs
 
 
