@@ -300,6 +300,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     sizes = blocks.groupBy("bucket").agg(F.sum("n_ids").alias("n"))  # a row for each range of doc_id
     before = Window.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("bucket").alias("own"), "n").select("own", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return documents.join(starts, F.col("bucket") == F.col("own")).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "ids")
+    # The buckets are the partitions that the writer dealt: some bytes each.
+    return documents.join(F.broadcast(starts), F.col("bucket") == F.col("own")).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "ids")
 
 
