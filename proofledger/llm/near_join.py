@@ -11,7 +11,7 @@ Equal sets are one node. Nodes that share a signature are candidates, but pairs
 nodes is done once all its nodes are in one component. First each node is compared with the least node of each of
 its groups. What remains is searched in blocks for pairs that might link, by odd sketches: a set's elements counted
 modulo 2 in as many cells as its band needs; two sketches differ in no more cells than the sets in elements. Each
-node then proposes one partner, the pair is compared exactly, and so on until no group has a pair left that is in
+node proposes its nearest partners, the pairs are compared exactly, and so on until no group has a pair left that is in
 two components, might link and has not been compared.
 
 Defined results: text NULL, empty or without words has no shingles, links with nothing and is its own component;
@@ -40,7 +40,9 @@ from proofledger.llm.common import by_rows, settle
 #: A signature covers at least this many elements of an average set, where the scheme can be chosen so.
 COVER = 2
 #: Cells of a sketch for each difference that linked sets may have.
-CELLS = 16
+CELLS = 32
+#: Partners that a node gets compared with from one group at a time, the nearest first.
+PARTNERS = 8
 #: Nodes of a group that are searched together; a larger group is searched in pairs of blocks.
 BLOCK = 512
 MEMO_ENTRIES, MEMO_LONGEST = 1 << 19, 64
@@ -73,15 +75,18 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of ``size`` words, A-Z in lower case."""
     words = text.lower().split()  # of bytes: lowers and splits at ASCII characters only
+    if not words:
+        return np.zeros(0, U)
     hashes = np.fromiter(map(_words.__getitem__, words), U, len(words))
-    if not len(words):
-        return hashes
     width = min(size, len(words))
     count = len(words) - width + 1
-    value = np.full(count, width, U)
+    value, factor = np.full(count, width, U), 1
     for k in range(width):
-        value = mixed(value * U(0x100000001B3) ^ hashes[k:k + count], 1)
-    return np.unique(value)
+        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+        value += hashes[k:k + count] * U(factor)
+    value = mixed(value, 1)
+    value.sort()
+    return value[np.concatenate([[True], value[1:] != value[:-1]])]
 
 
 class Scheme:
@@ -109,6 +114,9 @@ class Scheme:
         #: So many groups at least have no more than k2 differences.
         self.sure = self.n1 - k // (self.k2 + 1)
         self.subsets = np.array(list(combinations(range(self.n2), self.n2 - self.k2)))
+        parts = self.n1 * self.n2
+        #: A part is a range of the hashes.
+        self.borders = np.array([(p << 64) // parts for p in range(1, parts)], U)
         names = np.arange(self.n1 * len(self.subsets), dtype=np.uint64).reshape(self.n1, -1)
         self.salts = mixed(names + U(number << 32), 2)
 
@@ -121,18 +129,15 @@ class Scheme:
                 return n1
         return needed
 
-    def signatures(self, hashes: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Signatures of the subsets with elements; whether the others might be all that a linked set shares."""
-        parts = self.n1 * self.n2
-        part = (mixed(hashes, 3 + self.number) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sizes = np.bincount(part, minlength=parts)
-        sums = np.concatenate([[U(0)], np.cumsum(mixed(hashes, 4)[order])])
-        stops = np.cumsum(sizes)
-        held = (sums[stops] - sums[stops - sizes]).reshape(self.n1, self.n2)
-        values = mixed(held[:, self.subsets].sum(axis=2, dtype=np.uint64) ^ self.salts, 5)
-        filled = sizes.reshape(self.n1, self.n2)[:, self.subsets].sum(axis=2) > 0
-        return values[filled], int((~filled.all(axis=1)).sum()) >= self.sure
+    def signatures(self, hashes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Signatures of the subsets with elements, from the sorted hashes and the running sums of numbers made from
+        them; whether the other subsets might be all that a linked set shares."""
+        stops = np.concatenate([[0], np.searchsorted(hashes, self.borders), [len(hashes)]])
+        sizes, held = np.diff(stops).reshape(self.n1, self.n2), np.diff(sums[stops]).reshape(self.n1, self.n2)
+        if self.n2 > 1:
+            sizes, held = sizes[:, self.subsets].sum(axis=2), held[:, self.subsets].sum(axis=2, dtype=U)
+        filled = sizes > 0
+        return mixed(held[filled] ^ self.salts[filled], 5), int((~filled.all(axis=1)).sum()) >= self.sure
 
 
 class Bands:
@@ -160,16 +165,16 @@ class Bands:
         part, whole = self.share
         n, band = len(hashes), self.band(len(hashes))
         found, weak = [], False
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes, 4))])
         for scheme in (self.scheme(band), self.scheme(band + 1)):
             if scheme.k:
-                values, hollow = scheme.signatures(hashes)
+                values, hollow = scheme.signatures(hashes, sums)
                 found.append(values)
                 weak |= hollow
         if weak:
-            prefix = np.sort(mixed(hashes, 6))[:n - -(-n * part // whole) + 1]
-            found.append(mixed(prefix, 7))
+            found.append(mixed(hashes[:n - -(-n * part // whole) + 1], 7))
         cells = self.scheme(band + 1).cells
-        odd = np.bincount((mixed(hashes, 8) & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+        odd = np.bincount((hashes & U(cells - 1)).astype(np.int64), minlength=cells) & 1
         return np.concatenate(found) if found else np.zeros(0, U), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -183,7 +188,7 @@ def bands(share: tuple[int, int]) -> Bands:
 RECORD = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                     ("signatures", pa.list_(pa.int64())), ("sketch", pa.binary())])
 SET = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
-PAIR = pa.schema([("b", pa.int64()), ("a", pa.int64()), ("a_label", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -262,11 +267,16 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of signatures whose nodes lie in several components, with their labels."""
+def open_groups(members: DataFrame, labels: DataFrame, active: DataFrame | None) -> DataFrame:
+    """The members of signatures whose nodes lie in several components, and of which one is active, with their labels."""
     by = Window.partitionBy("signature")
-    return members.join(labels, "node").withColumn("low", F.min("label").over(by)).withColumn(
-        "high", F.max("label").over(by)).where("low <> high")
+    if active is None:
+        known = members.join(labels, "node").withColumn("active", F.lit(True))
+    else:
+        known = members.join(labels.join(active.withColumn("active", F.lit(True)), "node", "left"), "node").withColumn(
+            "active", F.coalesce("active", F.lit(False)))
+    return known.withColumn("low", F.min("label").over(by)).withColumn("high", F.max("label").over(by)).withColumn(
+        "any", F.max("active").over(by)).where("low <> high AND any")
 
 
 def stars(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,10 +287,15 @@ def stars(members: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """One pair (a, b) for every node b with a partner in another component of a lower label that might link with it."""
-    tried = failed.groupBy("b").agg(F.collect_set("a").alias("tried")).withColumnRenamed("b", "node")
-    open_ = open_groups(members, labels).join(sketches, "node").join(tried, "node", "left")
+def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed: DataFrame, share: tuple[int, int],
+              active: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that might link: for every active node its nearest partners in other components.
+
+    A node that proposes nothing has no untried partner within reach, and gets none by later merges; so those that
+    took part in the last proposals are active, and at first (``active`` None) all."""
+    both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"), "ok"))
+    tried = both.groupBy("b").agg(F.collect_set("a").alias("tried")).withColumnRenamed("b", "node")
+    open_ = open_groups(members, labels, active).join(sketches, "node").join(tried, "node", "left")
     part, whole = share
     blocks = F.ceil(F.count("*").over(Window.partitionBy("signature")) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -288,7 +303,7 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o.cast("long"), F.col("own")).alias("p"), F.greatest(o.cast("long"), F.col("own")).alias("q")))
     dealt = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(others)).select(
-        "signature", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "node", "label", "n", "sketch", "tried")
+        "signature", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "node", "label", "n", "sketch", "tried", "active")
     placed = dealt.repartition("signature", "p", "q").sortWithinPartitions("signature", "p", "q", "node")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
@@ -301,26 +316,31 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
                 held.append(row[3:])
         yield from search(held, part, whole)
 
-    found = by_rows(placed, rows, PAIR)
-    return found.groupBy("b").agg(F.min_by("a", F.struct("a_label", "a")).alias("a"))
+    return by_rows(placed, rows, PAIR).distinct()
 
 
 def search(held: list[tuple], part: int, whole: int) -> Iterator[tuple[int, tuple]]:
-    """For each of the nodes (node, label, n, sketch, tried) the one of the least label, lower than its own, within reach."""
-    if len(held) < 2:
+    """For each active one of the nodes (node, label, n, sketch, tried, active) those of other components within reach."""
+    if not any(r[5] for r in held):
         return
-    held = sorted(held, key=lambda r: r[1])
     width = min(len(r[3]) for r in held)
     sketches = np.stack([folded(r[3], width) for r in held])
     labels, sizes = np.array([r[1] for r in held]), np.array([r[2] for r in held])
-    for j in range(1, len(held)):
-        before = int(np.searchsorted(labels, labels[j]))
-        apart = np.bitwise_count(sketches[:before] ^ sketches[j]).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero(apart * (whole + part) <= (whole - part) * (sizes[:before] + sizes[j]))
-        tried = set(held[j][4] or ())
-        partner = next((i for i in near.tolist() if held[i][0] not in tried), None)
-        if partner is not None:
-            yield 24, (held[j][0], held[partner][0], held[partner][1])
+    for node, label, n, sketch, tried, active in held:
+        if not active:
+            continue
+        own = folded(sketch, width)
+        others = np.flatnonzero(labels != label)
+        apart = np.bitwise_count(sketches[others] ^ own).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart * (whole + part) <= (whole - part) * (sizes[others] + n))
+        known, found = set(tried or ()), 0
+        for i in others[near[np.argsort(apart[near], kind="stable")]].tolist():
+            other = held[i][0]
+            if other not in known:
+                yield 16, (min(node, other), max(node, other))
+                found += 1
+                if found == PARTNERS:
+                    break
 
 
 def folded(sketch: bytes, width: int) -> np.ndarray:
@@ -347,13 +367,14 @@ def near_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -
     shapes = settle(sets(docs, size, first.join(sharing, "node", "left_semi").select("doc_id", "mark")), "sets")
     sketches = settle(one.join(sharing, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
     pairs = settle(stars(members, labels), "pairs")
-    failed = None
+    failed = active = None
     while not pairs.isEmpty():
         compared = settle(linked(pairs, shapes, share), "compared")
         labels = merged(labels, compared.where("ok"))
         missed = compared.where("NOT ok")
         failed = missed.limit(0) if failed is None else failed.unionByName(missed)
-        pairs = settle(proposals(members, labels, sketches, failed, share), "pairs")
+        pairs = settle(proposals(members, labels, sketches, failed, share, active), "pairs")
+        active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     component = nodes.select("node", F.col("label").alias("least")).join(labels, "node", "left").select(
         "node", F.coalesce("label", "least").alias("component_id"))
     return every.select("doc_id", "mark", "node", F.col("n").alias("n_shingles")).join(component, "node", "left").select(
