@@ -11,7 +11,7 @@ A file is Parquet, uncompressed: Spark's writers commit it, retry it and reach e
 lies beside the blocks.
 
 Defined results: text NULL or empty is a document of the end id alone; documents with equal doc_id stand in the
-order of their texts; doc_id NULL comes first; a long text is one document of one block, however long; an empty
+order of a hash of their texts; doc_id NULL comes first; a long text is one document of one block, however long; an empty
 table gives files without blocks; other columns are left out.
 """
 
@@ -235,9 +235,10 @@ def plain_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for i in np.flatnonzero(counts).tolist():
             yield 16, (1, None, None, None, None, None, None, None, i, int(counts[i]))
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return by_rows(texts.repartitionByRange(*order).sortWithinPartitions(*order), rows, PLAIN)
+    # Ranges are found from a sample of the keys, which the driver gathers, so texts are no keys.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    return by_rows(texts.repartitionByRange(*order).sortWithinPartitions(*order, "text"), rows, PLAIN)
 
 
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> None:
