@@ -4,8 +4,8 @@ Two linked sets differ in few elements, at most ``k`` in a band of sizes. The el
 ``n1`` groups of ``n2`` parts. In some group at most ``k2`` of the differences lie, so the sets agree on one of
 the subsets of ``n2 - k2`` parts of it: a set's signatures are the hashes of its elements in each such subset of each
 group. Sets of a band and the next one share a scheme. A subset in which a set has nothing says nothing; a set
-with so many of them that the argument might rest on these alone also signs with the elements of its prefix (the
-elements with the smallest hashes, of which linked sets share one).
+with so many of them that the argument might rest on these alone also signs, for that scheme, with the elements of its
+prefix (the elements with the smallest hashes, of which linked sets share one).
 
 Equal sets are one node. Nodes that share a signature are candidates, but pairs are not enumerated: a group of
 nodes is done once all its nodes are in one component. First each node is compared with the least node of each of
@@ -164,15 +164,15 @@ class Bands:
         """A set's signatures and odd sketch."""
         part, whole = self.share
         n, band = len(hashes), self.band(len(hashes))
-        found, weak = [], False
+        found = []
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes, 4))])
         for scheme in (self.scheme(band), self.scheme(band + 1)):
             if scheme.k:
                 values, hollow = scheme.signatures(hashes, sums)
                 found.append(values)
-                weak |= hollow
-        if weak:
-            found.append(mixed(hashes[:n - -(-n * part // whole) + 1], 7))
+                if hollow:
+                    prefix = hashes[:n - -(-n * part // whole) + 1]
+                    found.append(mixed(prefix ^ mixed(np.array([scheme.number], U), 6), 7))
         cells = self.scheme(band + 1).cells
         odd = np.bincount((hashes & U(cells - 1)).astype(np.int64), minlength=cells) & 1
         return np.concatenate(found) if found else np.zeros(0, U), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
