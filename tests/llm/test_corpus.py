@@ -277,6 +277,68 @@ def test_exchange_finds_two_languages(spark):
     assert all(len(v) == 1 for v in sides.values())
 
 
+def test_best_classes_raise_the_likelihood_most():
+    rng, size, n = np.random.default_rng(4), 5, 14
+    pairs = rng.poisson(2.0, (n + 1, n + 1)) * (rng.random((n + 1, n + 1)) < 0.4)  # the last is the end
+    np.fill_diagonal(pairs, 0)
+    of = np.append(rng.integers(0, size - 1, n), size - 1)
+
+    def by_class(classes):
+        out = np.zeros((size, size))
+        np.add.at(out, (classes[:, None].repeat(n + 1, 1), classes[None].repeat(n + 1, 0)), pairs)
+        return out
+
+    at, other, counts = [], [], []
+    for w in range(n):
+        cells = Counter()
+        for v in range(n + 1):
+            cells[of[v]] += pairs[w, v]
+            cells[of[v] + size] += pairs[v, w]
+        for c, x in cells.items():
+            if x:
+                at, other, counts = [*at, w], [*other, c], [*counts, x]
+    got = class_lm.best_classes(of[:n], np.array(at), np.array(other), np.array(counts), by_class(of))
+    for w in range(n):
+        found = []
+        for c in range(size - 1):
+            new = of.copy()
+            new[w] = c
+            found.append(class_lm.likelihood(by_class(new)))
+        assert found[got[w]] == pytest.approx(max(found))
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 0])
+def test_words_of_any_rank_are_exchanged_one_by_one(spark, monkeypatch, whole):
+    monkeypatch.setattr(class_lm, "WHOLE", whole)
+    rng = np.random.default_rng(6)
+    # Two languages of 6,000 rare words each, between 20 frequent ones; rare words of both have one form.
+    texts = [" ".join(f"{side}{rng.integers(0, 20)} {k}{side}same" for k in rng.integers(100_000, 106_000, 200))
+             for side in ("x", "y") for _ in range(300)]
+    docs = class_lm.prepared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False))
+    words = class_lm.vocabulary(docs).cache()
+    model = class_lm.learned(words, docs, rounds=2)
+    of = {r.word: r["class"] for r in model.table.collect()}
+    held = {c: Counter() for c in set(of.values())}
+    for k in range(100_000, 106_000):
+        for side in ("x", "y"):
+            if (c := of.get(class_lm.word_hash(f"{k}{side}same".encode()))) is not None:
+                held[c][side] += 1
+    found = sum(map(Counter.total, held.values()))
+    assert found > 11_900 and sum(max(c.values(), default=0) for c in held.values()) > 0.9 * found
+
+
+def test_classes_grow_and_scores_do_not_depend_on_what_is_broadcast(spark, sf_dir, monkeypatch):
+    assert class_lm.n_classes(100) == 48 < class_lm.n_classes(10 ** 6) < class_lm.n_classes(10 ** 7)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 < 3")
+    held_out = F.col("doc_id") % 3 == 0
+    found = []
+    for known in (1 << 18, 50):
+        monkeypatch.setattr(class_lm, "KNOWN", known)
+        found.append({r.doc_id: (r.n_known, r.score) for r in class_lm.scores(docs, held_out, rounds=2).collect()})
+    one, two = found
+    assert one.keys() == two.keys() and all(one[i][0] == two[i][0] and one[i][1] == pytest.approx(two[i][1]) for i in one)
+
+
 def test_scores_beat_the_base(spark, sf_dir):
     got = [r for r in queries.language_scores(spark, sf_dir).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
