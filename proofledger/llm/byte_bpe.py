@@ -28,6 +28,8 @@ from proofledger.llm.common import by_rows, portions
 
 #: White space and the characters after it up to the next white space: no pre-token crosses such a border.
 CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
+#: White space other than single blanks and line ends.
+OTHER_SPACE = regex.compile(r"[^\P{White_Space} \n]")
 #: The memo of a task is started anew when it holds this many pieces or characters.
 MEMO_ENTRIES, MEMO_CHARS = 1 << 20, 1 << 24
 #: Longer pieces are not kept in the memo.
@@ -195,8 +197,8 @@ class Encoder:
 
 def chunks(text: str) -> list[str]:
     """``text`` in pieces that start where white space follows other characters."""
-    if "\0" not in text:
-        # Single spaces and line ends are most borders; a piece of white space alone means a longer run.
+    if "\0" not in text and not OTHER_SPACE.search(text):
+        # Blanks and line ends are all borders then; a piece of white space alone means a longer run.
         pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if " " not in pieces and "\n" not in pieces:
             return pieces if pieces[0] else pieces[1:]

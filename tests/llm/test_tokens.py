@@ -51,6 +51,21 @@ def test_merges_equal_the_library(encoder, ranks, library, text):
     assert byte_bpe.Decoder(ranks).decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["\t \u00a0 \u00a0", "a \u00a0 \u00a0 .", "a \u00a0 \u00a0", "x \r \u3000 y", "a\n\t\n\tb", "a b\u00a0c d"])
+def test_white_space_of_several_kinds_is_one_pretoken(encoder, library, text):
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+
+
+SPACES = st.lists(st.sampled_from([" ", "\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "\x85", " \u00a0 \u00a0", "a", ".", "the"]),
+                  max_size=30).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SPACES)
+def test_merges_around_white_space_equal_the_library(encoder, library, text):
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("text", ["a" * 20_001, "ab" * 9_000 + "é" * 999, "".join(random.Random(1).choices("abcdefgh", k=30_000))])
 def test_one_long_pretoken(encoder, library, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
