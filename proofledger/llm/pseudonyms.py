@@ -25,6 +25,8 @@ an empty table gives an empty table. A permutation may map a value of a very sma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ ROUNDS = 8
 #: The formats, in the order in which they are tried at a place. None starts or ends inside a longer token.
 FREE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
-IBAN = FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 DATE = (FREE + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})"
         + END)
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])"
@@ -42,8 +44,9 @@ SSN = FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
 PHONE = (r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
          r"|(?<![\p{L}\p{N}+])\+[2-9][0-9]{1,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}"
          r"|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END)
-CARD = FREE + r"[0-9](?:[ -]?[0-9]){12,18}" + END
-ANY = "|".join([EMAIL, IBAN, DATE, IP, SSN, PHONE, CARD])
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: The groups of a card and of an IBAN; a shorter reading ends with one of them.
+CARD_GROUP, IBAN_GROUP = "[ -]?[0-9]+", " ?[A-Z0-9]+"
 #: Every format has one of these characters.
 HINT = "[0-9@]"
 #: Alphabets of letters: small and capital letters share their places, so case does not matter to the permutation.
@@ -119,6 +122,10 @@ def luhn_sum(digits: Column, shift: int) -> Column:
     return F.aggregate(doubled, F.lit(0).cast("long"), lambda a, d: a + d)
 
 
+def card_valid(m: Column) -> Column:
+    return luhn_sum(digits_of(m), 0) % 10 == 0
+
+
 def card(m: Column, key: str) -> Column:
     def use(d: Column) -> Column:
         body = F.slice(d, F.lit(1), F.size(d) - 1)
@@ -134,6 +141,10 @@ def remainder_97(text: Column) -> Column:
         c.rlike("[0-9]"), (a * 10 + c.cast("long")) % 97).otherwise((a * 100 + F.instr(F.lit(CAPITAL), c) + 9) % 97))
 
 
+def iban_valid(m: Column) -> Column:
+    return let(F.regexp_replace(m, " ", ""), lambda flat: remainder_97(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))) == 1)
+
+
 def iban(m: Column, key: str) -> Column:
     def use(flat: Column) -> Column:
         country, account = F.substring(flat, 1, 2), F.substring(flat, 5, 40)
@@ -241,16 +252,38 @@ def email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match of ``ANY``, or the match itself where nothing validates."""
+    """The pseudonym of a match of ``formats``, or the match itself where nothing validates."""
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     return F.coalesce(
         F.when(F.contains(m, F.lit("@")), email(m, key)), F.when(whole(IBAN), iban(m, key)), F.when(whole(DATE), date(m, key)),
         F.when(whole(IP), ip(m, key)), F.when(whole(SSN), ssn(m, key)), F.when(whole(PHONE), phone(m, key)), F.when(whole(CARD), card(m, key)), m)
 
 
+def valid_readings(text: Column, pattern: str, group: str, valid: Callable[[Column], Column]) -> Column:
+    """A pattern for the values of a format with check digits that ``text`` holds, or nothing: at every place where the
+    format may start, the longest reading that ends with a group and is valid."""
+    def longest(candidate: Column) -> Column:
+        readings = let(F.regexp_extract_all(candidate, F.lit(group), F.lit(0)), lambda groups: F.transform(
+            F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")))
+        return F.get(F.filter(readings, lambda r: r.rlike(f"^(?:{pattern})$") & valid(r)), F.lit(0))
+
+    # A look ahead takes nothing, so that a reading that fails hides none that starts behind its first group.
+    candidates = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{FREE}(?=({pattern}){END})"), F.lit(1)))
+    found = F.array_distinct(F.filter(F.transform(candidates, longest), lambda r: r.isNotNull()))
+    longer_first = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+    return let(longer_first, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(f"|{FREE}(?:"), F.array_join(f, "|"), F.lit(f"){END}"))).otherwise(""))
+
+
+def formats(text: Column) -> Column:
+    """The pattern of all values of ``text``; of the formats with check digits only what is valid."""
+    return F.concat(F.lit(EMAIL), valid_readings(text, IBAN, IBAN_GROUP, iban_valid), F.lit("|" + "|".join([DATE, IP, SSN, PHONE])),
+                    valid_readings(text, CARD, CARD_GROUP, card_valid))
+
+
 def replaced(text: Column, key: str) -> Column:
     """A struct of the text with pseudonyms and the number of values that got one."""
-    found = F.struct(F.split(text, ANY, -1).alias("around"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found"))
+    found = let(formats(text), lambda any_of: F.struct(
+        F.split(text, any_of, -1).alias("around"), F.regexp_extract_all(text, any_of, F.lit(0)).alias("found")))
     new = let(found, lambda f: let(F.transform(f["found"], lambda m: pseudonym(m, key)), lambda names: F.struct(
         F.array_join(F.zip_with(f["around"], names, lambda a, n: F.concat(a, F.coalesce(n, F.lit("")))), "").alias("text"),
         F.size(F.filter(F.zip_with(f["found"], names, lambda m, n: m != n), lambda changed: changed)).cast("long").alias("n"))))

@@ -56,6 +56,18 @@ def test_what_does_not_validate_stays(spark):
     assert new == texts and counts == [0] * len(texts)
 
 
+def test_valid_values_next_to_other_digits_are_found(spark):
+    card, phone = "4111111111111111", "212-555-0199"
+    texts = [f"{card} 12/27", "4111 1111 1111 1111 123", f"12 {card}", f"{card} {phone}", card, phone, "4111 1111 1111 1111",
+             "BE68 5390 0754 7034 EUR", "AT61 1904 3002 3457 3201 BIC GIBAATWW", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201",
+             f"1 2 3 {card} 4 5 6"]
+    new, counts = named(spark, texts)
+    assert counts == [1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1, 1]
+    assert new[0] == new[4] + " 12/27" and new[1] == new[6] + " 123" and new[2] == "12 " + new[4]
+    assert new[3] == f"{new[4]} {new[5]}" and new[7] == new[9] + " EUR" and new[8] == new[10] + " BIC GIBAATWW"
+    assert new[11] == f"1 2 3 {new[4]} 4 5 6" and card not in "".join(new)
+
+
 def test_equal_values_stay_linked_and_neighbours_apart(spark):
     new, counts = named(spark, ["x 4111 1111 1111 1111 y", "4111111111111111", "+1 (826) 555-4081 190.137.223.204", "190.137.223.204",
                                 "a" * 100_000 + " 190.137.223.204"])
