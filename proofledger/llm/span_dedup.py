@@ -1,7 +1,9 @@
 """Substring dedup by sliding runs of sentences.
 
-A text is cut into sentences: after an end sign, at line ends, before a capital letter, and, in a sentence of more
-than ``LONGEST`` words, after words that their hash picks. Every run of consecutive sentences, at least two, that is as short as
+A text is cut into sentences: after an end sign, at line ends, before a capital letter, and after the word of the least
+hash of every ``WINDOW`` words of a sentence in a row. A cut inside a sentence follows from fewer than ``WINDOW`` words on either
+side, and none is further than ``WINDOW`` words from the next: any 51 words are cut alike from the ninth to the ninth last, and hold
+a run of parts whatever surrounds them. Every run of consecutive sentences, at least two, that is as short as
 ``LEAST`` words allow is hashed, once from its first sentence on and once back from its last, so that a repeated
 passage is covered up to its own borders. The runs of all documents meet by hash; sentences that lie in
 a run that is not the first of its kind, by doc_id and place, are removed.
@@ -29,8 +31,8 @@ from proofledger.llm.common import by_rows, by_tasks, settle
 #: White space after an end sign, at a line end, or before a capital letter (Latin, Greek, Cyrillic).
 BORDER = re.compile(r"(?:[.!?]\s|\n|\s(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]))\s*")
 WORDS = re.compile(r"\s*\S+\s*")
-#: Words of a run at least, and of a sentence before it is cut; one word in so many ends a part of a long sentence.
-LEAST, LONGEST, PICKED = 16, 24, 8
+#: Words of a run at least, and words of which one ends a part. A passage of 4 * WINDOW + LEAST - 2 words holds a run.
+LEAST, WINDOW = 16, 9
 
 #: Runs that a task holds before it hands them on.
 HELD = 1 << 17
@@ -52,16 +54,22 @@ def sentences(text: str) -> list[str]:
 
 
 def shortened(sentence: str) -> list[str]:
-    """A long sentence in parts: cut after words that their hash picks, so that equal passages are cut alike."""
-    if sentence.count(" ") < LONGEST:
+    """A sentence in parts: cut after the last word of the least hash in each window, so that equal passages are cut alike."""
+    words = WORDS.findall(sentence)
+    if len(words) < WINDOW:
         return [sentence]
-    parts, held = [], []
-    for word in WORDS.findall(sentence):
-        held.append(word)
-        if crc32(word.strip().encode()) % PICKED == 0 or len(held) == LONGEST:
-            parts.append("".join(held))
-            held = []
-    return [*parts, "".join(held)] if held else parts
+    hashes = [crc32(word.strip().encode()) for word in words]
+    least, parts, start = -1, [], 0
+    for last in range(WINDOW - 1, len(words)):
+        first = last - WINDOW + 1
+        if least < first:
+            least = min(range(last, first - 1, -1), key=hashes.__getitem__)
+        elif hashes[last] <= hashes[least]:
+            least = last
+        if least >= start:
+            parts.append("".join(words[start:least + 1]))
+            start = least + 1
+    return [*parts, "".join(words[start:])] if start < len(words) else parts
 
 
 def runs(found: list[str]) -> tuple[list[int], list[int]]:

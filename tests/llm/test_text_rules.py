@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -198,6 +199,26 @@ def test_sentences_join_to_the_text():
         assert "".join(span_dedup.sentences(text or "")) == (text or "")
 
 
+@pytest.mark.parametrize("blank,ends", [("\t", (10 ** 6, 10 ** 6)), (" ", (10 ** 6, 10 ** 6)), (" ", (16, 23)), (" ", (18, 30)), (" ", (3, 12))])
+def test_any_passage_of_51_words_shares_a_run(blank, ends):
+    rng = random.Random(9)
+
+    def words(n, at):
+        out = []
+        for _ in range(n):
+            at -= 1
+            out.append(f"w{rng.randrange(10 ** 6)}" + ("." if at <= 0 else ""))
+            at = at if at > 0 else rng.randint(*ends)
+        return out
+
+    for _ in range(300):
+        passage, shared = words(51, rng.randint(1, ends[1])), []
+        for _ in range(2):
+            text = blank.join(words(rng.randrange(60), rng.randint(1, ends[1])) + passage + words(rng.randrange(60), rng.randint(1, ends[1])))
+            shared.append(set(span_dedup.runs(span_dedup.sentences(text))[1]))
+        assert shared[0] & shared[1]
+
+
 def test_repeated_spans_go(spark):
     rows = unique()
     got = {r.doc_id: r.text for r in span_dedup.dedup(frame(spark, rows, clashes=True)).collect()}
