@@ -11,10 +11,11 @@ email      local part letter by letter and digit by digit; the domain stays
 card       13 to 19 digits that pass the Luhn check; the last is computed anew
 iban       remainder 1 modulo 97; the account part is permuted, the check digits are computed anew
 ip         four octets up to 255; each octet keeps its number of digits
-phone      a country code, or three groups of 3, 3 and 4 digits; the country code stays, leading digits
-           keep to their range
+phone      a country code and up to 15 digits with it, or three groups of 3, 3 and 4 digits; the country code
+           stays, leading digits keep to their range
 ssn        three groups of 3, 2 and 4 digits in their valid ranges
-date       a day of 1900 to 2099 as year-month-day, day.month.year or month/day/year
+date       a day of 1900 to 2099 as year-month-day, day.month.year or month/day/year; month and day of one
+           digit keep to it
 =========  =====================================================================================================
 
 Defined results: text NULL or empty stays; what does not validate stays as it is; a value that repeats gets the same
@@ -37,13 +38,14 @@ ROUNDS = 8
 FREE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-DATE = (FREE + r"(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})"
-        + END)
+YEAR, TWO = "(?:19|20)[0-9]{2}", "[0-9]{1,2}"
+DATE = FREE + rf"(?:{YEAR}([-/.]){TWO}\1{TWO}|{TWO}\.{TWO}\.{YEAR}|{TWO}/{TWO}/{YEAR})" + END
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])"
 SSN = FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END
 PHONE = (r"(?:(?<![\p{L}\p{N}+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-         r"|(?<![\p{L}\p{N}+])\+[2-9][0-9]{1,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}"
-         r"|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + END)
+         # 7 to 15 digits, the country code's included, in any groups.
+         r"|(?<![\p{L}\p{N}+])\+[2-9](?:[ .-]?\(?[0-9]\)?){6,14}"
+         r"|(?<![\p{L}\p{N}])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?<![\p{L}\p{N}])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})" + END)
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 #: The groups of a card and of an IBAN; a shorter reading ends with one of them.
 CARD_GROUP, IBAN_GROUP = "[ -]?[0-9]+", " ?[A-Z0-9]+"
@@ -176,7 +178,7 @@ def ip(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^(\+1(?=[ .(2-9-])|\+[0-9]{2,3}(?=[ .(-])|\+[0-9]{2})?", 1)
+    code = F.regexp_extract(m, r"^(\+1(?=[ .(2-9-])|\+7|\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{2})?", 1)
 
     def use(parts: Column) -> Column:
         code, rest = parts["code"], parts["rest"]
@@ -192,7 +194,7 @@ def phone(m: Column, key: str) -> Column:
                 ~american & (i == 0), 1).otherwise(10))
 
         def fill(digits: Column) -> Column:
-            valid = F.when(american, F.size(digits) == 10).otherwise(F.size(digits).between(6, 13))
+            valid = F.when(american, F.size(digits) == 10).otherwise(F.size(digits).between(5, 14))
             new = F.zip_with(permuted(F.transform(digits, read), F.concat(F.lit("phone/"), code), key),
                              F.transform(digits, least), lambda v, low: v + low)
             return F.when(valid, F.concat(code, let(new, lambda n: filled(rest, n))))
@@ -222,7 +224,55 @@ def joined(mark: Column, *parts: Column) -> Column:
     return F.concat(parts[0], *[c for p in parts[1:] for c in (mark, p)])
 
 
+def short_date(m: Column, key: str) -> Column:
+    """A date with a month or day of one digit, among those whose month and day are as long."""
+    parts = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+    marks = F.regexp_extract_all(m, F.lit("[^0-9]"), F.lit(0))
+    year_first, day_first = m.rlike(r"^[0-9]{4}"), F.contains(m, F.lit("."))
+
+    def use(p: Column) -> Column:
+        def ordered(by_year: int, by_day: int, else_: int) -> Column:
+            return F.when(year_first, F.element_at(p, by_year)).when(day_first, F.element_at(p, by_day)).otherwise(F.element_at(p, else_))
+
+        year, month, day = ordered(1, 3, 3), ordered(2, 2, 1), ordered(3, 1, 2)
+        widths = F.concat(F.length(month).cast("string"), F.length(day).cast("string"))
+        named = F.concat_ws("-", month.cast("int").cast("string"), day.cast("int").cast("string"))
+        days = F.when(widths == "11", day_names(1, 1)).when(widths == "12", day_names(1, 2)).when(widths == "21", day_names(2, 1))
+        tweak = F.concat(F.lit("date/"), widths)
+
+        def write(new_year: Column, new_day: Column) -> Column:
+            new_month, new_day = F.substring_index(new_day, "-", 1), F.substring_index(new_day, "-", -1)
+            y, m, d = new_year.cast("string"), F.lpad(new_month, F.length(month), F.lit("0")), F.lpad(new_day, F.length(day), F.lit("0"))
+            mark = F.element_at(marks, 1)
+            return F.when(year_first, joined(mark, y, m, d)).when(day_first, joined(mark, d, m, y)).otherwise(joined(mark, m, d, y))
+
+        def of(known: Column) -> Column:
+            at = F.array_position(known, named)
+            row = F.array(symbol(year.cast("long") - 1900, F.lit(200)), symbol(at - 1, F.size(known)))
+            # 29 February stays, in one of the 49 leap years.
+            leap = let(permuted(F.array(symbol(F.floor((year.cast("long") - 1904) / 4), F.lit(49))), tweak, key),
+                       lambda v: write(F.element_at(v, 1) * 4 + 1904, F.lit("2-29")))
+            return F.when(at > 0, let(permuted(row, tweak, key), lambda v: write(
+                F.element_at(v, 1) + 1900, F.element_at(known, (F.element_at(v, 2) + 1).cast("int"))))).when(
+                (named == "2-29") & (year.cast("long") % 4 == 0) & (year != "1900"), leap)
+
+        return let(days, of)
+
+    return let(parts, use)
+
+
+def day_names(month: int, day: int) -> Column:
+    """The days of a year, but 29 February, as month-day, whose month and day can be written with so many digits."""
+    sizes = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    return F.array(*[F.lit(f"{m}-{d}") for m, size in enumerate(sizes, 1) for d in range(1, size + 1)
+                     if len(str(m)) <= month and len(str(d)) <= day])
+
+
 def date(m: Column, key: str) -> Column:
+    return F.when(F.length(m) == 10, long_date(m, key)).otherwise(short_date(m, key))
+
+
+def long_date(m: Column, key: str) -> Column:
     first = F.lit("1900-01-01").cast("date")
     mark = F.regexp_extract(m, r"^[0-9]+(.)", 1)
     year_first, day_first = m.rlike(r"^[0-9]{4}"), mark == "."

@@ -57,6 +57,26 @@ def test_what_does_not_validate_stays(spark):
     assert new == texts and counts == [0] * len(texts)
 
 
+def test_phones_and_dates_of_every_grouping_are_found(spark):
+    texts = ["212 555 0199", "(212) 555 0199", "+7 495 123 45 67", "+33 1 23 45 67 89", "+49 30 12 34 56 78 90 1", "3/5/2020", "13.5.2020",
+             "3.12.1999", "2020-3-5", "2/29/2020"]
+    new, counts = named(spark, [f"See {t}, please." for t in texts])
+    assert counts == [1] * len(texts)
+    for old, text in zip(texts, new, strict=True):
+        value = text[4:-9]
+        assert value != old and re.sub("[0-9]", "0", value) == re.sub("[0-9]", "0", old)
+    assert new[2][4:-9].startswith("+7 ") and new[3][4:-9].startswith("+33 ")
+    assert not re.search("23 45 67 89", new[3])
+    assert named(spark, ["2/30/2020 2/29/2019 0/5/2020 13/5/2020"])[1] == [0]
+
+
+def test_short_dates_are_permuted(spark):
+    days = spark.range(1900, 2100).selectExpr("explode(sequence(make_date(id, 1, 1), make_date(id, 2, 29 - int(id % 4 != 0 or id = 1900)))) AS day")
+    texts = days.selectExpr("concat(month(day), '/', day(day), '/', year(day)) AS text").where("length(text) < 10")
+    new = pseudonyms.pseudonymised(texts)
+    assert new.distinct().count() == texts.count() == 200 * 59 + 49
+
+
 def test_valid_values_next_to_other_digits_are_found(spark):
     card, phone = "4111111111111111", "212-555-0199"
     texts = [f"{card} 12/27", "4111 1111 1111 1111 123", f"12 {card}", f"{card} {phone}", card, phone, "4111 1111 1111 1111",
