@@ -11,7 +11,8 @@ whatever follows is dropped, or else the survivor that deletes all would keep ev
 
 A conversation is searched and hashed in order, so its rows meet in one task, which holds one of them at a time, the
 undecided edits and, for the repaired text's hash, one hash state per survivor. The rows are sorted outside of Python,
-with spilling. What stays in proportion to a conversation is the answer itself, its string of edits.
+with spilling. What can grow with a conversation is the answer itself, its string of edits, and the undecided
+suffixes of one whose ending decides its beginning, such as turns of a single role: two short strings a row.
 
 Defined results: NULL role and text read as one space, so that such a turn is blank or has no legal role; turns
 are taken in the order of turn (NULL first), role, text, so rows that tie are interchangeable; NULL conv_id is a conversation

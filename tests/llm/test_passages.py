@@ -322,7 +322,9 @@ def test_what_is_decided_is_forgotten():
 
     rng = random.Random(1)
     assert open_nodes([(("user", "assistant")[i % 2], "x.", 0) for i in range(5_000)]) < 30
-    assert open_nodes([("user", "x.", 0)] * 5_000) < 30 and open_nodes([("user", "", 1)] * 5_000) < 30
+    assert open_nodes([("user", "", 1)] * 5_000) < 30
+    # Whether the first of equal roles stays depends on their number: nothing can be decided before the end.
+    assert open_nodes([("user", "x.", 0)] * 300) > 300
     assert open_nodes([(("user", "assistant")[i % 2], "x", 3) for i in range(5_000)]) < 30
     assert open_nodes([(rng.choice(["user", "assistant"]), "x.", rng.choice([0, 0, 0, 1, 2, 3])) for _ in range(5_000)]) < 200
 
