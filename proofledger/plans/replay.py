@@ -51,7 +51,7 @@ def sql_run(spark: SparkSession, question_id: str, attempt_n: int, body: str, or
     Only one query over the views ``tables`` is run. A text that does not end in a sort gets the default order."""
     args = {"as_of": as_of} if as_of else None
     return Run(question_id, attempt_n, lambda: spark.sql(body, args=args),
-               None if order_by is None else tuple(order_by), lambda: read_text(spark, body, set(tables)),
+               None if order_by is None else tuple(order_by), lambda: read_text(spark, body, set(tables), args),
                ("text", body, None if order_by is None else tuple(order_by), as_of, tuple(tables)))
 
 

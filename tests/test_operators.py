@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import statistics
+import struct
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from proofledger.functions.numeric import is_finite_positive, round_places
 from proofledger.operators.matching import differing_positions, require_none, without_match
 from proofledger.operators import medians as median_module
-from proofledger.operators.medians import exact_median, few_groups, period_medians
+from proofledger.operators.medians import exact_median, period_medians
 from proofledger.operators.ordering import numbered, ordered, top_with_position
 from proofledger.operators.windows import (
     change_from_previous,
@@ -26,10 +28,9 @@ from proofledger.operators.windows import (
 def medians(spark, rows):
     """Both ways must agree."""
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    by_histogram = {r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m").collect()}
-    by_second_scan = {r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m", few_groups(df, ["k"])).collect()}
-    assert by_histogram == by_second_scan
-    return by_histogram
+    by_key, by_broadcast = [{r.k: r.m for r in exact_median(df, ["k"], F.col("v"), "m", bound).collect()} for bound in (None, 1_000)]
+    assert by_key == by_broadcast
+    return by_key
 
 
 def test_median_against_brute_force_with_a_hot_group(spark):
@@ -55,16 +56,29 @@ def test_median_of_any_doubles(spark, values):
     assert medians(spark, [("k", v) for v in values])["k"] == statistics.median(values)
 
 
-def test_groups_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+def test_order_key_is_the_bits_of_the_double(spark):
+    random.seed(5)
+    values = [struct.unpack("<d", random.randbytes(8))[0] for _ in range(3000)]
+    values += [s * x for s in (1, -1) for x in (0.0, 5e-324, 2.0 ** -1022, 2.0 ** -1022 * (1 - 2 ** -52), 1.0, 1.7976931348623157e308, math.inf)]
+    values += [s * math.nextafter(2.0 ** e, to) for e in range(-1074, 1024, 7) for s in (1, -1) for to in (0.0, math.inf, 2.0 ** e)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(1, v) for v in values], "g INT, v DOUBLE")
+    got = spark.sql(median_module._KEYED.replace("{values}", "{df}"), df=df).collect()
+    for r in got:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.k == (bits if r.v >= 0 else -bits), r.v
+    special = spark.createDataFrame([(1, None), (1, -math.inf), (1, math.inf), (1, math.nan)], "g INT, v DOUBLE")
+    keys = [r.k for r in spark.sql(median_module._KEYED.replace("{values}", "{df}"), df=special).collect()]
+    assert keys == sorted(set(keys))
+
+
+def test_groups_beyond_the_bound_are_not_broadcast(spark):
     df = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").cast("double").alias("v"))
-    assert few_groups(df, ["k"]) == 10
     few = exact_median(df, ["k"], F.col("v"), "m", 10)
-    monkeypatch.setattr(median_module, "BROADCAST_GROUPS", 9)
-    assert few_groups(df, ["k"]) is None
-    many = exact_median(df, ["k"], F.col("v"), "m", 10)
+    many = exact_median(df, ["k"], F.col("v"), "m", median_module.BROADCAST_GROUPS + 1)
     assert sorted(many.collect()) == sorted(few.collect())
-    assert "histogram" not in few._jdf.queryExecution().logical().toString()
-    assert "histogram" in many._jdf.queryExecution().logical().toString()
+    assert "BROADCAST" in few._jdf.queryExecution().logical().toString()
+    assert "BROADCAST" not in many._jdf.queryExecution().logical().toString()
 
 
 def test_median_of_everything_and_of_nothing(spark):

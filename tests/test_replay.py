@@ -112,10 +112,24 @@ def test_replay_outcomes(spark, resale, tmp_path):
     ("INSERT INTO resale SELECT 1", "guardrail_reject"), ("SELECT * FROM range(3)", "guardrail_reject"),
     ("WITH r AS (SELECT 1 AS a) SELECT * FROM r JOIN secret", "guardrail_reject"),
     ("SELECT a FROM resale WHERE (SELECT max(x) FROM hidden) > 1", "guardrail_reject"),
+    ("SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) a CROSS JOIN secret b", "guardrail_reject"),
+    ("SELECT 'CTE [secret]' AS c, secret.* FROM secret", "guardrail_reject"), ("SELECT * FROM global_temp.apart", "guardrail_reject"),
+    ("SELECT reflect('java.lang.System', 'getenv', 'PATH') AS x FROM resale", "guardrail_reject"),
+    ("SELECT * FROM VALUES (java_method('java.lang.System', 'getenv', 'PATH')) t(a)", "guardrail_reject"),
+    ("SELECT TRANSFORM(town) USING 'cat' AS (a) FROM resale", "guardrail_reject"), ("SELECT CURRENT_USER AS u", "guardrail_reject"),
+    ("SELECT * FROM IDENTIFIER('secret')", "guardrail_reject"), ("SELECT input_file_name() AS f FROM resale", "guardrail_reject"),
+    ("SELECT twice(1) AS a", "guardrail_reject"), ("SELECT rand() AS a FROM resale", "guardrail_reject"), (" \n", "guardrail_reject"),
+    ("SELECT nosuch(1) AS a FROM resale", "sql_error"), ("SELECT nope FROM resale", "sql_error"),
+    ("WITH secret AS (SELECT town FROM resale) SELECT count(*) AS n FROM secret", ""), ("FROM resale |> SELECT town", ""),
+    ("SELECT t.a FROM resale LATERAL VIEW explode(array(1)) t AS a", ""),
     ("SELEC 1", "sql_error"), ("SELECT ';' AS a", ""), ("WITH r AS (SELECT town FROM resale) SELECT * FROM r;", ""),
 ])
 def test_texts_are_judged_before_they_run(spark, resale, tmp_path, body, outcome):
     resale.createOrReplaceTempView("resale")
+    for name in ("secret", "hidden"):
+        spark.range(1).createOrReplaceTempView(name)
+    spark.range(1).createOrReplaceGlobalTempView("apart")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION twice(x INT) RETURNS INT RETURN 2 * x")
     assert read_text(spark, body, {"resale"}).outcome == outcome
     record = rp.execute(rp.sql_run(spark, "Q", 1, body), str(tmp_path))
     assert record[2] == (outcome or "ok")

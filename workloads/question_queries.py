@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofledger.plans import replay as rp
 from proofledger.plans import verdicts as vd
+from proofledger.plans.guard import judged_texts
 from proofledger.plans.questions import BY_ID, QUESTIONS, Question, Spelling, answer, spellings
 from workloads import analogue as an
 from workloads import sql
@@ -91,6 +92,41 @@ def rolling_mismatch_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differences.select("attempt_n", "pos", F.col("key").alias("month"))
 
 
+# ---- a table of texts ----
+
+#: A text about a town, the outcome it must get, why it is rejected, whether it ends in a sort.
+TEXTS = [
+    ("SELECT count(*) AS n FROM sales WHERE town = '{town}'", "", "", False),
+    ("SELECT month, median(resale_price) AS m FROM sales WHERE town = '{town}' GROUP BY month ORDER BY month", "", "", True),
+    ("WITH secret AS (SELECT block FROM sales WHERE town = '{town}') SELECT * FROM secret", "", "", False),
+    ("SELECT * FROM (WITH secret AS (SELECT '{town}' AS x) SELECT * FROM secret) a CROSS JOIN secret b", "guardrail_reject", "reads secret", False),
+    ("SELECT 'CTE [secret]' AS c, secret.* FROM secret WHERE town = '{town}'", "guardrail_reject", "reads secret", False),
+    ("SELECT reflect('java.lang.System', 'getenv', '{town}') AS x FROM sales", "guardrail_reject", "calls reflect", False),
+    ("SELECT * FROM csv.`/{town}`", "guardrail_reject", "reads csv./{town}", False),
+    ("SELECT 1 AS a; SELECT '{town}' AS b", "guardrail_reject", "more than one statement", False),
+    ("CREATE TABLE {town} AS SELECT * FROM sales", "guardrail_reject", "not a query", False),
+    ("SELECT town_{town} FROM sales", "sql_error", "", False),
+    ("SELECT '{town} FROM sales", "sql_error", "", False),
+]
+
+
+def judged_town_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of every town, judged before anything of it is run; ``secret`` is a view that texts may not read."""
+    an.staged(spark, sf_dir).createOrReplaceTempView("sales")
+    an.staged(spark, sf_dir).createOrReplaceTempView("secret")
+    towns = an.table(spark, sf_dir, "nation").select(F.explode(F.array(*[F.lit(t) for t, *_ in TEXTS])).alias("text"), "n_name")
+    texts = towns.select(F.replace("text", F.lit("{town}"), "n_name").alias("sql"))
+    judged = judged_texts(spark, texts, ["sales"], an.fresh_path(spark, "judged"))
+    why = F.when(F.col("outcome") == "guardrail_reject", F.col("note")).otherwise("")
+    return judged.select("sql", "outcome", why.alias("note"), "ordered")
+
+
+def _texts_sql() -> str:
+    quoted = ["(" + ", ".join("'" + part.replace("'", "''") + "'" for part in text) + f", {ordered})" for *text, ordered in TEXTS]
+    return f"""SELECT replace(t, '{{town}}', n_name) AS sql, outcome, replace(note, '{{town}}', n_name) AS note, ordered
+    FROM nation, (VALUES {', '.join(quoted)}) v(t, outcome, note, ordered)"""
+
+
 # ---- SQL ----
 
 
@@ -168,5 +204,6 @@ ENTRIES |= {
                                          sql.resale(f"{_KEEP} ({_references_v2})")),
     "replay_verdicts": (verdict_table, _verdict_sql()),
     "replay_typed_comparison": (typed_replay, _typed_sql()),
+    "replay_judged_texts": (judged_town_texts, _texts_sql()),
     "replay_mismatch_months": (rolling_mismatch_months, _month_sql()),
 }
