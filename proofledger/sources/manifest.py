@@ -2,31 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from proofledger.functions.parse import MONTH_TEXT
-from proofledger.operators.folding import fold
+
+
+# ---- fixed values: the mark that readers skip at the start of a text, suffixes of files that readers unpack ----
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$"
+
+DIGEST_SCHEMA = "path STRING, sha256 STRING"
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, bytes and hash of every file under ``path``: any size, read in splits.
-
-    ``sha256`` is a folded hash over the hashes of the file's lines (cut at LF alone), so it does not depend on the
-    splits; whether the last line ends is told by ``bytes``, which the listing gives. A hash over the whole file as one
-    value, as a lock may carry it, is a label and not compared. Files without a byte are the contract's affair.
-    """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
-    lines = spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
-    splits = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"))
-    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    starts = splits.select("path", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    placed = lines.join(starts, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("pos"), "sha256")
-    name = F.element_at(F.split("path", "/"), -1).alias("file")
-    return listed.join(fold(placed, ["path"]), "path").select(name, "bytes", "sha256")
+    """name, bytes and SHA-256 of the bytes of every file under ``path``, files without a byte included.
+
+    A hash over a file is sequential, so each file is one task, which streams past its lines (cut at LF alone) and holds a batch of
+    them. Packed files, which readers would unpack, are read as one value, of 2 GB at most."""
+    source = _files(spark, "binaryFile", glob).load(path)
+    scanned = source.select(_place(F.col("_metadata.file_path")), F.col("length").alias("bytes"))
+    # Scans pass over files without a byte; the driver's own listing has them.
+    names = spark.createDataFrame([(f,) for f in source.inputFiles()], "path STRING").select(_place(F.col("path")))
+    listed = names.join(scanned, "path", "left").select("path", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes"))
+    packed = F.col("_metadata.file_name").rlike(PACKED)
+    values = source.where(packed).select(
+        _place(F.col("_metadata.file_path")), F.sha2("content", 256).alias("sha256"))
+    lines = _files(_unsplit(spark), "text", glob).option("lineSep", "\n").load(path).where(~packed).select(
+        _place(F.col("_metadata.file_path")), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    digests = values.unionByName(lines.mapInArrow(_digests(), DIGEST_SCHEMA))
+    empty = F.when(F.col("bytes") == 0, F.sha2(F.lit(b""), 256)).when(F.col("bytes") == 3, F.sha2(F.lit(BYTE_ORDER_MARK), 256))
+    # Paths are URIs; a plus in them is a plus.
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file")
+    return listed.join(digests, "path", "left").select(name, "bytes", F.coalesce("sha256", empty).alias("sha256"))
+
+
+def _place(uri: Column) -> Column:
+    """A path that readers and listings spell alike: without an empty authority."""
+    return F.regexp_replace(uri, "^([A-Za-z][A-Za-z0-9+.-]*):///+", "$1:/").alias("path")
+
+
+def _files(spark: SparkSession, kind: str, glob: str) -> DataFrameReader:
+    return spark.read.format(kind).option("pathGlobFilter", glob)
+
+
+def _unsplit(spark: SparkSession) -> SparkSession:
+    """A session of its own whose scans give each file to one task."""
+    apart = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        apart.conf.set(key, str(1 << 60))
+    return apart
+
+
+def _digests():
+    """A task over whole files, line after line. Self-contained, as Python workers need not have this package."""
+    def task(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        mark = b"\xef\xbb\xbf"
+        path, size, hashed, hashes = None, 0, 0, []
+
+        def closed():
+            # What the lines leave out: a line end at the end of the file, a byte order mark at its start.
+            marked, ended = divmod(size - hashed, 3)
+            if marked not in (0, 1) or ended not in (0, 1):
+                raise ValueError(f"{path} changed while it was read")
+            digest = hashes[marked]
+            digest.update(b"\n" * ended)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], names=["path", "sha256"])
+
+        for batch in batches:
+            paths, sizes, lines = (c.to_pylist() for c in batch.columns)
+            begin = 0
+            while begin < len(paths):
+                end = begin
+                while end < len(paths) and paths[end] == paths[begin]:
+                    end += 1
+                block = b"\n".join(lines[begin:end])
+                if paths[begin] != path:
+                    if path is not None:
+                        yield closed()
+                    path, size, hashed, hashes = paths[begin], sizes[begin], 0, [hashlib.sha256(), hashlib.sha256(mark)]
+                else:
+                    block = b"\n" + block
+                for digest in hashes:
+                    digest.update(block)
+                hashed += len(block)
+                begin = end
+        if path is not None:
+            yield closed()
+
+    return task
 
 
 def coverage(raw_text: DataFrame) -> DataFrame:

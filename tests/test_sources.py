@@ -105,24 +105,29 @@ def test_build_publishes_only_clean_data(spark, write, tmp_path):
     assert publish.current_table(spark, root).count() == 1
 
 
-def folded_lines(data):
-    """Hash of the lines' hashes, 4,096 at a time, in five steps."""
-    digests = [hashlib.sha256(x).hexdigest() for x in data.removesuffix(b"\n").split(b"\n")]
-    for _ in range(5):
-        digests = [hashlib.sha256("\n".join(digests[k:k + 4096]).encode()).hexdigest() for k in range(0, len(digests), 4096)]
-    return digests[0]
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
 
 
-def test_identity_does_not_depend_on_splits(spark, tmp_path):
+def test_identity_is_the_hash_of_the_bytes(spark, tmp_path):
     (tmp_path / "src").mkdir()
-    data = b"".join(b"%d;\xff\r\n" % (k * 7919 % 10_007) for k in range(12_000)) + b"last"
-    (tmp_path / "src" / "a.csv").write_bytes(data)
-    found = set()
+    long = b"".join(b"%d;\xff\r\n" % (k * 7919 % 10_007) for k in range(12_000)) + b"last"
+    packed = gzip.compress(long)
+    contents = {"a.csv": long, "b.csv": long + b"\n", "empty.csv": b"", "one.csv": b"\n", "two.csv": b"x\n\n", "mark.csv": b"\xef\xbb\xbfx,y\n",
+                "only_mark.csv": b"\xef\xbb\xbf", "bytes.bin": bytes(range(256)) * 300, "c.csv.gz": packed, "a name é.csv": b"a"}
+    for name, data in contents.items():
+        (tmp_path / "src" / name).write_bytes(data)
     for size in ("16k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        found.add(tuple(sorted(tuple(r) for r in manifest.file_manifest(spark, str(tmp_path / "src")).collect())))
+        found = {r.file: (r.bytes, r.sha256) for r in manifest.file_manifest(spark, str(tmp_path / "src")).collect()}
+        assert found == {name: (len(data), sha(data)) for name, data in contents.items()}
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert found == {(("a.csv", len(data), folded_lines(data)),)}
+    locked = spark.createDataFrame([(name, sha(data)) for name, data in contents.items()], "file STRING, sha256 STRING")
+    found = manifest.file_manifest(spark, str(tmp_path / "src"))
+    manifest.require_identity(locked, found, found)
+    (tmp_path / "src" / "a.csv").write_bytes(b"")
+    with pytest.raises(ValueError, match="source:a.csv"):
+        manifest.require_identity(locked, manifest.file_manifest(spark, str(tmp_path / "src")), locked)
 
 
 def test_line_break_inside_quotes_is_published(spark, write, tmp_path):
@@ -151,7 +156,7 @@ def test_manifest_and_receipt_time(spark, write):
     labels = {"dataset_id": "d", "dataset_url": "u", "source": "s"}
     first = jobs.manifest_row(spark, path, labels, "2026-01-01T23:00:00+08:00")
     row = first.first()
-    assert (row.bytes, row.sha256) == (len(data), folded_lines(data))
+    assert (row.bytes, row.sha256) == (len(data), sha(data))
     assert (row.rows, row.month_min, row.month_max, row.months) == (2, "2017-01", "2017-02", 2)
     again = jobs.manifest_row(spark, path, labels, "later", first).first()
     assert again.retrieved_at == "2026-01-01T23:00:00+08:00"

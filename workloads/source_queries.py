@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofledger import schemas
-from proofledger.operators.folding import FOLDS
 from proofledger.plans import staging
 from proofledger.plans import verdicts as vd
 from proofledger.sources import contract, manifest, publish, readers, sinks
@@ -13,7 +12,6 @@ from workloads import analogue as an
 from workloads import sql
 from workloads.table_queries import SPOILED, spoiled
 from workloads.verdict_queries import (
-    folded_sql,
     BY_TYPE_SQL,
     LOG_SQL,
     QUESTION_SQL,
@@ -272,12 +270,10 @@ ENTRIES: dict[str, tuple] = {
     "contract_coverage": (coverage, _BROKEN + """
         SELECT count(*) AS rows, min(month) AS month_min, max(month) AS month_max, count(DISTINCT month) AS months
         FROM (SELECT CASE WHEN month <> 'bad' THEN month END AS month FROM ruled)"""),
-    "manifest_files": (text_files, f"""WITH lines AS (
-          SELECT c_nationkey AS question_id, c_custkey || ',' || c_name || ',' || c_mktsegment AS line2,
-            row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
-        {folded_sql('lines')},
-        sizes AS (SELECT question_id, CAST(sum(strlen(line2) + 1) AS BIGINT) AS bytes FROM lines GROUP BY 1)
-        SELECT bytes, d AS sha256 FROM sizes JOIN f{FOLDS} USING (question_id)"""),
+    "manifest_files": (text_files, """WITH whole AS (
+          SELECT string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS bytes
+          FROM customer GROUP BY c_nationkey)
+        SELECT CAST(strlen(bytes) AS BIGINT) AS bytes, sha256(bytes) AS sha256 FROM whole"""),
     "manifest_receipt_times": (receipt_times, f"""
         SELECT name || '.parquet' AS file,
           CASE name WHEN 'events' THEN '2026-06-01T08:00:00+08:00' ELSE '2026-01-01T23:30:00+08:00' END AS retrieved_at,
