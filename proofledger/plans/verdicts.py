@@ -201,26 +201,45 @@ def verdict_mix(v: DataFrame) -> DataFrame:
 # ---- summary, run comparison ----
 
 
+def roll_ups(v: DataFrame) -> DataFrame:
+    """kind, key, questions, one column per status, passed: totals (kind total), types, traps and failure classes from one scan."""
+    failed = F.when((F.col("status") == "fail") & (F.col("mismatch_type") != ""), F.col("mismatch_type"))
+    grouped = v.select("type", "trap", failed.alias("mismatch"), "status").groupingSets(
+        [["type"], ["trap"], ["mismatch"], []], "type", "trap", "mismatch").agg(
+        F.grouping_id().alias("left_out"), F.count(F.lit(1)).alias("questions"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in schemas.STATUSES], _passed())
+    # Bits of what a row is not grouped by: type 4, trap 2, mismatch 1.
+    kinds = {3: ("type", F.col("type")), 5: ("trap", F.col("trap")), 6: ("mismatch", F.col("mismatch")), 7: ("total", F.lit(""))}
+    kind, key = (F.coalesce(*[F.when(F.col("left_out") == bits, found) for bits, found in pairs])
+                 for pairs in ([(b, F.lit(name)) for b, (name, _) in kinds.items()], [(b, c) for b, (_, c) in kinds.items()]))
+    counted = grouped.select(kind.alias("kind"), key.alias("key"), "questions", *schemas.STATUSES, "passed")
+    return counted.where((F.col("kind") != "mismatch") | F.col("key").isNotNull())
+
+
 def summary_json(v: DataFrame, receipt: DataFrame) -> DataFrame:
-    """The run summary as one JSON text row.
+    """The run summary as one JSON text row, from one aggregate over the verdicts.
 
     Types, traps and failure classes are small dimensions, and they are grouped before they are nested.
     """
-    def nested(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-        entries = df.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value")))).alias("e"))
-        return entries.select(F.map_from_entries("e").alias(name))
-
-    counted = F.struct("n", "passed")
-    parts = [
-        receipt.select(F.struct("*").alias("receipt")),
-        totals(v).select(F.struct("*").alias("totals")),
-        nested(mismatch_counts(v), "mismatch_type", F.col("n"), "mismatch_counts"),
-        nested(by_type(v), "type", counted, "by_type"),
-        nested(by_trap(v), "trap", counted, "by_trap"),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.crossJoin(F.broadcast(part))
+    measures = ["questions", *schemas.STATUSES, "passed"]
+    n_passed = F.struct(F.col("questions").alias("n"), "passed")
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("passed"))
+
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("kind") == kind, value)
+
+    def nested(kind: str, value: Column) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(of(kind, F.struct("key", value.alias("value"))))))
+
+    def trap(key: str) -> Column:
+        return F.coalesce(F.max(F.when((F.col("kind") == "trap") & (F.col("key") == key), n_passed)), none)
+
+    no_totals = F.struct(*[F.lit(0).cast("bigint").alias(m) for m in measures])
+    parts = roll_ups(v).agg(
+        F.coalesce(F.max(of("total", F.struct(*measures))), no_totals).alias("totals"),
+        nested("mismatch", F.col("questions")).alias("mismatch_counts"), nested("type", n_passed).alias("by_type"),
+        F.create_map(F.lit("false"), trap("false"), F.lit("true"), trap("true")).alias("by_trap"))
+    whole = receipt.select(F.struct("*").alias("receipt")).crossJoin(F.broadcast(parts))
     return whole.select(F.to_json(F.struct("receipt", "totals", "mismatch_counts", "by_type", "by_trap")).alias("value"))
 
 

@@ -227,7 +227,8 @@ def as_of_clock(spark, sf_dir):
     """The run date is a bound parameter, so the same text gives the same answer on any day."""
     return spark.sql(
         """SELECT extract(YEAR FROM sale_date) AS yr, count(*) AS n, max(sale_date) AS last_day FROM {resale}
-           WHERE sale_date >= date_trunc('YEAR', CAST(:as_of AS DATE)) - INTERVAL 2 YEAR
+           WHERE sale_year BETWEEN year(CAST(:as_of AS DATE)) - 2 AND year(CAST(:as_of AS DATE))
+             AND sale_date >= date_trunc('YEAR', CAST(:as_of AS DATE)) - INTERVAL 2 YEAR
              AND sale_date <= CAST(:as_of AS DATE) GROUP BY yr""",
         args={"as_of": an.AS_OF}, resale=an.staged(spark, sf_dir))
 

@@ -373,6 +373,11 @@ ENTRIES: dict[str, tuple] = {
         SELECT trap, count(*) AS n, count(*) FILTER (WHERE status <> 'fail') AS passed FROM v GROUP BY 1"""),
     "verdict_mismatch_counts": (rolled_up(vd.mismatch_counts), f"""{WITH_VERDICTS}
         SELECT mismatch_type, count(*) AS n FROM v WHERE status = 'fail' GROUP BY 1"""),
+    "verdict_roll_ups": (rolled_up(vd.roll_ups), f"""{WITH_VERDICTS},
+        tall AS (SELECT 'total' AS kind, '' AS key, status FROM v UNION ALL SELECT 'type', type, status FROM v
+          UNION ALL SELECT 'trap', trap, status FROM v UNION ALL SELECT 'mismatch', mismatch_type, status FROM v WHERE status = 'fail')
+        SELECT kind, key, count(*) AS questions, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in schemas.STATUSES)},
+          count(*) FILTER (WHERE status <> 'fail') AS passed FROM tall GROUP BY 1, 2"""),
     "verdict_type_chart": (type_chart, f"""{WITH_VERDICTS}
         SELECT 99 - CAST(right(type, 2) AS INTEGER) AS place, type, type_passed AS passed, n - type_passed AS failed
         FROM ({BY_TYPE_SQL})"""),
