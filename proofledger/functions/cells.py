@@ -79,19 +79,52 @@ def plain_text(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
+def _shortest(digits: Column, unit: Column, x: Column) -> tuple[Column, Column]:
+    """``digits`` * 10 ** ``unit`` without its last digit where that is still the DOUBLE ``x``, else as it is."""
+    def still(fewer: Column) -> Column:
+        return F.concat(fewer.cast("string"), F.lit("E"), (unit + 1).cast("string")).try_cast("double") == x
+
+    last = F.pmod(digits, F.lit(10))
+    lower = ((digits - last) / F.lit(10).cast("decimal(2,0)")).cast("bigint")
+    fewer = F.when(still(lower) & ((last <= 5) | ~still(lower + 1)), lower).when(still(lower + 1), lower + 1)
+    return F.coalesce(fewer, digits), F.when(fewer.isNotNull(), unit + 1).otherwise(unit)
+
+
+def _large_text(x: Column) -> Column:
+    """Two-decimal text of a DOUBLE of 1e15 and more: its shortest decimal text, as long as it takes.
+
+    Some Java versions write a digit more than needed, so the last one is tried without. Such a DOUBLE has one digit after the point at most."""
+    text = F.abs(x).cast("string")
+    mantissa = F.replace(F.substring_index(text, "E", 1), F.lit("."))
+    digits, unit = mantissa.try_cast("bigint"), F.substring_index(text, "E", -1).try_cast("int") - F.length(mantissa) + 1
+    digits, unit = _shortest(digits, unit, F.abs(x))
+    kept = digits.cast("string")
+    whole = F.when(unit >= 0, F.concat(F.rpad(kept, F.length(kept) + unit, "0"), F.lit(".00"))).otherwise(
+        F.concat(F.substring(kept, F.lit(1), F.length(kept) + unit), F.lit("."), F.rpad(F.substring(kept, F.length(kept) + unit + 1, F.lit(2)), 2, "0")))
+    return F.concat(F.when(x < 0, "-").otherwise(""), whole)
+
+
+def _whole_text(x: Column) -> Column:
+    """The same for a DOUBLE from 2**53 to 9e18, a whole number of which the fewest digits that mean it are kept."""
+    n = F.abs(x).cast("bigint")
+    fewest = F.coalesce(*[F.when(F.bround(n, -k).cast("double") == F.abs(x), F.bround(n, -k)) for k in (3, 2, 1)], n)
+    return F.concat(F.when(x < 0, "-").otherwise(""), fewest.cast("string"), F.lit(".00"))
+
+
 def _two_decimals(c: Column, dtype: T.DataType) -> Column:
     """Decimal rounding of the shortest decimal text, ties to even; negative zero only for x < 0."""
     if isinstance(dtype, _INTEGRAL):
         return F.concat(c.cast("string"), F.lit(".00"))
     if isinstance(dtype, T.DecimalType):
-        rounded = F.bround(c, 2).try_cast("decimal(38,2)")
+        if dtype.scale <= 2:
+            return F.concat(c.cast("string"), F.lit((".00", "0", "")[dtype.scale]))
+        rounded = F.bround(c, 2)
         return F.concat(F.when((c < 0) & (rounded == 0), "-").otherwise(""), rounded.cast("string"))
     x = c.cast("double")
-    # From 1e15 on a double has at most one digit after the point, so two decimals hold it.
-    fine = F.bround(x.try_cast("decimal(38,18)"), 2).cast("decimal(38,2)")
-    rounded = F.when(F.abs(x) < 1e15, fine).otherwise(x.try_cast("decimal(38,2)"))
+    rounded = F.bround(x.try_cast("decimal(38,18)"), 2).cast("decimal(38,2)")
     near_tie = F.concat(F.when((x < 0) & (rounded == 0), "-").otherwise(""), rounded.cast("string"))
-    return F.when((F.abs(x) < 1e9) & _no_tie(x), _cents_text(x)).otherwise(near_tie)
+    return F.when((F.abs(x) < 1e9) & _no_tie(x), _cents_text(x)).when(F.abs(x) < 1e15, near_tie).when(
+        (F.abs(x) >= 2.0**53) & (F.abs(x) < 9e18), _whole_text(x)).otherwise(_large_text(x))
 
 
 def json_text(s: Column) -> Column:
@@ -132,11 +165,8 @@ def contract_defect(c: Column, dtype: T.DataType) -> Column | None:
     kind = kind_of(dtype)
     if kind == "unsupported":
         return F.when(c.isNotNull(), F.lit(f"TypeError: unsupported result type: {dtype.simpleString()}"))
-    too_large = F.lit("ValueError: result number out of range")
     if isinstance(dtype, _FLOATING):
-        return F.when(_not_finite(c), F.lit("ValueError: non-finite result number")).when(F.abs(c) >= 1e36, too_large)
-    if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale > 36:
-        return F.when(F.abs(c) >= F.lit("1" + "0" * 36).cast("decimal(38,0)"), too_large)
+        return F.when(_not_finite(c), F.lit("ValueError: non-finite result number"))
     return None
 
 

@@ -4,15 +4,16 @@ A long table ``result_rows(question_id, attempt_n, pos, line_v1, line_v2, defect
 number of results at once; ``pos`` rises along the result's own order, and is its place once the
 rows are stored and read back.
 
-Versions 1 and 2 hash a result as one text, as pinned questions need it: the lines of one result meet
-in one buffer, so they are for results that a person pinned. Version 3 folds: rows are hashed where
-they are, then per block of positions, then over the blocks, whatever the length.
+Versions 1 and 2 hash a result as one text, as pinned questions need it: the lines of one result stream past
+one task in order. Version 3 folds: rows are hashed where they are, then per block of positions, then over the
+blocks, so a long result takes many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofledger.functions.cells import RECORD_SEPARATOR, plain_text, row_defect, row_line
 from proofledger.operators.folding import fold
@@ -43,12 +44,8 @@ def result_rows(df: DataFrame, question_id: str, attempt_n: int, order_by: list[
                          *line_columns(placed, columns))
 
 
-def payload(lines: Column, version: int) -> Column:
-    if version == 1:
-        return F.array_join(lines, RECORD_SEPARATOR)
-    if version == 2:
-        return F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))
-    raise ValueError(f"unsupported serializer version: {version}")
+#: What the lines of a result stand between, per version: before, between, after.
+FRAMES = {1: ("", RECORD_SEPARATOR, ""), 2: ("[", ",", "]")}
 
 
 def fingerprints(rows: DataFrame, version: int, keys: list[str] | None = None, cap: int | None = None) -> DataFrame:
@@ -76,11 +73,53 @@ def fingerprints(rows: DataFrame, version: int, keys: list[str] | None = None, c
 
 
 def flat(rows: DataFrame, version: int, keys: list[str]) -> DataFrame:
-    """One hash over the text of a whole result."""
+    """One hash over the text of a whole result, which is sequential: a result's lines come to one task in order, and the
+    task holds a batch of them, however long the result is. The sort before it spills."""
+    if version not in FRAMES:
+        raise ValueError(f"unsupported serializer version: {version}")
     line = F.coalesce(F.col(f"line_v{version}"), F.lit(""))
-    placed = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
-    return rows.groupBy(*keys).agg(placed.alias("placed")).select(
-        *keys, F.sha2(payload(F.transform("placed", lambda p: p["line"]), version), 256).alias("sha256"))
+    placed = rows.select(*keys, "pos", line.alias("line")).repartition(*keys).sortWithinPartitions(*keys, "pos").select(*keys, "line")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("sha256", T.StringType())])
+    return placed.mapInArrow(_hashes(*[part.encode() for part in FRAMES[version]]), schema)
+
+
+def _hashes(before: bytes, between: bytes, after: bytes):
+    """A task over sorted (keys, line). Self-contained, as Python workers need not have this package."""
+    def task(batches):
+        import hashlib
+
+        key, digest, fields = None, None, None
+        for batch in batches:
+            *keys, lines = [c.to_pylist() for c in batch.columns]
+            fields, done, begin = batch.schema, [], 0
+            of = list(zip(*keys))
+            while begin < len(of):
+                end = begin + 1
+                while end < len(of) and of[end] == of[begin]:
+                    end += 1
+                block = between.join(line.encode() for line in lines[begin:end])
+                if of[begin] != key or digest is None:
+                    if digest is not None:
+                        digest.update(after)
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = of[begin], hashlib.sha256(before + block)
+                else:
+                    digest.update(between + block)
+                begin = end
+            if done:
+                yield rows_of(done, fields)
+        if digest is not None:
+            digest.update(after)
+            yield rows_of([(*key, digest.hexdigest())], fields)
+
+    def rows_of(done, fields):
+        import pyarrow as pa
+
+        columns = list(zip(*done))
+        kinds = [f.type for f in list(fields)[:-1]] + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*[f.name for f in list(fields)[:-1]], "sha256"])
+
+    return task
 
 
 def folded(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proofledger.functions.cells import json_text
-from proofledger.plans.fingerprints import fingerprint, result_rows
+from proofledger.functions.cells import contract_defect, json_text, typed_pair
+from proofledger.plans.fingerprints import fingerprint, fingerprints, result_rows
 
 # ---- fixed values: known answers and the first digits of their version 1 hashes ----
 KNOWN = [
@@ -129,3 +131,26 @@ def test_order_and_cap(spark):
     over = one(fingerprint(df, ["a"], cap=9))
     assert over.oversized and over.sha256 is None and over.rows == 10
     assert not one(fingerprint(df, ["a"], cap=10)).oversized
+
+
+def test_numbers_of_any_size(spark):
+    rng = random.Random(4)
+    values = [rng.choice([1, -1]) * rng.uniform(1, 10) * 10.0 ** rng.randrange(36, 308) for _ in range(2_000)]
+    values += [float(2 ** e) for e in range(50, 1024, 9)] + [1e36, 1.7976931348623157e308, 1e15 + 0.375, 9007199254740993.0, 1411969363236394.8, 2.604742617978011e17]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    got = df.select("v", typed_pair(F.col("v"), T.DoubleType()).alias("t"), contract_defect(F.col("v"), T.DoubleType()).alias("d")).collect()
+    assert len(got) == len(values) and all(r.d is None and r.t == f'["number","{Decimal(str(r.v)):.2f}"]' for r in got)
+    wide = spark.sql("SELECT CAST('-9999999999999999999999999999999999999.9' AS DECIMAL(38,1)) a, CAST('-0.001' AS DECIMAL(38,20)) b")
+    pairs = wide.select(*[typed_pair(wide[c], wide.schema[c].dataType) for c in wide.columns]).first()
+    assert tuple(pairs) == ('["number","-9999999999999999999999999999999999999.90"]', '["number","-0.00"]')
+
+
+def test_a_long_result_is_hashed_in_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = [("long", 1, k, f"a{k}", f"[b{k}]", None, "k") for k in range(100)] + [("é", 0, k, None, f"c{k}", None, "k") for k in range(3)]
+    df = spark.createDataFrame(rows[::-1], "question_id STRING, attempt_n INT, pos BIGINT, line_v1 STRING, line_v2 STRING, defect STRING, key STRING")
+    got = {v: {r.question_id: r.sha256 for r in fingerprints(df, v).collect()} for v in (1, 2)}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = {1: {"long": "\x1e".join(f"a{k}" for k in range(100)), "é": "\x1e\x1e"},
+             2: {"long": "[" + ",".join(f"[b{k}]" for k in range(100)) + "]", "é": "[c0,c1,c2]"}}
+    assert got == {v: {q: hashlib.sha256(t.encode()).hexdigest() for q, t in by.items()} for v, by in texts.items()}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from proofledger import schemas
+from proofledger.functions.cells import typed_pair
 from proofledger.functions.numeric import round_places
 from proofledger.operators.folding import BLOCK, FOLDS
 from proofledger.operators.matching import differing_positions, without_match
@@ -33,9 +35,19 @@ def _order_prints(spark, sf_dir):
     return references, attempts
 
 
-def whole_table_fingerprint(spark, sf_dir):
+def whole_table_fingerprint(spark, sf_dir, version):
     """One result with a row for every line item."""
-    return fingerprints(an.all_items(spark, sf_dir), 3).select("question_id", "rows", "sha256", "oversized")
+    return fingerprints(an.all_items(spark, sf_dir), version).select("question_id", "rows", "sha256", "oversized")
+
+
+LARGE = ("1e31", "1e60", "1e150", "1e299", "1e303")
+
+
+def large_numbers(spark, sf_dir):
+    """Typed cells of numbers from 1e33 to 1e308, each price by each of the factors."""
+    items = an.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    scaled = items.withColumn("factor", F.explode(F.array(*[F.lit(float(x)) for x in LARGE]))).withColumn("x", F.col("l_extendedprice") * F.col("factor"))
+    return scaled.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "factor", typed_pair(F.col("x"), DoubleType()).alias("cell"))
 
 
 def order_classes(spark, sf_dir):
@@ -292,6 +304,21 @@ _ALL_ITEMS = f"""WITH items AS (SELECT 'items' AS question_id, {_lines('l_extend
     SELECT question_id, (SELECT count(*) FROM items) AS rows, d AS sha256, false AS oversized FROM f{FOLDS}"""
 
 
+def _all_items_sql(version: int) -> str:
+    text = ("string_agg(line, chr(30) ORDER BY pos)" if version == 1 else "'[' || string_agg(line, ',' ORDER BY pos) || ']'")
+    return f"""WITH items AS (SELECT {_lines('l_extendedprice', version)} AS line,
+        row_number() OVER (ORDER BY {', '.join([*an.ITEM_KEYS, *an.LINE_ORDER])}) - 1 AS pos FROM lineitem)
+    SELECT 'items' AS question_id, count(*) AS rows, sha256({text}) AS sha256, false AS oversized FROM items"""
+
+
+# The shortest text of a DOUBLE has an exponent here; its digits are followed by zeros up to the point.
+_LARGE_SQL = f"""WITH scaled AS (
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, factor, CAST(l_extendedprice * factor AS VARCHAR) AS t
+      FROM lineitem, (VALUES {', '.join(f'({x}::DOUBLE)' for x in LARGE)}) v(factor)),
+    parts AS (SELECT *, replace(split_part(t, 'e', 1), '.', '') AS digits, CAST(replace(split_part(t, 'e', 2), '+', '') AS INTEGER) AS power FROM scaled)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, factor, '["number","' || rpad(digits, power + 1, '0') || '.00"]' AS cell FROM parts"""
+
+
 VOLUME_SQL = f"""{_ORDERED},
     rp AS (SELECT question_id, count(*) AS rows,
         sha256('[' || string_agg(line2, ',' ORDER BY pos) || ']') AS sha256
@@ -354,7 +381,10 @@ ENTRIES: dict[str, tuple] = {
     "print_orders_v1": (partial(order_fingerprints, version=1), _order_print_sql(1)),
     "print_orders_v2": (partial(order_fingerprints, version=2), _order_print_sql(2)),
     "print_orders_v3": (partial(order_fingerprints, version=3), _FOLDED_ORDERS),
-    "print_all_items_v3": (whole_table_fingerprint, _ALL_ITEMS),
+    "print_all_items_v1": (partial(whole_table_fingerprint, version=1), _all_items_sql(1)),
+    "print_all_items_v2": (partial(whole_table_fingerprint, version=2), _all_items_sql(2)),
+    "print_all_items_v3": (partial(whole_table_fingerprint, version=3), _ALL_ITEMS),
+    "print_large_numbers": (large_numbers, _LARGE_SQL),
     "compare_order_classes": (order_classes, _CLASS_SQL),
     "compare_order_typed": (compared, f"""{VOLUME_SQL}
         SELECT question_id, attempt_n, outcome, rows, sha256, match, direct_rows_equal FROM typed"""),
