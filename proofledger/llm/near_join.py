@@ -16,7 +16,8 @@ two components, might link and has not been compared.
 
 Defined results: text NULL, empty or without words has no shingles, links with nothing and is its own component;
 with fewer words than a shingle the whole sequence is one; repeated rows are equal documents; a long text is one
-set, never cut; ties in doc_id do not matter; an empty table gives an empty table; other columns are not read.
+set, never cut; unlike texts with one doc_id are documents of their own; doc_id NULL takes part like any other, and is the
+least of a component only where all are NULL; an empty table gives an empty table; other columns are not read.
 Shingles, and sets, are compared by 64-bit hashes.
 """
 
@@ -31,7 +32,7 @@ from math import comb, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -229,7 +230,7 @@ def sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 hashes = shingles(text.as_py(), size)
                 yield 8 * len(hashes), (node_of(hashes), hashes.astype(np.int64))
 
-    chosen = marked(docs).join(wanted, ["doc_id", "mark"], "left_semi").select("text")
+    chosen = null_safe(marked(docs), wanted, "doc_id", "mark").select("text")
     return by_rows(chosen, rows, SET).dropDuplicates(["node"])
 
 
@@ -351,20 +352,34 @@ def folded(sketch: bytes, width: int) -> np.ndarray:
     return cells
 
 
+def null_safe(df: DataFrame, other: DataFrame, *names: str) -> DataFrame:
+    """The rows of ``df`` whose columns ``names`` are also in ``other``, NULLs alike."""
+    there = other.select(*[F.col(n).alias(f"__{n}") for n in names]).distinct()
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"__{n}"))
+    return df.join(there, same, "left_semi")
+
+
+def first_row() -> Column:
+    """The row by which a set or a component is named: least doc_id, NULL last, then least mark."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("first")
+
+
 def near_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, mark (of the text), n_shingles, component_id (the least doc_id that links reach) of every document
-    of ``docs`` (doc_id, text). Two link when their shingles' intersection is at least ``share`` of the union."""
+    """doc_id, mark (of the text), n_shingles, component (the least of its sets' numbers, NULL without shingles), component_id (the
+    least doc_id that links reach) of every document of ``docs`` (doc_id, text). Two link when their shingles' intersection is at
+    least ``share`` of the union."""
     every = settle(records(docs, size, share), "records")
-    nodes = settle(every.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("label"), F.min_by("mark", F.struct("doc_id", "mark")).alias("mark")), "nodes")
-    first = nodes.select("node", F.col("label").alias("doc_id"), "mark")
-    one = every.join(first, ["node", "doc_id", "mark"], "left_semi").select("node", "n", "signatures", "sketch")
+    nodes = settle(every.where("n > 0").groupBy("node").agg(first_row()).select("node", "first.*"), "nodes")
+    one = null_safe(every.where("n > 0"), nodes, "node", "doc_id", "mark").select("node", "n", "signatures", "sketch")
     by = Window.partitionBy("signature")
     signed = one.select("node", F.explode("signatures").alias("signature"))
     members = settle(signed.withColumn("size", F.count("*").over(by)).where("size > 1").select("signature", "node").distinct(), "members")
     sharing = settle(members.select("node").distinct(), "sharing")
-    labels = settle(nodes.join(sharing, "node", "left_semi").select("node", "label"), "labels")
-    shapes = settle(sets(docs, size, first.join(sharing, "node", "left_semi").select("doc_id", "mark")), "sets")
+    # A component is named by a set, as doc_ids may be NULL or stand for several texts.
+    labels = sharing.select("node", F.col("node").alias("label"))
+    shapes = settle(sets(docs, size, nodes.join(sharing, "node", "left_semi").select("doc_id", "mark")), "sets")
     sketches = settle(one.join(sharing, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
     pairs = settle(stars(members, labels), "pairs")
     failed = active = None
@@ -375,15 +390,20 @@ def near_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -
         failed = missed.limit(0) if failed is None else failed.unionByName(missed)
         pairs = settle(proposals(members, labels, sketches, failed, share, active), "pairs")
         active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    component = nodes.select("node", F.col("label").alias("least")).join(labels, "node", "left").select(
-        "node", F.coalesce("label", "least").alias("component_id"))
+    named = settle(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    component = named.select("node", "component").join(least, "component")
     return every.select("doc_id", "mark", "node", F.col("n").alias("n_shingles")).join(component, "node", "left").select(
-        "doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "mark", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The documents of ``docs`` without those that a document with a lower doc_id reaches by links; of equal rows one."""
-    kept = near_join(docs, size, share).where("doc_id <=> component_id").select("doc_id", "mark").distinct()
+    """One document of ``docs`` for each group that links join, that with the least doc_id; of equal rows one. Documents without
+    shingles are linked with nothing."""
+    found = near_join(docs, size, share)
+    first = found.where("component IS NOT NULL").groupBy("component").agg(first_row()).select("first.doc_id", "first.mark")
+    kept = first.unionByName(found.where("component IS NULL").select("doc_id", "mark"))
     keyed = docs.withColumn("__near_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["__near_mark"] == kept["mark"]), "left_semi").dropDuplicates(
+    kept = kept.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_text")).distinct()
+    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_mark") == F.col("__near_text")), "left_semi").dropDuplicates(
         ["doc_id", "__near_mark"]).drop("__near_mark")

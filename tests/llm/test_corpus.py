@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proofledger.llm import class_lm, mixing, near_join, queries, threshold_search
 from proofledger.llm.common import positions
-from tests.llm.cases import documents, frame, unique
+from tests.llm.cases import documents, frame, prose, unique
 from tests.oracle import compare, connect
 
 DOC = "doc_id long, text string, source string"
@@ -161,6 +162,36 @@ def test_linked_sets_share_a_signature(share):
             assert apart <= len(a) + len(b) - 2 * both
 
 
+def test_links_of_rows_without_ids_and_with_equal_ids(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 120).replace("ß", "sz").replace("ñ", "n") for _ in range(4)]
+
+    def near(text, k):
+        words = text.split()
+        words[k] = "changed"
+        return " ".join(words)
+
+    rows = [(None, texts[0]), (1, texts[0].upper()), (2, near(texts[0], 50)), (5, texts[1]), (5, near(texts[1], 40)), (4, near(texts[1], 90)),
+            (7, texts[2]), (7, texts[3]), (3, near(texts[3], 20)), (None, texts[3]), (None, None), (9, ""), (9, ""), (2, near(texts[0], 50))]
+    # Documents are numbered; equal words are links as well.
+    sets = [frozenset(zip(*[(t or "").lower().split()[k:] for k in range(3)], strict=False)) for _, t in rows]
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
+                a, b = of[i], of[j]
+                of = [b if x == a else x for x in of]
+    want = Counter()
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if of[j] == of[i] and rows[j][0] is not None]
+        want[doc_id, len(sets[i]), min(ids, default=None) if sets[i] else doc_id] += 1
+    docs = [(d, t, "en", "s", 0) for d, t in rows]
+    got = near_join.near_join(frame(spark, docs, clashes=True), 3, (9, 10)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    kept = Counter((r.doc_id, r.text) for r in near_join.one_of_each(frame(spark, docs), 3, (9, 10)).collect())
+    assert kept == Counter([(1, texts[0].upper()), (4, near(texts[1], 90)), (7, texts[2]), (3, near(texts[3], 20)), (None, None), (9, "")])
+
+
 def test_one_of_each_keeps_rows_and_columns(spark):
     docs = frame(spark, clashes=True)
     kept = near_join.one_of_each(docs, 3, (9, 10))
