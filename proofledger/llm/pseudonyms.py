@@ -36,7 +36,8 @@ from proofledger.llm.common import let
 ROUNDS = 8
 #: The formats, in the order in which they are tried at a place. None starts or ends inside a longer token.
 FREE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+# A domain has 127 labels at most, so the repeated group stays shallow.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}(?<=\.[A-Za-z]{2,24})"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 YEAR, TWO = "(?:19|20)[0-9]{2}", "[0-9]{1,2}"
 DATE = FREE + rf"(?:{YEAR}([-/.]){TWO}\1{TWO}|{TWO}\.{TWO}\.{YEAR}|{TWO}/{TWO}/{YEAR})" + END
@@ -64,23 +65,27 @@ def symbol(value: Column, radix: Column) -> Column:
 
 
 def permuted(symbols: Column, tweak: Column, key: str) -> Column:
-    """The symbols' values after the Feistel rounds."""
-    radices = symbols["r"]
-    half = F.floor(F.size(symbols) / 2)
+    """The symbols' values after the Feistel rounds, each of which looks at every symbol once."""
+    def rounds(held: Column) -> Column:
+        half = F.floor(F.size(held) / 2)
 
-    def turn(values: Column, t: Column) -> Column:
-        left = (t % 2) == 0
-        other = F.when(left, F.slice(values, half + 1, F.size(values))).otherwise(F.slice(values, F.lit(1), half))
-        seed = F.concat(F.lit(f"{key}/"), tweak, F.lit("/"), t.cast("string"), F.lit("/"),
-                        F.array_join(F.transform(other, lambda x: x.cast("string")), ","), F.lit("/"))
-        return let(seed, lambda s: F.transform(values, lambda x, i: F.when(
-            (i < half) == left, F.pmod(x + keyed(s, i), F.element_at(radices, i + 1))).otherwise(x)))
+        def turn(values: Column, t: Column) -> Column:
+            left = (t % 2) == 0
+            other = F.when(left, F.slice(values, half + 1, F.size(values))).otherwise(F.slice(values, F.lit(1), half))
+            seed = F.concat(F.lit(f"{key}/"), tweak, F.lit("/"), t.cast("string"), F.lit("/"),
+                            F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+            # The other half is hashed once a round; each symbol then takes that digest with its place.
+            paired = F.zip_with(values, held["r"], lambda x, r: F.struct(x.alias("v"), r.alias("r")))
+            return let(F.sha2(seed.cast("binary"), 256), lambda s: F.transform(paired, lambda p, i: F.when(
+                (i < half) == left, F.pmod(p["v"] + keyed(s, i), p["r"])).otherwise(p["v"])))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols["v"], turn)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), held["v"], turn)
+
+    return let(symbols, rounds)
 
 
 def keyed(seed: Column, i: Column) -> Column:
-    digest = F.sha2(F.concat(seed, i.cast("string")).cast("binary"), 256)
+    digest = F.sha2(F.concat(seed, F.lit("/"), i.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 

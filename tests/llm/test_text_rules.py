@@ -262,3 +262,10 @@ def test_span_query(spark, sf_dir):
         for k in range(len(words) - 49):
             windows[tuple(words[k:k + 50])].add(doc_id)
     assert all(len(v) == 1 for v in windows.values())
+
+
+def test_a_very_long_domain_ends_no_reader(spark):
+    text = "x@" + "b." * 500_000 + "com"
+    docs = spark.createDataFrame([(1, text), (2, "x@b.com")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymised(docs).collect()}
+    assert got[1] == text and got[2] != "x@b.com" and len(got[2]) == 7
