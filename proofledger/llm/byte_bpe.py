@@ -16,7 +16,9 @@ columns, whatever their names, are left out.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,12 @@ from proofledger.llm.common import by_rows, portions
 CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 #: White space other than single blanks and line ends.
 OTHER_SPACE = regex.compile(r"[^\P{White_Space} \n]")
-#: The memo of a task is started anew when it holds this many pieces or characters.
-MEMO_ENTRIES, MEMO_CHARS = 1 << 20, 1 << 24
+#: The memo of a task is started anew when it holds about this many bytes, so many of them for the objects of each entry.
+MEMO_BYTES, ENTRY_BYTES = 224 << 20, 180
 #: Longer pieces are not kept in the memo.
 MEMO_LONGEST = 256
-#: A task encodes texts of about this many characters at a time.
-BATCH_CHARS = 1 << 21
+#: A task encodes texts of about this many characters at a time, and merges unknown pre-tokens of about this many bytes.
+BATCH_CHARS, MERGED_BYTES = 1 << 21, 100_000
 BITS = 6
 #: Shift of the left id in the key of a pair of ids.
 PAIR = 20
@@ -104,7 +106,17 @@ class Encoder:
             for token, rank in ranks.items() for k in range(1, len(token))
             if token[:k] in ranks and token[k:] in ranks}
         self.memo: dict[str, bytes] = {}
-        self.chars = 0
+        self.held = 0
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each pre-token, merged some at a time: they do not depend on each other."""
+        out, begin, size = [], 0, 0
+        for i, piece in enumerate(pieces, 1):
+            size += len(piece)
+            if size >= MERGED_BYTES or i == len(pieces):
+                out += self.merge(pieces[begin:i])
+                begin, size = i, 0
+        return out
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each pre-token."""
@@ -112,20 +124,21 @@ class Encoder:
         ends = np.cumsum([len(p) + 1 for p in pieces]) - 1  # a border stands behind each piece
         start = self.bytes[text]
         start[ends] = self.border
-        ids = start.tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n = len(start)
+        # One long pre-token is held in four bytes an entry; lists are faster, and some ten times as large.
+        row = partial(array, "i" if n < 1 << 31 else "q") if n > 2 * MERGED_BYTES else list
+        ids, after, before = row(start.tolist()), row(range(1, n + 1)), row(range(-1, n - 1))
         known, queue = self.pairs.get, self.queue
         keys = start[:-1] << PAIR | start[1:]
         found, of = np.unique(keys, return_inverse=True)
         first = np.array([known(k, -1) for k in found.tolist()], np.int64)[of] if n > 1 else np.zeros(0, np.int64)
-        ranks = first.tolist() + [-1]  # of each piece with the one after it
+        ranks = row(np.append(first, -1).tolist())  # of each piece with the one after it
         at = np.flatnonzero(first >= 0)
         at = at[np.argsort(first[at], kind="stable")]
         for group in np.split(at, np.flatnonzero(np.diff(first[at])) + 1):
             if len(group):
                 queue.push(int(first[group[0]]), group.tolist())
-        buckets, push = queue.buckets, queue.push
+        del start, keys, found, of, first, at
         buckets, push = queue.buckets, queue.push
         while (rank := queue.lowest()) >= 0:
             positions = queue.take(rank)
@@ -171,14 +184,15 @@ class Encoder:
             if (whole := self.ranks.get(p)) is not None:
                 known[p] = whole.to_bytes(4, "little")
         rest = [p for p, ids in known.items() if ids is None]
-        known.update(zip(rest, self.merge(rest) if rest else [], strict=True))
+        known.update(zip(rest, self.merged(rest), strict=True))
         fresh = {c: b"".join([known[p] for p in pieces]) for c, pieces in zip(missing, cut, strict=True)}
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-            self.memo.clear()
-            self.chars = 0
         short = {c: ids for c, ids in fresh.items() if len(c) <= MEMO_LONGEST}
+        more = sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in short.items())
+        if self.held + more > MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
         self.memo.update(short)
-        self.chars += sum(map(len, short))
+        self.held += more
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
