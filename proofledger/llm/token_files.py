@@ -17,6 +17,7 @@ table gives files without blocks; other columns are left out.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from proofledger.llm.common import by_rows, portions
 from proofledger.session import work_path
@@ -52,9 +53,15 @@ CODED = pa.schema([
 DOCUMENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
 
 
+#: A chunk of which lower-casing and cutting are plain: a word of Latin letters, then marks that end it.
+PLAIN_CHUNK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Chunks that must come out alike both ways before the plain way is taken.
+PROBES = ["a", "The", "Été", "straße.", "ÑANDÚ,", "élève?!", "word...", "ÿ", "Ångström;", "internationalisation"]
+
+
 class Chunked:
     """The library's ids of texts. White space never lies inside a token, so chunks between blanks are encoded
-    once and kept in a bounded memo."""
+    once and kept in a bounded memo. Plain chunks go to the library's model at once, without its general steps before it."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,6 +71,27 @@ class Chunked:
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else -1
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.packed = [np.array(i, self.type).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+        self.ends: dict[str, bytes] = {"": b""}
+        self.words = True
+        self.words = all(self.word(c) == ids for c, ids in zip(PROBES, self.plain(PROBES), strict=True))
+
+    def word(self, chunk: str) -> bytes | None:
+        """Ids of a plain chunk, None of any other."""
+        found = PLAIN_CHUNK.fullmatch(chunk) if self.words else None
+        if found is None:
+            return None
+        word, end = found.groups()
+        if end not in self.ends:
+            if len(self.ends) > MEMO_LONGEST:
+                return None
+            self.ends[end] = self.plain([end])[0]
+        word = word.lower()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]) + self.ends[end]
 
     def plain(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes()
@@ -75,30 +103,31 @@ class Chunked:
         packed, width = ids.tobytes(), self.type.itemsize
         return [packed[a:b] for a, b in zip([0, *[c + width for c in cuts]], [*cuts, len(packed)], strict=True)]
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
+    def learn(self, missing: list[str]) -> list[str]:
+        """Put the ids of chunks in the memo; returns those too long to stay there."""
+        fresh = {c: ids for c in missing if (ids := self.word(c)) is not None}
+        missing = [c for c in missing if c not in fresh]
         alone = [c for c in missing if self.mark is None or self.mark in c]
         others = [c for c in missing if self.mark is not None and self.mark not in c]
-        fresh = dict(zip(alone, self.plain(alone), strict=True)) if alone else {}
+        if alone:
+            fresh.update(zip(alone, self.plain(alone), strict=True))
         for k in range(0, len(others), JOINED):
             part = others[k:k + JOINED]
             fresh.update(zip(part, self.joined(part), strict=True))
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-            self.memo.clear()
-        self.memo.update((c, ids) for c, ids in fresh.items() if len(c) <= MEMO_LONGEST)
-        return fresh
+        self.memo.update(fresh)
+        return [c for c in fresh if len(c) > MEMO_LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        found = self.memo.get
+        """Packed ids of each text. The memo holds all their chunks meanwhile."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        looked = [list(map(found, c)) for c in cut]
-        missing = {c for cs, ids in zip(cut, looked, strict=True) if None in ids
-                   for c, i in zip(cs, ids, strict=True) if i is None}
-        if missing:
-            fresh = self.learn(list(missing))
-            looked = [[fresh[c] if i is None else i for c, i in zip(cs, ids, strict=True)] if None in ids else ids
-                      for cs, ids in zip(cut, looked, strict=True)]
-        return [b"".join(ids) for ids in looked]
+        missing = set().union(*cut).difference(self.memo)
+        long = self.learn(list(missing)) if missing else []
+        ids = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in cut]
+        for chunk in long:
+            del self.memo[chunk]
+        return ids
 
 
 _chunked: dict[str, Chunked] = {}
