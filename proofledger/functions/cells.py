@@ -170,9 +170,9 @@ def contract_defect(c: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-def row_line(df: DataFrame, columns: list[str], version: int) -> Column:
-    """The text of one result row."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+def row_line(df: DataFrame, columns: list[str], version: int, types: dict[str, T.DataType] | None = None) -> Column:
+    """The text of one result row. ``types`` stand for the columns' own where these hold what was stored of others."""
+    types = types or {f.name: f.dataType for f in df.schema.fields}
     if version == 1:
         return F.concat_ws(UNIT_SEPARATOR, *[plain_text(df[c], types[c]) for c in columns])
     if version == 2:
@@ -182,7 +182,12 @@ def row_line(df: DataFrame, columns: list[str], version: int) -> Column:
     raise ValueError(f"unsupported serializer version: {version}")
 
 
-def row_defect(df: DataFrame, columns: list[str]) -> Column:
-    types = {f.name: f.dataType for f in df.schema.fields}
+def row_defect(df: DataFrame, columns: list[str], types: dict[str, T.DataType] | None = None) -> Column:
+    types = types or {f.name: f.dataType for f in df.schema.fields}
     defects = [contract_defect(df[c], types[c]) for c in columns]
     return F.coalesce(*[d for d in defects if d is not None], F.lit(None).cast("string"))
+
+
+def storable(dtype: T.DataType) -> T.DataType:
+    """What a cell is stored as before it is written as text: its own type, or text for a type that no version writes otherwise."""
+    return T.StringType() if kind_of(dtype) in ("text", "null", "unsupported") else dtype

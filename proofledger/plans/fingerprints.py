@@ -22,24 +22,26 @@ from proofledger.operators.ordering import own_sequence, sequenced
 RESULT_KEY = ["question_id", "attempt_n"]
 
 
-def line_columns(df: DataFrame, columns: list[str]) -> list[Column]:
-    types = {f.name: f.dataType for f in df.schema.fields}
+def line_columns(df: DataFrame, columns: list[str], types: dict[str, T.DataType] | None = None) -> list[Column]:
+    types = types or {f.name: f.dataType for f in df.schema.fields}
     return [
-        row_line(df, columns, 1).alias("line_v1"),
-        row_line(df, columns, 2).alias("line_v2"),
-        row_defect(df, columns).alias("defect"),
+        row_line(df, columns, 1, types).alias("line_v1"),
+        row_line(df, columns, 2, types).alias("line_v2"),
+        row_defect(df, columns, types).alias("defect"),
         plain_text(df[columns[0]], types[columns[0]]).alias("key"),
     ]
 
 
+def placed_rows(df: DataFrame, order_by: list[str] | None = None, own_order: bool = False) -> DataFrame:
+    """A result with ``pos``. Its order is ``order_by`` and then all columns, or what the query itself ends with (``own_order``)."""
+    return own_sequence(df) if own_order else sequenced(df, order_by)
+
+
 def result_rows(df: DataFrame, question_id: str, attempt_n: int, order_by: list[str] | None = None,
                 own_order: bool = False) -> DataFrame:
-    """One whole result in the long form.
-
-    Its order is ``order_by`` and then all columns, or what the query itself ends with (``own_order``).
-    """
+    """One whole result in the long form, in the order of ``placed_rows``."""
     columns = df.columns
-    placed = own_sequence(df) if own_order else sequenced(df, order_by)
+    placed = placed_rows(df, order_by, own_order)
     return placed.select(F.lit(question_id).alias("question_id"), F.lit(attempt_n).alias("attempt_n"), "pos",
                          *line_columns(placed, columns))
 

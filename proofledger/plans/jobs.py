@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -12,6 +13,7 @@ from proofledger.operators.matching import require_none
 from proofledger.plans import replay as rp
 from proofledger.plans import staging
 from proofledger.plans import verdicts as vd
+from proofledger.session import work_path
 from proofledger.sources import contract, manifest, publish, readers, sinks
 
 
@@ -19,9 +21,12 @@ def build_table(spark: SparkSession, source: str, root: str, as_of: str, publish
                 floors: contract.Floors = contract.Floors(), first_day: str = "2017-01-01", multi_line: bool = False) -> DataFrame:
     """Raw files to a published table. Raises, and leaves the published version in force, when the raw
     contract or a table check fails. Returns the published table. ``multi_line`` accepts line breaks inside quotes,
-    and reads each file in one task."""
-    contract.require_clean(contract.contract_checks(spark, source, floors, multi_line), "raw source validation")
-    typed = readers.typed_raw(readers.read_raw_text(spark, source, multi_line))
+    and reads each file in one task. Records are parsed once, and landed; besides, the files are read as lines for the rules
+    on lines and as bytes for their identity."""
+    raw = readers.read_raw_text(spark, source, multi_line, check_header=False)
+    records = readers.landed(raw, work_path(spark, "landed", uuid.uuid4().hex))
+    contract.require_clean(contract.contract_checks(spark, source, floors, multi_line, records), "raw source validation")
+    typed = readers.typed_raw(records)
     receipt = manifest.file_manifest(spark, source)
     clean, outcome = publish.publish(spark, staging.stage(typed, for_writing=True), root, receipt, staging.accounting(typed),
                                      as_of, first_day, published_at)
@@ -31,10 +36,10 @@ def build_table(spark: SparkSession, source: str, root: str, as_of: str, publish
 
 
 def manifest_row(spark: SparkSession, source: str, dataset: dict[str, str], now: str,
-                 previous: DataFrame | None = None) -> DataFrame:
+                 previous: DataFrame | None = None, multi_line: bool = False) -> DataFrame:
     """One manifest row per source file: identity, coverage, receipt time, data set labels."""
     files = manifest.file_manifest(spark, source)
-    raw = readers.read_raw_text(spark, source).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    raw = readers.read_raw_text(spark, source, multi_line).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
     covered = manifest.coverage_by_file(raw)
     if previous is None:
         dated = files.withColumn("retrieved_at", F.lit(now))

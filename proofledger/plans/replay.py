@@ -1,7 +1,8 @@
 """Run reference and candidate answers, keep their rows, compare them.
 
 Each answer is a Spark job of its own that writes its rows to a durable table, so a lost executor or
-driver costs one answer, and fingerprints are computed for all answers in one pass afterwards.
+driver costs one answer. Rows are stored as they are, in one table per list of column types; their text, which takes far more
+planning than most answers, is made for all answers of a table together, as are the fingerprints.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ import hashlib
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import batched
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
 
+from proofledger.functions.cells import storable
 from proofledger.operators.ordering import without_gaps
-from proofledger.plans.fingerprints import RESULT_KEY, fingerprints, result_rows, with_empty_results
+from proofledger.plans.fingerprints import RESULT_KEY, fingerprints, line_columns, placed_rows, with_empty_results
 from proofledger.plans.guard import Text, read_text
 
 REFERENCE = 0  # attempt number of a question's own answer
@@ -69,7 +73,15 @@ def _note(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error)[:200]}"
 
 
-def execute(run: Run, path: str) -> tuple[str, int, str, str]:
+Shapes = dict[str, list[DataType]]  # column types of answers by the name of their table
+
+
+def shape_of(answer: DataFrame) -> tuple[str, list[DataType]]:
+    types = [f.dataType for f in answer.schema.fields]
+    return hashlib.sha256("\n".join(t.json() for t in types).encode()).hexdigest()[:16], types
+
+
+def execute(run: Run, path: str, shapes: Shapes) -> tuple[str, int, str, str]:
     """Write one answer's rows; returns its attempt record. A failing query is an outcome, not a crash."""
     own_order = run.order_by is None
     if run.text is not None:
@@ -81,9 +93,12 @@ def execute(run: Run, path: str) -> tuple[str, int, str, str]:
         answer = run.build()
         if not answer.columns:
             return run.question_id, run.attempt_n, "result_contract_error", "ValueError: a result without columns"
-        rows = result_rows(answer, run.question_id, run.attempt_n, list(run.order_by or ()), own_order)
-        rows.drop(*RESULT_KEY).write.mode("errorifexists").parquet(
-            f"{path}/question_id={run.question_id}/attempt_n={run.attempt_n}")
+        name, types = shape_of(answer)
+        placed = placed_rows(answer, list(run.order_by or ()), own_order)
+        cells = [placed[c].cast(storable(t)).alias(f"c{i}") for i, (c, t) in enumerate(zip(answer.columns, types, strict=True))]
+        placed.select("pos", *cells).write.mode("errorifexists").parquet(
+            f"{path}/{name}/question_id={run.question_id}/attempt_n={run.attempt_n}")
+        shapes[name] = types
     except PySparkException as error:
         if not is_query_error(error):
             raise
@@ -97,25 +112,36 @@ def replay(spark: SparkSession, runs: Iterable[Run], path: str) -> tuple[DataFra
     Runs are taken some at a time, so the driver holds neither all texts nor all records; of each answer it keeps
     a digest of the key and the outcome, to run equal ones once."""
     ran: dict[bytes, tuple[str, int, str, str]] = {}
-    any_rows = False
+    shapes: Shapes = {}
     with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
         for part in batched(runs, RUNS_AT_ONCE):
             names = [hashlib.sha256(repr(r.key or ("run", r.question_id, r.attempt_n)).encode()).digest() for r in part]
             fresh = {name: run for name, run in reversed(list(zip(names, part, strict=True))) if name not in ran}
-            ran.update(zip(fresh, pool.map(lambda r: execute(r, path), fresh.values()), strict=True))
+            ran.update(zip(fresh, pool.map(lambda r: execute(r, path, shapes), fresh.values()), strict=True))
             records = [(r.question_id, r.attempt_n, *ran[name][2:], *ran[name][:2]) for name, r in zip(names, part, strict=True)]
-            any_rows |= any(r[2] == "ok" for r in records)
             spark.createDataFrame(records, ATTEMPTS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}-attempts")
     if not ran:
         return spark.createDataFrame([], ATTEMPTS_SCHEMA).drop("ran_question", "ran_attempt"), spark.createDataFrame([], ROWS_SCHEMA)
     attempts = spark.read.schema(ATTEMPTS_SCHEMA).parquet(f"{path}-attempts")
-    rows = stored_rows(spark, path, attempts) if any_rows else spark.createDataFrame([], ROWS_SCHEMA)
+    rows = stored_rows(spark, path, attempts, shapes) if shapes else spark.createDataFrame([], ROWS_SCHEMA)
     return attempts.drop("ran_question", "ran_attempt"), rows
 
 
-def stored_rows(spark: SparkSession, path: str, attempts: DataFrame) -> DataFrame:
+def written_rows(spark: SparkSession, path: str, shapes: Shapes) -> DataFrame:
+    """All stored answers as text, with one plan per list of column types."""
+    parts = []
+    for name, types in sorted(shapes.items()):
+        columns = [f"c{i}" for i in range(len(types))]
+        schema = StructType([StructField("pos", LongType()), *[StructField(c, storable(t)) for c, t in zip(columns, types, strict=True)],
+                             StructField("question_id", StringType()), StructField("attempt_n", IntegerType())])
+        cells = spark.read.schema(schema).parquet(f"{path}/{name}")
+        parts.append(cells.select("pos", *line_columns(cells, columns, dict(zip(columns, types, strict=True))), *RESULT_KEY))
+    return reduce(DataFrame.union, parts)
+
+
+def stored_rows(spark: SparkSession, path: str, attempts: DataFrame, shapes: Shapes) -> DataFrame:
     """The rows of every attempt with their places in their results; equal answers are stored once."""
-    stored = without_gaps(spark.read.schema(ROWS_SCHEMA).parquet(path), RESULT_KEY)
+    stored = without_gaps(written_rows(spark, path, shapes), RESULT_KEY)
     by = attempts.where("outcome = 'ok'").select(*RESULT_KEY, "ran_question", "ran_attempt")
     ran = stored.withColumnsRenamed({"question_id": "ran_question", "attempt_n": "ran_attempt"})
     return ran.join(by, ["ran_question", "ran_attempt"]).select(*stored.columns)

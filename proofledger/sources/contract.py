@@ -119,10 +119,12 @@ def as_checks(one_row: DataFrame) -> DataFrame:
     )
 
 
-def contract_checks(spark: SparkSession, path: str, floors: Floors = Floors(), multi_line: bool = False) -> DataFrame:
-    """Every contract rule with its number of violations; see ``read_raw_text`` for ``multi_line``."""
-    rows = row_violations(read_raw_text(spark, path, multi_line, check_header=False), floors)
-    return as_checks(file_violations(spark, path, multi_line)).unionByName(as_checks(rows))
+def contract_checks(spark: SparkSession, path: str, floors: Floors = Floors(), multi_line: bool = False,
+                    records: DataFrame | None = None) -> DataFrame:
+    """Every contract rule with its number of violations; see ``read_raw_text`` for ``multi_line``. ``records`` are the records of
+    ``path`` where they are already landed."""
+    records = records if records is not None else read_raw_text(spark, path, multi_line, check_header=False)
+    return as_checks(file_violations(spark, path, multi_line)).unionByName(as_checks(row_violations(records, floors)))
 
 
 def offenders(raw_text: DataFrame) -> DataFrame:

@@ -29,6 +29,13 @@ def read_raw_text(spark: SparkSession, path: str, multi_line: bool = False, chec
     )
 
 
+def landed(raw_text: DataFrame, path: str) -> DataFrame:
+    """Raw records written once in even files, with the file each came from: what contract, accounting and staging read."""
+    raw_text.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).hint("rebalance").write.mode(
+        "errorifexists").parquet(path)
+    return raw_text.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out rows after reading files that cannot be split."""
     return df.hint("rebalance")

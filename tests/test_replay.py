@@ -131,7 +131,7 @@ def test_texts_are_judged_before_they_run(spark, resale, tmp_path, body, outcome
     spark.range(1).createOrReplaceGlobalTempView("apart")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION twice(x INT) RETURNS INT RETURN 2 * x")
     assert read_text(spark, body, {"resale"}).outcome == outcome
-    record = rp.execute(rp.sql_run(spark, "Q", 1, body), str(tmp_path))
+    record = rp.execute(rp.sql_run(spark, "Q", 1, body), str(tmp_path), {})
     assert record[2] == (outcome or "ok")
     assert spark.catalog.tableExists("resale")
 
@@ -171,7 +171,7 @@ def test_equal_texts_run_once(spark, resale, tmp_path, monkeypatch):
     resale.createOrReplaceTempView("resale")
     monkeypatch.setattr(rp, "RUNS_AT_ONCE", 2)
     done = []
-    monkeypatch.setattr(rp, "execute", lambda run, path, real=rp.execute: (done.append(run.attempt_n), real(run, path))[1])
+    monkeypatch.setattr(rp, "execute", lambda run, path, shapes, real=rp.execute: (done.append(run.attempt_n), real(run, path, shapes))[1])
     runs = [rp.sql_run(spark, "Q", n, text) for n, text in enumerate(
         ["SELECT town FROM resale", "SELECT 1 AS a", "SELECT town FROM resale", "DROP VIEW resale", "SELECT 1 AS a"])]
     found, _ = replayed(spark, tmp_path, iter(runs))
@@ -182,9 +182,9 @@ def test_equal_texts_run_once(spark, resale, tmp_path, monkeypatch):
 
 def test_a_failing_file_system_is_no_verdict(spark, tmp_path):
     run = rp.sql_run(spark, "Q", 1, "SELECT 1 AS a")
-    assert rp.execute(run, str(tmp_path))[2] == "ok"
+    assert rp.execute(run, str(tmp_path), {})[2] == "ok"
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        rp.execute(run, str(tmp_path))
+        rp.execute(run, str(tmp_path), {})
 
 
 def test_typed_comparison_agrees_with_rows(spark, resale, tmp_path):

@@ -139,6 +139,21 @@ def test_line_break_inside_quotes_is_published(spark, write, tmp_path):
     assert sorted(r.street_name for r in table.collect()) == ["ST", "ST\nONE"]
 
 
+def test_records_are_parsed_once(spark, write, tmp_path, monkeypatch):
+    reads = []
+    real = readers.read_raw_text
+    monkeypatch.setattr(readers, "read_raw_text", lambda *a, **k: (reads.append(a), real(*a, **k))[1])
+    monkeypatch.setattr(contract, "read_raw_text", readers.read_raw_text)
+    table = jobs.build_table(spark, write(VALID, VALID), str(tmp_path / "table"), "2026-01-01", "t", FLOORS)
+    assert table.count() == 2 and len(reads) == 1
+
+
+def test_a_manifest_counts_records_with_line_breaks(spark, write):
+    path = write(VALID, VALID.replace(",ST,", ',"ST\nONE",'))
+    row = jobs.manifest_row(spark, path, {}, "now", multi_line=True).first()
+    assert (row.rows, row.months) == (2, 1)
+
+
 def test_a_short_table_is_not_published(spark, write, tmp_path):
     """Rows that staging lost on the way show against the written files."""
     from proofledger.plans import staging
