@@ -79,29 +79,44 @@ def plain_text(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
-def _shortest(digits: Column, unit: Column, x: Column) -> tuple[Column, Column]:
-    """``digits`` * 10 ** ``unit`` without its last digit where that is still the DOUBLE ``x``, else as it is."""
+def _shortest(n: Column) -> Column:
+    """``n`` (digits, unit, x) with the digits without the last one where that is still the DOUBLE ``x``, else as they are."""
     def still(fewer: Column) -> Column:
-        return F.concat(fewer.cast("string"), F.lit("E"), (unit + 1).cast("string")).try_cast("double") == x
+        return F.concat(fewer.cast("string"), F.lit("E"), (n["unit"] + 1).cast("string")).try_cast("double") == n["x"]
 
-    last = F.pmod(digits, F.lit(10))
-    lower = ((digits - last) / F.lit(10).cast("decimal(2,0)")).cast("bigint")
-    fewer = F.when(still(lower) & ((last <= 5) | ~still(lower + 1)), lower).when(still(lower + 1), lower + 1)
-    return F.coalesce(fewer, digits), F.when(fewer.isNotNull(), unit + 1).otherwise(unit)
+    last = F.pmod(n["digits"], F.lit(10))
+    lower = ((n["digits"] - last) / F.lit(10).cast("decimal(2,0)")).cast("bigint")
+    tried = F.array(F.struct(n.alias("n"), last.alias("last"), lower.alias("lower"), still(lower).alias("down"), still(lower + 1).alias("up")))
+    chosen = F.transform(tried, lambda t: F.struct(
+        t["n"].alias("n"), F.when(t["down"] & ((t["last"] <= 5) | ~t["up"]), t["lower"]).when(t["up"], t["lower"] + 1).alias("fewer")))
+    return F.transform(chosen, lambda t: F.struct(
+        F.coalesce(t["fewer"], t["n"]["digits"]).cast("string").alias("kept"),
+        F.when(t["fewer"].isNotNull(), t["n"]["unit"] + 1).otherwise(t["n"]["unit"]).alias("unit")))[0]
 
 
 def _large_text(x: Column) -> Column:
     """Two-decimal text of a DOUBLE of 1e15 and more: its shortest decimal text, as long as it takes.
 
-    Some Java versions write a digit more than needed, so the last one is tried without. Such a DOUBLE has one digit after the point at most."""
-    text = F.abs(x).cast("string")
-    mantissa = F.replace(F.substring_index(text, "E", 1), F.lit("."))
-    digits, unit = mantissa.try_cast("bigint"), F.substring_index(text, "E", -1).try_cast("int") - F.length(mantissa) + 1
-    digits, unit = _shortest(digits, unit, F.abs(x))
-    kept = digits.cast("string")
-    whole = F.when(unit >= 0, F.concat(F.rpad(kept, F.length(kept) + unit, "0"), F.lit(".00"))).otherwise(
-        F.concat(F.substring(kept, F.lit(1), F.length(kept) + unit), F.lit("."), F.rpad(F.substring(kept, F.length(kept) + unit + 1, F.lit(2)), 2, "0")))
-    return F.concat(F.when(x < 0, "-").otherwise(""), whole)
+    Some Java versions write a digit more than needed, so the last one is tried without. Such a DOUBLE has one digit after the point at most.
+    Each step is a lambda over an array of one, so that what it uses several times is computed once."""
+    def parts(v: Column) -> Column:
+        text = v.cast("string")
+        return F.struct(v.alias("x"), F.replace(F.substring_index(text, "E", 1), F.lit(".")).alias("mantissa"),
+                        F.substring_index(text, "E", -1).try_cast("int").alias("power"))
+
+    def numbers(p: Column) -> Column:
+        return F.struct(p["x"].alias("x"), p["mantissa"].try_cast("bigint").alias("digits"),
+                        (p["power"] - F.length(p["mantissa"]) + 1).alias("unit"))
+
+    def whole(n: Column) -> Column:
+        kept, unit = n["kept"], n["unit"]
+        return F.when(unit >= 0, F.concat(F.rpad(kept, F.length(kept) + unit, "0"), F.lit(".00"))).otherwise(
+            F.concat(F.substring(kept, F.lit(1), F.length(kept) + unit), F.lit("."), F.rpad(F.substring(kept, F.length(kept) + unit + 1, F.lit(2)), 2, "0")))
+
+    steps = F.array(F.abs(x))
+    for step in (parts, numbers, _shortest, whole):
+        steps = F.transform(steps, step)
+    return F.concat(F.when(x < 0, "-").otherwise(""), steps[0])
 
 
 def _whole_text(x: Column) -> Column:

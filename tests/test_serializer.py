@@ -145,6 +145,12 @@ def test_numbers_of_any_size(spark):
     assert tuple(pairs) == ('["number","-9999999999999999999999999999999999999.90"]', '["number","-0.00"]')
 
 
+def test_large_numbers_are_read_as_few_times_as_needed(spark):
+    cell = spark.range(1).select(typed_pair(F.col("id").cast("double") * 1e60, T.DoubleType()).alias("t"))
+    plan = cell._jdf.queryExecution().analyzed().toString()
+    assert plan.count("pmod") < 10 and plan.count("substring_index") < 10
+
+
 def test_a_long_result_is_hashed_in_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     rows = [("long", 1, k, f"a{k}", f"[b{k}]", None, "k") for k in range(100)] + [("é", 0, k, None, f"c{k}", None, "k") for k in range(3)]
