@@ -206,6 +206,18 @@ def test_log_meta_is_kept_apart(spark, tmp_path):
     assert [r.question_id for r in record] == ["Q1"] and list(record[0].attempts[0].fingerprint) == ["1", "abc"]
 
 
+def test_a_summary_leaves_the_scans_before_it_spread(spark, tmp_path):
+    def task(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": [str(TaskContext.get().partitionId())] * batch.num_rows})
+
+    sinks.write_summary(spark.range(0, 8, 1, 8).where("id = 7").mapInArrow(task, "value STRING"), str(tmp_path / "summary"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "summary")).collect()] == ["7"]
+
+
 def test_a_recorded_run_is_not_overwritten(spark, tmp_path):
     df = spark.createDataFrame([("Q1",)], "question_id STRING")
     path = sinks.run_path(str(tmp_path), "2026-01-02", 2)
