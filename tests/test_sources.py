@@ -224,3 +224,22 @@ def test_a_recorded_run_is_not_overwritten(spark, tmp_path):
     sinks.write_json(df, path)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.write_json(df, path)
+
+
+def test_wide_records_are_landed_without_a_shuffle_of_their_own(spark, sf_dir, monkeypatch):
+    """Raw records and broken files are written by the tasks that make them."""
+    from pyspark.sql import DataFrame
+
+    from workloads import analogue as an
+    from workloads import source_queries as sq
+
+    asked = []
+    hint = DataFrame.hint
+    monkeypatch.setattr(type(spark.range(0)), "hint", lambda self, name, *args: asked.append(name) or hint(self, name, *args))
+    monkeypatch.setattr(an, "_made", {})
+    path = sq.broken_csv(spark, sf_dir)
+    assert "rebalance" not in asked
+    lines = spark.read.text(path)
+    headers, files = lines.where(F.col("value") == schemas.RAW_HEADER).count(), len(lines.inputFiles())
+    assert headers == files and lines.count() == files + an.raw_table(spark, sf_dir, dirty=True).count()
+    assert not lines.where(F.col("value").contains("\x00")).count()
