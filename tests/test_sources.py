@@ -243,3 +243,10 @@ def test_wide_records_are_landed_without_a_shuffle_of_their_own(spark, sf_dir, m
     headers, files = lines.where(F.col("value") == schemas.RAW_HEADER).count(), len(lines.inputFiles())
     assert headers == files and lines.count() == files + an.raw_table(spark, sf_dir, dirty=True).count()
     assert not lines.where(F.col("value").contains("\x00")).count()
+
+
+def test_rows_of_orders_are_stored_as_cells(spark, sf_dir):
+    from workloads import analogue as an
+
+    path = an.order_rows(spark, sf_dir, 1).inputFiles()[0].split("attempt_n=")[0]
+    assert not {"line_v1", "line_v2", "key"} & set(spark.read.parquet(path).columns)

@@ -291,29 +291,35 @@ def order_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_result_rows(changed_results(order_results(spark, sf_dir)), 1)
+
+
+def changed_results(cells: DataFrame) -> DataFrame:
     """Candidate rows per order: unchanged, without the last row, reversed, with a changed cell, with a
     number that cannot be serialized, or without any row, by the order number."""
-    cells = order_results(spark, sf_dir)
     kind = F.col("question_id") % 7
     size = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
     last = F.col("size") - 1
-    changed = (
+    return (
         cells.withColumn("size", size)
         .where(~((kind == 1) & (F.col("pos") == last)) & (kind != 5))
         .withColumn("pos", F.when(kind == 2, last - F.col("pos")).otherwise(F.col("pos")))
         .withColumn("price", F.when(kind == 3, F.col("price") + 0.01)
                     .when((kind == 4) & (F.col("pos") == 0), F.lit(float("nan"))).otherwise(F.col("price")))
+        .drop("size")
     )
-    return as_result_rows(changed, 1)
 
 
 def order_rows(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
-    """Reference (0) or candidate (1) rows of all orders from the result table, written once."""
+    """Reference (0) or candidate (1) rows of all orders. Their cells are written once, as they are; the text, many times as long, is
+    made where it is read, and only the version that is asked for."""
     def make(path: str) -> None:
-        both = order_references(spark, sf_dir).unionByName(order_attempts(spark, sf_dir))
+        cells = order_results(spark, sf_dir)
+        both = cells.withColumn("attempt_n", F.lit(0)).unionByName(changed_results(cells).withColumn("attempt_n", F.lit(1)))
         both.write.mode("errorifexists").partitionBy("attempt_n").parquet(path)
 
-    return spark.read.parquet(made_once(spark, sf_dir, "order_rows", make)).where(F.col("attempt_n") == attempt_n)
+    cells = spark.read.parquet(made_once(spark, sf_dir, "order_cells", make)).where(F.col("attempt_n") == attempt_n)
+    return as_result_rows(cells, attempt_n)
 
 
 def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
