@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from proofledger.functions import resuming
 from proofledger.functions.parse import MONTH_TEXT
 
-
 # ---- fixed values: the mark that readers skip at the start of a text, suffixes of files that readers unpack ----
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$"
@@ -18,8 +18,9 @@ DIGEST_SCHEMA = "path STRING, sha256 STRING"
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """name, bytes and SHA-256 of the bytes of every file under ``path``, files without a byte included.
 
-    A hash over a file is sequential, so each file is one task, which streams past its lines (cut at LF alone) and holds a batch of
-    them. Packed files, which readers would unpack, are read as one value, of 2 GB at most."""
+    A hash over a file is sequential. A file of up to ``resuming.PART_BYTES`` is one task, which streams past its lines (cut at LF alone)
+    and holds a batch of them; a larger one takes a task per part, one after another, as soon as this is called. Packed files,
+    which readers would unpack, are read as one value, of 2 GB at most."""
     source = _files(spark, "binaryFile", glob).load(path)
     scanned = source.select(_place(F.col("_metadata.file_path")), F.col("length").alias("bytes"))
     # Scans pass over files without a byte; the driver's own listing has them.
@@ -28,9 +29,16 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     packed = F.col("_metadata.file_name").rlike(PACKED)
     values = source.where(packed).select(
         _place(F.col("_metadata.file_path")), F.sha2("content", 256).alias("sha256"))
-    lines = _files(_unsplit(spark), "text", glob).option("lineSep", "\n").load(path).where(~packed).select(
-        _place(F.col("_metadata.file_path")), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    size, part = F.col("_metadata.file_size"), resuming.PART_BYTES
+    found = source.where(~packed & (size > part)).select(_place(F.col("_metadata.file_path")), "length").collect() if resuming.can_resume() else []
+    # A condition on the size keeps files out of the scan, not their lines alone.
+    short = size <= part if found else F.lit(True)
+    lines = _lines(_apart(spark, 1 << 60), path, glob).where(~packed & short).select(
+        _place(F.col("_metadata.file_path")), size.alias("size"), F.col("value").cast("binary").alias("line"))
     digests = values.unionByName(lines.mapInArrow(_digests(), DIGEST_SCHEMA))
+    if found:
+        long = _lines(_apart(spark, part), path, glob).where(~packed & (size > part))
+        digests = digests.unionByName(spark.createDataFrame(_in_parts(long, {r.path: r.length for r in found}), DIGEST_SCHEMA))
     empty = F.when(F.col("bytes") == 0, F.sha2(F.lit(b""), 256)).when(F.col("bytes") == 3, F.sha2(F.lit(BYTE_ORDER_MARK), 256))
     # Paths are URIs; a plus in them is a plus.
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file")
@@ -46,14 +54,83 @@ def _files(spark: SparkSession, kind: str, glob: str) -> DataFrameReader:
     return spark.read.format(kind).option("pathGlobFilter", glob)
 
 
-def _unsplit(spark: SparkSession) -> SparkSession:
-    """A session of its own whose scans give each file to one task."""
+def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return _files(spark, "text", glob).option("lineSep", "\n").load(path)
+
+
+def _apart(spark: SparkSession, part: int) -> SparkSession:
+    """A session of its own whose scans give each part of ``part`` bytes of each file to one task."""
     apart = spark.newSession()
     for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        apart.conf.set(key, str(1 << 60))
+        apart.conf.set(key, str(part))
     return apart
 
 
+def _in_parts(lines: DataFrame, sizes: dict[str, int]) -> list[tuple[str, str]]:
+    """(path, SHA-256) of long files whose parts are the partitions of ``lines``. The n-th parts of all files are read together; each takes
+    up the hash where the part before has left it, so a task reads one part and only hashes' states come to the driver."""
+    start = F.col("_metadata.file_block_start").alias("start")
+    # Which partition is which part. A part in which no line begins has none.
+    firsts = lines.select(_place(F.col("_metadata.file_path")), start, F.spark_partition_id().alias("number")).distinct().collect()
+    parts: dict[str, list[tuple[int, int]]] = {}
+    for path, begin, number in firsts:
+        parts.setdefault(path, []).append((begin, number))
+    states = {path: (begins[0][0], 0, None, None) for path, begins in parts.items() if not begins.sort()}
+    read = lines.select(_place(F.col("_metadata.file_path")), start, F.col("value").cast("binary").alias("line"))
+    for n in range(max(map(len, parts.values()))):
+        due = {path: begins[n] for path, begins in parts.items() if n < len(begins)}
+        task = _part({path: (begin, *states[path][1:]) for path, (begin, _) in due.items()})
+        done = read.mapInArrow(task, "path STRING, start BIGINT, hashed BIGINT, plain BINARY, marked BINARY").rdd
+        for row in lines.sparkSession.sparkContext.runJob(done, list, [number for _, number in due.values()]):
+            states[row.path] = (row.start, row.hashed, bytes(row.plain), bytes(row.marked))
+    digest = resuming.resuming()()
+    out = []
+    for path, (_, hashed, *contexts) in states.items():
+        marked, ended = _left_out(path, sizes[path], hashed)
+        out.append((path, digest(b"\n" * ended, contexts[marked]).hexdigest()))
+    return out
+
+
+def _left_out(path: str, size: int, hashed: int) -> tuple[int, int]:
+    """What the lines leave out of a file: a byte order mark at its start, a line end at its end."""
+    marked, ended = divmod(size - hashed, 3)
+    if marked not in (0, 1) or ended not in (0, 1):
+        raise ValueError(f"{path} changed while it was read")
+    return marked, ended
+
+
+def _part(states: dict):
+    """A task over one part of each of the files of ``states`` (start, bytes so far, states of the hashes without and with a mark)."""
+    make = resuming.resuming()
+
+    def task(batches):
+        import pyarrow as pa
+
+        digest, path = None, None
+        for batch in batches:
+            paths, starts, lines = (c.to_pylist() for c in batch.columns)
+            if not paths:
+                continue
+            block = b"\n".join(lines)
+            if path is None:
+                path, digest = paths[0], make()
+                start, hashed, *contexts = states[path]
+                hashes = [digest(b"" if c else mark, c) for c, mark in zip(contexts, (b"", b"\xef\xbb\xbf"))]
+                begun = contexts[0] is not None
+            if begun:
+                block = b"\n" + block
+            if set(paths) != {path} or set(starts) != {start}:
+                raise ValueError(f"{path} changed while it was read")
+            for one in hashes:
+                one.update(block)
+            hashed, begun = hashed + len(block), True
+        if path is not None:
+            columns = [path], [start], [hashed], [hashes[0].state()], [hashes[1].state()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "start", "hashed", "plain", "marked"])
+
+    return task
+
+
 def _digests():
     """A task over whole files, line after line. Self-contained, as Python workers need not have this package."""
     def task(batches):

@@ -130,6 +130,25 @@ def test_identity_is_the_hash_of_the_bytes(spark, tmp_path):
         manifest.require_identity(locked, manifest.file_manifest(spark, str(tmp_path / "src")), locked)
 
 
+def test_a_long_file_is_hashed_in_parts(spark, tmp_path, monkeypatch):
+    """No task reads a long file whole, and the hash is that of its bytes."""
+    from proofledger.functions import resuming
+
+    lines = b"".join(b"%d;\xff\r\n" % (k * 7919 % 10_007) for k in range(9_000))
+    contents = {"a.csv": lines, "b é+.csv": lines + b"last", "mark.csv": b"\xef\xbb\xbf" + lines * 2, "one_line.bin": b"x" * 90_000, "small.csv": b"x\n",
+                "gap.bin": b"a\n" + b"x" * 90_000 + b"\nq\n" + b"y" * 5000, "empty.csv": b"", "ends.bin": b"\n" * 70_000, "c.csv.gz": gzip.compress(lines * 9)}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(resuming, "PART_BYTES", 30_000)
+    read = []
+    real = manifest._part
+    monkeypatch.setattr(manifest, "_part", lambda states: (read.append(len(states)), real(states))[1])
+    found = {r.file: (r.bytes, r.sha256) for r in manifest.file_manifest(spark, str(tmp_path)).collect()}
+    assert found == {name: (len(data), sha(data)) for name, data in contents.items()}
+    # As many steps as the longest file has parts, of all long files together.
+    assert read[0] == 6 and len(read) == -(-len(contents["mark.csv"]) // 30_000)
+
+
 def test_line_break_inside_quotes_is_published(spark, write, tmp_path):
     broken = VALID.replace(",ST,", ',"ST\nONE",')
     path = write(VALID, broken)
