@@ -160,3 +160,31 @@ def test_a_long_result_is_hashed_in_batches(spark):
     texts = {1: {"long": "\x1e".join(f"a{k}" for k in range(100)), "é": "\x1e\x1e"},
              2: {"long": "[" + ",".join(f"[b{k}]" for k in range(100)) + "]", "é": "[c0,c1,c2]"}}
     assert got == {v: {q: hashlib.sha256(t.encode()).hexdigest() for q, t in by.items()} for v, by in texts.items()}
+
+
+def test_a_long_result_is_hashed_in_parts(spark, monkeypatch):
+    """Results longer than a part take several tasks, and their hashes are those of the whole text."""
+    from proofledger.functions import resuming
+    from proofledger.plans import fingerprints as fp
+
+    sizes = {"a": 900, "b": 3, "c": 1, "d": 2_000, "e": 0, None: 700}
+    rows = [(q, 1, 3 * k, f"{q}é{k}", None if k % 50 == 7 else f'["{q}",{k}]', None, "") for q, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows[::-1], """question_id STRING, attempt_n INT, pos LONG, line_v1 STRING, line_v2 STRING, defect STRING,
+        key STRING""").repartition(5)
+    monkeypatch.setattr(resuming, "PART_BYTES", 4_000)
+    parts = []
+    real = fp._taken_up
+    monkeypatch.setattr(fp, "_taken_up", lambda *a: (parts.append(a), real(*a))[1])
+    whole = {}
+    for q, _, _, one, two, *_ in rows:
+        whole.setdefault(q, ([], []))
+        whole[q][0].append(one)
+        whole[q][1].append(two or "")
+    for version in (1, 2):
+        before, between, after = fp.FRAMES[version]
+        want = {q: (len(t[0]), hashlib.sha256((before + between.join(t[version - 1]) + after).encode()).hexdigest() if q else None)
+                for q, t in whole.items()}
+        for chosen, what in ((df, want), (df.where("question_id = 'd'"), {"d": want["d"]}), (df.where("question_id = 'b'"), {"b": want["b"]})):
+            got = {r.question_id: (r.rows, r.sha256) for r in fingerprints(chosen, version, long=True).collect()}
+            assert got == what
+    assert len(parts) > 20
