@@ -34,6 +34,8 @@ CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 OTHER_SPACE = regex.compile(r"[^\P{White_Space} \n]")
 #: The memo of a task is started anew when it holds about this many bytes, so many of them for the objects of each entry.
 MEMO_BYTES, ENTRY_BYTES = 224 << 20, 180
+#: And never more entries than that.
+MEMO_ENTRIES = MEMO_BYTES // ENTRY_BYTES
 #: Longer pieces are not kept in the memo.
 MEMO_LONGEST = 256
 #: A task encodes texts of about this many characters at a time, and merges unknown pre-tokens of about this many bytes.
@@ -188,7 +190,7 @@ class Encoder:
         fresh = {c: b"".join([known[p] for p in pieces]) for c, pieces in zip(missing, cut, strict=True)}
         short = {c: ids for c, ids in fresh.items() if len(c) <= MEMO_LONGEST}
         more = sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in short.items())
-        if self.held + more > MEMO_BYTES:
+        if self.held + more > MEMO_BYTES or len(self.memo) + len(short) > MEMO_ENTRIES:
             self.memo.clear()
             self.held = 0
         self.memo.update(short)
