@@ -42,7 +42,8 @@ from proofledger.llm.common import by_rows, settle
 COVER = 2
 #: Cells of a sketch for each difference that linked sets may have.
 CELLS = 32
-#: Partners that a node gets compared with from one group at a time, the nearest first.
+#: Partners that a node gets compared with from one group at a time, the nearest first; where the group is searched in blocks, a share of
+#: them from each, and one at least.
 PARTNERS = 8
 #: Nodes of a group that are searched together; a larger group is searched in pairs of blocks.
 BLOCK = 512
@@ -304,7 +305,7 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o.cast("long"), F.col("own")).alias("p"), F.greatest(o.cast("long"), F.col("own")).alias("q")))
     dealt = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(others)).select(
-        "signature", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "node", "label", "n", "sketch", "tried", "active")
+        "signature", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "node", "label", "n", "sketch", "tried", "active", "blocks")
     placed = dealt.repartition("signature", "p", "q").sortWithinPartitions("signature", "p", "q", "node")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
@@ -321,13 +322,14 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
 
 
 def search(held: list[tuple], part: int, whole: int) -> Iterator[tuple[int, tuple]]:
-    """For each active one of the nodes (node, label, n, sketch, tried, active) those of other components within reach."""
+    """For each active one of the nodes (node, label, n, sketch, tried, active, blocks) those of other components within reach, each pair once."""
     if not any(r[5] for r in held):
         return
     width = min(len(r[3]) for r in held)
     sketches = np.stack([folded(r[3], width) for r in held])
     labels, sizes = np.array([r[1] for r in held]), np.array([r[2] for r in held])
-    for node, label, n, sketch, tried, active in held:
+    most, made = max(1, PARTNERS // held[0][6]), set()
+    for node, label, n, sketch, tried, active, _ in held:
         if not active:
             continue
         own = folded(sketch, width)
@@ -338,9 +340,12 @@ def search(held: list[tuple], part: int, whole: int) -> Iterator[tuple[int, tupl
         for i in others[near[np.argsort(apart[near], kind="stable")]].tolist():
             other = held[i][0]
             if other not in known:
-                yield 16, (min(node, other), max(node, other))
+                pair = min(node, other), max(node, other)
+                if pair not in made:
+                    made.add(pair)
+                    yield 16, pair
                 found += 1
-                if found == PARTNERS:
+                if found == most:
                     break
 
 

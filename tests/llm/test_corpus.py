@@ -143,6 +143,16 @@ def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 3, (9, 10))
 
 
+def test_a_group_makes_a_pair_once():
+    """Both nodes of a pair propose it, and a group in several blocks takes its partners from all of them."""
+    rng = np.random.default_rng(5)
+    sketches = [rng.integers(0, 256, 64, dtype=np.uint8).tobytes() for _ in range(60)]
+    for blocks, partners in ((1, near_join.PARTNERS), (4, near_join.PARTNERS // 4), (100, 1)):
+        held = [(k, k, 10_000, s, None, True, blocks) for k, s in enumerate(sketches)]
+        pairs = [pair for _, pair in near_join.search(held, 9, 10)]
+        assert len(set(pairs)) == len(pairs) <= 60 * partners and {k for pair in pairs for k in pair} == set(range(60))
+
+
 @pytest.mark.parametrize("share", [(9, 10), (4, 5)])
 def test_linked_sets_share_a_signature(share):
     rng, found = np.random.default_rng(1), near_join.bands(share)
