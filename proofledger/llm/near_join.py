@@ -47,6 +47,8 @@ CELLS = 32
 PARTNERS = 8
 #: Nodes of a group that are searched together; a larger group is searched in pairs of blocks.
 BLOCK = 512
+#: Nodes that a task knows as signed already.
+SIGNED = 1 << 17
 MEMO_ENTRIES, MEMO_LONGEST = 1 << 19, 64
 U = np.uint64
 
@@ -206,18 +208,27 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def records(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, mark, node, n (shingles), signatures, sketch of every document."""
+    """doc_id, mark, node, n (shingles), signatures, sketch of every document; sketch NULL, and no signatures, where the task has
+    just given them for an equal set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         schemes = bands(share)
+        signed: set[int] = set()
         for batch in batches:
             for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 hashes = shingles(text.as_py(), size)
                 if not len(hashes):
-                    yield 0, (doc_id, mark, None, 0, [], b"")
+                    yield 0, (doc_id, mark, None, 0, [], None)
                     continue
+                node = node_of(hashes)
+                if node in signed:
+                    yield 0, (doc_id, mark, node, len(hashes), [], None)
+                    continue
+                if len(signed) >= SIGNED:
+                    signed.clear()
+                signed.add(node)
                 found, sketch = schemes.record(hashes)
-                yield 8 * len(found) + len(sketch), (doc_id, mark, node_of(hashes), len(hashes), found.astype(np.int64), sketch)
+                yield 8 * len(found) + len(sketch), (doc_id, mark, node, len(hashes), found.astype(np.int64), sketch)
 
     return by_rows(marked(docs), rows, RECORD)
 
@@ -231,15 +242,18 @@ def sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 hashes = shingles(text.as_py(), size)
                 yield 8 * len(hashes), (node_of(hashes), hashes.astype(np.int64))
 
-    chosen = null_safe(marked(docs), wanted, "doc_id", "mark").select("text")
-    return by_rows(chosen, rows, SET).dropDuplicates(["node"])
+    return by_rows(one_each(marked(docs), wanted).select("text"), rows, SET)
 
 
 def linked(pairs: DataFrame, shapes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """``pairs`` (a, b) and ``ok``: whether the sets link, by their exact intersection."""
     part, whole = share
-    left = shapes.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
-    right = shapes.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
+
+    def side(name: str) -> DataFrame:
+        own = shapes.select(F.col("node").alias(name), F.col("members").alias(f"of_{name}"))
+        return own.join(pairs.select(name).distinct(), name, "left_semi")  # other sets need not move
+
+    left, right = side("a"), side("b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - F.col("both")
     return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both).select(
@@ -270,7 +284,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_groups(members: DataFrame, labels: DataFrame, active: DataFrame | None) -> DataFrame:
-    """The members of signatures whose nodes lie in several components, and of which one is active, with their labels."""
+    """The members of signatures whose nodes lie in several components, and of which one is active, with their labels and
+    the blocks of their signature."""
     by = Window.partitionBy("signature")
     if active is None:
         known = members.join(labels, "node").withColumn("active", F.lit(True))
@@ -278,7 +293,7 @@ def open_groups(members: DataFrame, labels: DataFrame, active: DataFrame | None)
         known = members.join(labels.join(active.withColumn("active", F.lit(True)), "node", "left"), "node").withColumn(
             "active", F.coalesce("active", F.lit(False)))
     return known.withColumn("low", F.min("label").over(by)).withColumn("high", F.max("label").over(by)).withColumn(
-        "any", F.max("active").over(by)).where("low <> high AND any")
+        "any", F.max("active").over(by)).withColumn("blocks", F.ceil(F.count("*").over(by) / BLOCK).cast("int")).where("low <> high AND any")
 
 
 def stars(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -299,12 +314,11 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
     tried = both.groupBy("b").agg(F.collect_set("a").alias("tried")).withColumnRenamed("b", "node")
     open_ = open_groups(members, labels, active).join(sketches, "node").join(tried, "node", "left")
     part, whole = share
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("signature")) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A pair of blocks is named by the lower and the higher; a block meets each other one, and itself.
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o.cast("long"), F.col("own")).alias("p"), F.greatest(o.cast("long"), F.col("own")).alias("q")))
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(others)).select(
+    dealt = open_.withColumn("own", own).withColumn("pair", F.explode(others)).select(
         "signature", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "node", "label", "n", "sketch", "tried", "active", "blocks")
     placed = dealt.repartition("signature", "p", "q").sortWithinPartitions("signature", "p", "q", "node")
 
@@ -357,13 +371,20 @@ def folded(sketch: bytes, width: int) -> np.ndarray:
     return cells
 
 
-def null_safe(df: DataFrame, other: DataFrame, *names: str) -> DataFrame:
-    """The rows of ``df`` whose columns ``names`` are also in ``other``, NULLs alike."""
-    there = other.select(*[F.col(n).alias(f"__{n}") for n in names]).distinct()
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"__{n}"))
-    return df.join(there, same, "left_semi")
+def one_each(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``df`` (doc_id, mark, other columns) for each doc_id and mark that are also in ``wanted``, NULLs alike. The keys have no
+    NULLs, so that rows which the join has brought together need not move again to meet their equals."""
+    keys = {"__unnamed": F.col("doc_id").isNull(), "__doc": F.coalesce("doc_id", F.lit(0)), "__mark": F.col("mark")}
+    there = wanted.select(*[c.alias(k) for k, c in keys.items()]).distinct()
+    return df.withColumns(keys).join(there, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+
+
+def unlike_groups(members: DataFrame) -> DataFrame:
+    """``members`` (signature, node; no row twice) without the signatures that have the same nodes as a lesser one: near copies share
+    hundreds, and a pair is the same pair in each."""
+    groups = members.groupBy("signature").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return members.join(groups.groupBy("size", "x", "y").agg(F.min("signature").alias("signature")), "signature", "left_semi")
 
 
 def first_row() -> Column:
@@ -377,10 +398,12 @@ def near_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -
     least ``share`` of the union."""
     every = settle(records(docs, size, share), "records")
     nodes = settle(every.where("n > 0").groupBy("node").agg(first_row()).select("node", "first.*"), "nodes")
-    one = null_safe(every.where("n > 0"), nodes, "node", "doc_id", "mark").select("node", "n", "signatures", "sketch")
+    one = every.where("sketch IS NOT NULL").select("node", "n", "signatures", "sketch")
     by = Window.partitionBy("signature")
     signed = one.select("node", F.explode("signatures").alias("signature"))
-    members = settle(signed.withColumn("size", F.count("*").over(by)).where("size > 1").select("signature", "node").distinct(), "members")
+    # Equal sets of several tasks are no group.
+    shared = signed.withColumn("low", F.min("node").over(by)).withColumn("high", F.max("node").over(by)).where("low < high")
+    members = settle(unlike_groups(settle(shared.select("signature", "node").distinct(), "shared")), "members")
     sharing = settle(members.select("node").distinct(), "sharing")
     # A component is named by a set, as doc_ids may be NULL or stand for several texts.
     labels = sharing.select("node", F.col("node").alias("label"))
@@ -408,7 +431,6 @@ def one_of_each(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5))
     found = near_join(docs, size, share)
     first = found.where("component IS NOT NULL").groupBy("component").agg(first_row()).select("first.doc_id", "first.mark")
     kept = first.unionByName(found.where("component IS NULL").select("doc_id", "mark"))
-    keyed = docs.withColumn("__near_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = kept.select(F.col("doc_id").alias("__near_id"), F.col("mark").alias("__near_text")).distinct()
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_mark") == F.col("__near_text")), "left_semi").dropDuplicates(
-        ["doc_id", "__near_mark"]).drop("__near_mark")
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "__near_mark"])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), whole.alias("row"))
+    return one_each(keyed, kept).select("row.*")

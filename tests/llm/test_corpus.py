@@ -143,6 +143,27 @@ def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 3, (9, 10))
 
 
+def test_groups_of_the_same_nodes_are_searched_once(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(words[:i] + ["other"] + words[i:]), None, None, None) for i in range(0, 300, 50)]
+    rows += [rows[0], (901, rows[1][1], None, None, None)]  # equal sets, in other tasks, are one node
+    kept, settle = {}, near_join.settle
+
+    def seen(df, name):
+        kept[name] = settle(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(near_join, "settle", seen)
+    docs = frame(spark, rows).repartition(8)
+    assert {r.component_id for r in near_join.near_join(docs).collect()} == {0}
+    assert {r.component_id for r in near_join.near_join(frame(spark, rows).coalesce(1)).collect()} == {0}
+    groups = defaultdict(set)
+    for r in kept["members"].collect():
+        groups[r.signature].add(r.node)
+    sets = [frozenset(g) for g in groups.values()]
+    assert sets and min(map(len, sets)) > 1 and len(sets) == len(set(sets))
+
+
 def test_a_group_makes_a_pair_once():
     """Both nodes of a pair propose it, and a group in several blocks takes its partners from all of them."""
     rng = np.random.default_rng(5)
