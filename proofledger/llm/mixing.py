@@ -65,7 +65,8 @@ def allocate(docs: DataFrame, keep: list[str] | None = None, share: float = SHAR
     kept = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
     sized = settle(docs.select(
         kept.alias("doc"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"), "doc_id"), "sizes")
+        F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"), "doc_id",
+        F.monotonically_increasing_id().alias("row")), "sizes")
     sources = weighed_sources(sized, weights)
     level = water_level(sources, share, most)
     limit = F.col("source_size") * most
@@ -73,13 +74,15 @@ def allocate(docs: DataFrame, keep: list[str] | None = None, share: float = SHAR
     shares = sources.select(
         F.col("source").alias("own"), "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("key"), F.col("doc_id")]
-    placed = positions(sized, order, "place", "source").join(shares, F.col("source").eqNullSafe(F.col("own")))
+    # Documents are put in order without their columns, which move once, to the number of their copies.
+    placed = positions(sized.drop("doc"), order, "place", "source").join(shares, F.col("source").eqNullSafe(F.col("own")))
     expected = F.coalesce(F.least(F.lit(most), F.try_divide("target", "source_size")), F.lit(0.0))
     offset = uniform(seed, F.col("source"))
     crossed = F.floor(offset + expected * (F.col("place") + 1)) - F.floor(offset + expected * F.col("place"))
     copies = F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long")
-    return placed.select("doc", "size", "source_size", "target", copies.alias("copies")).withColumn(
-        "taken", F.col("copies") * F.col("size"))
+    plan = placed.select("row", "size", "source_size", "target", copies.alias("copies"))
+    return sized.select("row", "doc").join(plan, "row").select(
+        "doc", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -68,6 +68,14 @@ def test_targets_and_taken_words(spark, source_of):
     assert sorted(tuple(r) for r in again) == sorted((r.doc_id, r.copies) for r in got)
 
 
+def test_documents_are_put_in_order_without_their_columns(spark, monkeypatch):
+    moved, positions = [], mixing.positions
+    monkeypatch.setattr(mixing, "positions", lambda df, *a: moved.append(df.columns) or positions(df, *a))
+    rows = [(None if i % 3 else 7, "w " * (i % 5 + 1), "s") for i in range(60)]
+    assert mixing.mix(spark.createDataFrame(rows, DOC)).count() > 60
+    assert len(moved) == 2 and not any({"doc", "text"} & set(columns) for columns in moved)
+
+
 def test_mixing_of_awkward_documents(spark):
     docs = frame(spark, clashes=True)
     plan = mixing.allocate(docs)
