@@ -34,8 +34,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (packed), n_tokens and the text that the ids decode to."""
-    ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, RANKS).select("doc_id", "ids", "n_tokens", F.col("decoded").cast("string").alias("text"))
+    ids = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    return ids.select("doc_id", "ids", "n_tokens", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

@@ -32,14 +32,15 @@ from proofledger.llm.common import by_rows, portions
 CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 #: White space other than single blanks and line ends.
 OTHER_SPACE = regex.compile(r"[^\P{White_Space} \n]")
-#: The memo of a task is started anew when it holds about this many bytes, so many of them for the objects of each entry.
-MEMO_BYTES, ENTRY_BYTES = 224 << 20, 180
+#: The memo of a task holds about this many bytes at most, so many of them for the objects of each entry. When its young half
+#: is full that becomes the old one, and what was not met again since the last time goes.
+MEMO_BYTES, ENTRY_BYTES = 144 << 20, 180
 #: And never more entries than that.
 MEMO_ENTRIES = MEMO_BYTES // ENTRY_BYTES
 #: Longer pieces are not kept in the memo.
 MEMO_LONGEST = 256
 #: A task encodes texts of about this many characters at a time, and merges unknown pre-tokens of about this many bytes.
-BATCH_CHARS, MERGED_BYTES = 1 << 21, 100_000
+BATCH_CHARS, MERGED_BYTES = 1 << 20, 100_000
 BITS = 6
 #: Shift of the left id in the key of a pair of ids.
 PAIR = 20
@@ -108,6 +109,7 @@ class Encoder:
             for token, rank in ranks.items() for k in range(1, len(token))
             if token[:k] in ranks and token[k:] in ranks}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def merged(self, pieces: list[bytes]) -> list[bytes]:
@@ -179,23 +181,32 @@ class Encoder:
         return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Packed ids of chunks that are not in the memo; short ones go there."""
-        cut = [[p.encode() for p in self.pattern.findall(c)] for c in missing]
-        known = {p: None for pieces in cut for p in pieces}
-        for p in known:
-            if (whole := self.ranks.get(p)) is not None:
-                known[p] = whole.to_bytes(4, "little")
-        rest = [p for p, ids in known.items() if ids is None]
-        known.update(zip(rest, self.merged(rest), strict=True))
-        fresh = {c: b"".join([known[p] for p in pieces]) for c, pieces in zip(missing, cut, strict=True)}
-        short = {c: ids for c, ids in fresh.items() if len(c) <= MEMO_LONGEST}
-        more = sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in short.items())
-        if self.held + more > MEMO_BYTES or len(self.memo) + len(short) > MEMO_ENTRIES:
-            self.memo.clear()
-            self.held = 0
-        self.memo.update(short)
-        self.held += more
-        return fresh
+        """Packed ids of chunks that are not in the memo."""
+        cut = [self.pattern.findall(c) for c in missing]
+        # A pre-token may be a token, or a chunk that is in the memo.
+        known: dict[str, bytes | None] = {p: self.memo.get(p) for pieces in cut for p in pieces}
+        rest, unknown = [], []
+        for p, ids in known.items():
+            if ids is None:
+                text = p.encode()
+                if (whole := self.ranks.get(text)) is not None:
+                    known[p] = whole.to_bytes(4, "little")
+                else:
+                    rest.append(p)
+                    unknown.append(text)
+        known.update(zip(rest, self.merged(unknown), strict=True))
+        return {c: b"".join([known[p] for p in pieces]) for c, pieces in zip(missing, cut, strict=True)}
+
+    def keep(self, fresh: dict[str, bytes]) -> None:
+        """Short chunks go to the young half of the memo."""
+        for c, ids in fresh.items():
+            if len(c) > MEMO_LONGEST:
+                continue
+            size = len(c) + len(ids) + ENTRY_BYTES
+            if 2 * (self.held + size) > MEMO_BYTES or 2 * len(self.memo) >= MEMO_ENTRIES:
+                self.older, self.memo, self.held = self.memo, {}, 0
+            self.memo[c] = ids
+            self.held += size
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -205,7 +216,10 @@ class Encoder:
         missing = {c for cs, ids in zip(cut, looked, strict=True) if None in ids
                    for c, i in zip(cs, ids, strict=True) if i is None}
         if missing:
-            fresh = self.learn(list(missing))
+            old = self.older
+            fresh = {c: old[c] for c in missing if c in old}
+            fresh |= self.learn([c for c in missing if c not in fresh])
+            self.keep(fresh)
             looked = [[fresh[c] if i is None else i for c, i in zip(cs, ids, strict=True)] if None in ids else ids
                       for cs, ids in zip(cut, looked, strict=True)]
         return [b"".join(ids) for ids in looked]
@@ -270,6 +284,22 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return by_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The columns of ``decode`` for every text: it is encoded and its ids are decoded by one worker a task, where ``decode`` on
+    ``encode`` keeps two for each running task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.binary())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        encoder, decoder = once(Encoder, path, pattern), once(Decoder, path)
+        for batch in batches:
+            for doc_ids, texts in portions(batch, BATCH_CHARS):
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
+                    text = decoder.decode(ids)
+                    yield len(ids) + len(text), (doc_id, ids, len(ids) // 4, text)
+
+    return by_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encode`` and ``decoded``, the bytes of the text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.binary())])

@@ -78,6 +78,17 @@ def test_memo_is_bounded(encoder, library, monkeypatch):
     assert len(encoder.memo) <= 10
 
 
+def test_memo_keeps_what_is_met_again(ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_ENTRIES", 20)
+    encoder, merged = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(encoder, "merge", lambda pieces, merge=encoder.merge: merged.extend(pieces) or merge(pieces))
+    texts = [f"word{i}qz frequentzq other{i * 7}qz" for i in range(50)]
+    got = [x for t in texts for x in encoder.encode([t])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(t) for t in texts]
+    assert len(encoder.memo) + len(encoder.older) <= 20
+    assert merged.count(b" frequentzq") == 1
+
+
 def test_a_lower_rank_that_turns_up_goes_first():
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 270, b"cc": 280}
     encoder = byte_bpe.Encoder(ranks, r"\S+")
@@ -89,6 +100,7 @@ def test_a_lower_rank_that_turns_up_goes_first():
 def test_byte_bpe_of_awkward_documents(spark, library):
     docs = frame(spark, clashes=True)
     got = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert sorted(byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect(), key=str) == sorted(got, key=str)
     want = sorted((str(r[0]), library.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in documents())
     assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got) == want
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
