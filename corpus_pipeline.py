@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofledger.llm import byte_bpe, mixing, near_join, pseudonyms, weak_rules
-from proofledger.llm.common import settle, table
+from proofledger.llm.common import let_go, settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, settled = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        let_go(*settled)
+        settled = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
-from proofledger.session import work_path
+from proofledger.session import brief_shuffles, work_path
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,10 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and no lineage to repeat when an
-    executor is lost. The files stay until the application's folder is removed."""
+    executor is lost. The files stay until ``let_go``, or until the application's folder is removed."""
     path = work_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled[settled] = path
+    return settled
+
+
+_settled: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Remove the files of settled tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_settled.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

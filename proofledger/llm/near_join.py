@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb, exp, sqrt
 
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofledger.llm.common import by_rows, settle
+from proofledger.llm.common import by_rows, by_tasks, let_go, settle
 
 #: A signature covers at least this many elements of an average set, where the scheme can be chosen so.
 COVER = 2
@@ -47,6 +47,12 @@ CELLS = 32
 PARTNERS = 8
 #: Nodes of a group that are searched together; a larger group is searched in pairs of blocks.
 BLOCK = 512
+#: Shares of the signatures that are shuffled one after another.
+TURNS = 4
+#: Members of groups that are searched in one turn: so many, or so many for each node that shares a signature.
+SEARCHED, SEARCHED_EACH = 1 << 18, 4
+#: Nodes of so many sets at most are broadcast to find them where they are.
+WANTED = 1 << 20
 #: Nodes that a task knows as signed already.
 SIGNED = 1 << 17
 MEMO_ENTRIES, MEMO_LONGEST = 1 << 19, 64
@@ -193,6 +199,7 @@ RECORD = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.in
                     ("signatures", pa.list_(pa.int64())), ("sketch", pa.binary())])
 SET = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+JUDGED = pa.schema([*PAIR, ("near", pa.bool_())])
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -245,19 +252,43 @@ def sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return by_rows(one_each(marked(docs), wanted).select("text"), rows, SET)
 
 
-def linked(pairs: DataFrame, shapes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """``pairs`` (a, b) and ``ok``: whether the sets link, by their exact intersection."""
+def judged(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``pairs`` (a, b) and ``near``: whether the sketches leave it open that the sets link."""
     part, whole = share
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}")) for c in "ab")
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for n, x, y in zip((batch.column(2).to_numpy() + batch.column(4).to_numpy()).tolist(), batch.column(3).to_pylist(),
+                               batch.column(5).to_pylist(), strict=True):
+                width = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64))
+                near.append(apart * (whole + part) <= (whole - part) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], schema=JUDGED)
+
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "of_a", "n_b", "of_b")
+    return by_tasks(both, tasks, JUDGED)
+
+
+def linked(pairs: DataFrame, shapes: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``pairs`` (a, b) and ``ok``: whether the sets link, by their exact intersection. Sets whose sketches are too far apart do not
+    move."""
+    part, whole = share
+    every = settle(judged(pairs, sketches, share), "judged")
+    far, pairs = every.where("NOT near").select("a", "b", F.lit(False).alias("ok")), every.where("near")
+    few = 2 * pairs.count() <= WANTED
 
     def side(name: str) -> DataFrame:
         own = shapes.select(F.col("node").alias(name), F.col("members").alias(f"of_{name}"))
-        return own.join(pairs.select(name).distinct(), name, "left_semi")  # other sets need not move
+        wanted = pairs.select(name).distinct()
+        return own.join(F.broadcast(wanted) if few else wanted, name, "left_semi")  # other sets need not move
 
     left, right = side("a"), side("b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - F.col("both")
     return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("both", both).select(
-        "a", "b", (F.col("both") * whole >= union * part).alias("ok"))
+        "a", "b", (F.col("both") * whole >= union * part).alias("ok")).unionByName(far)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -309,10 +340,23 @@ def proposals(members: DataFrame, labels: DataFrame, sketches: DataFrame, failed
     """Pairs (a, b) that might link: for every active node its nearest partners in other components.
 
     A node that proposes nothing has no untried partner within reach, and gets none by later merges; so those that
-    took part in the last proposals are active, and at first (``active`` None) all."""
+    took part in the last proposals are active, and at first (``active`` None) all. The pairs are settled; groups are searched in
+    turns, as each of their nodes comes with its sketch."""
+    open_ = settle(open_groups(members, labels, active).select("signature", "node", "label", "active", "blocks"), "open")
+    rows = open_.agg(F.sum("blocks").cast("long").alias("n")).first().n or 0
+    turns = max(1, -(-rows // max(SEARCHED, SEARCHED_EACH * sketches.count())))
+    found = [settle(proposed(open_.where(F.pmod(F.xxhash64("signature"), F.lit(turns)) == turn), sketches, failed, share), "proposed")
+             for turn in range(turns)]
+    pairs = settle(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    let_go(open_, *found)
+    return pairs
+
+
+def proposed(groups: DataFrame, sketches: DataFrame, failed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes in ``groups`` that might link."""
     both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"), "ok"))
     tried = both.groupBy("b").agg(F.collect_set("a").alias("tried")).withColumnRenamed("b", "node")
-    open_ = open_groups(members, labels, active).join(sketches, "node").join(tried, "node", "left")
+    open_ = groups.join(sketches, "node").join(tried, "node", "left")
     part, whole = share
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # A pair of blocks is named by the lower and the higher; a block meets each other one, and itself.
@@ -379,6 +423,16 @@ def one_each(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return df.withColumns(keys).join(there, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
 
 
+def shared_signatures(one: DataFrame, turn: int) -> DataFrame:
+    """signature, node of the signatures whose turn it is and that several nodes have."""
+    mine = F.filter("signatures", lambda s: s.bitwiseAND(TURNS - 1) == turn)
+    by = Window.partitionBy("signature")
+    signed = one.select("node", F.explode(mine).alias("signature"))
+    # Equal sets of several tasks are no group.
+    shared = signed.withColumn("low", F.min("node").over(by)).withColumn("high", F.max("node").over(by)).where("low < high")
+    return shared.select("signature", "node").distinct()
+
+
 def unlike_groups(members: DataFrame) -> DataFrame:
     """``members`` (signature, node; no row twice) without the signatures that have the same nodes as a lesser one: near copies share
     hundreds, and a pair is the same pair in each."""
@@ -396,28 +450,28 @@ def near_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -
     """doc_id, mark (of the text), n_shingles, component (the least of its sets' numbers, NULL without shingles), component_id (the
     least doc_id that links reach) of every document of ``docs`` (doc_id, text). Two link when their shingles' intersection is at
     least ``share`` of the union."""
-    every = settle(records(docs, size, share), "records")
+    signed = settle(records(docs, size, share), "records")
+    every = settle(signed.drop("signatures", "sketch"), "every")
     nodes = settle(every.where("n > 0").groupBy("node").agg(first_row()).select("node", "first.*"), "nodes")
-    one = every.where("sketch IS NOT NULL").select("node", "n", "signatures", "sketch")
-    by = Window.partitionBy("signature")
-    signed = one.select("node", F.explode("signatures").alias("signature"))
-    # Equal sets of several tasks are no group.
-    shared = signed.withColumn("low", F.min("node").over(by)).withColumn("high", F.max("node").over(by)).where("low < high")
-    members = settle(unlike_groups(settle(shared.select("signature", "node").distinct(), "shared")), "members")
+    one = signed.where("sketch IS NOT NULL").select("node", "n", "signatures", "sketch")
+    shared = [settle(shared_signatures(one, turn), "shared") for turn in range(TURNS)]
+    members = settle(unlike_groups(reduce(DataFrame.unionByName, shared)), "members")
     sharing = settle(members.select("node").distinct(), "sharing")
     # A component is named by a set, as doc_ids may be NULL or stand for several texts.
     labels = sharing.select("node", F.col("node").alias("label"))
-    shapes = settle(sets(docs, size, nodes.join(sharing, "node", "left_semi").select("doc_id", "mark")), "sets")
     sketches = settle(one.join(sharing, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+    let_go(signed, *shared)
+    shapes = settle(sets(docs, size, nodes.join(sharing, "node", "left_semi").select("doc_id", "mark")), "sets")
     pairs = settle(stars(members, labels), "pairs")
     failed = active = None
     while not pairs.isEmpty():
-        compared = settle(linked(pairs, shapes, share), "compared")
+        compared = settle(linked(pairs, shapes, sketches, share), "compared")
         labels = merged(labels, compared.where("ok"))
         missed = compared.where("NOT ok")
         failed = missed.limit(0) if failed is None else failed.unionByName(missed)
-        pairs = settle(proposals(members, labels, sketches, failed, share, active), "pairs")
+        pairs = proposals(members, labels, sketches, failed, share, active)
         active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    let_go(shapes, sketches)
     named = settle(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     component = named.select("node", "component").join(least, "component")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dirs: dict[str, str] = {}
+_cleaning: dict[str, tuple[int, str | None]] = {}
+_lock = threading.Lock()
 
 
 def build_session(app_name: str = "proofledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared folder that belongs to this application only."""
     return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *parts])
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run herein go when it ends, not when the driver next collects its garbage: for queries that
+    write what they find, which nothing computes again."""
+    key = spark.conf.get("spark.app.id")
+    with _lock:
+        depth, before = _cleaning.get(key) or (0, spark.conf.get(CLEANUP_KEY, None))
+        _cleaning[key] = depth + 1, before
+        spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            depth, before = _cleaning.pop(key)
+            if depth > 1:
+                _cleaning[key] = depth - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP_KEY)
+            else:
+                spark.conf.set(CLEANUP_KEY, before)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import corpus_pipeline
 import numpy as np
@@ -172,6 +175,37 @@ def test_groups_of_the_same_nodes_are_searched_once(spark, monkeypatch):
     assert sets and min(map(len, sets)) > 1 and len(sets) == len(set(sets))
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_disk_holds_what_is_still_read(spark, monkeypatch):
+    kept, settle, moved = defaultdict(list), near_join.settle, []
+
+    def seen(df, name):
+        before = shuffle_files(spark)
+        kept[name].append(settle(df, name))
+        wait = time.time() + 20
+        while shuffle_files(spark) - before and time.time() < wait:
+            time.sleep(0.1)
+        assert not shuffle_files(spark) - before
+        if name == "judged":
+            moved.extend(kept[name][-1].collect())
+        return kept[name][-1]
+
+    monkeypatch.setattr(near_join, "settle", seen)
+    words = [f"v{k}" for k in range(400)]
+    # Passages in common, but too few to link: their sets stay where they are.
+    apart = [(2000 + i, " ".join(words[:200] + [f"z{i}.{k}" for k in range(200)]), None, None, None) for i in range(12)]
+    rows = family() + apart
+    got = near_join.near_join(frame(spark, rows), 3, (9, 10)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 3, (9, 10))
+    assert any(r.near for r in moved) and not all(r.near for r in moved)
+    for name in ("records", "shared", "sets", "sketches"):
+        assert kept[name] and not any(os.path.exists(urlparse(d).path) for t in kept[name] for d in {f.rsplit("/", 1)[0] for f in t.inputFiles()})
+
+
 def test_a_group_makes_a_pair_once():
     """Both nodes of a pair propose it, and a group in several blocks takes its partners from all of them."""
     rng = np.random.default_rng(5)
