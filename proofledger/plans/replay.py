@@ -168,10 +168,19 @@ def candidates(prints: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return real.join(stored, "question_id")
 
 
+def differing_rows(rows: DataFrame) -> DataFrame:
+    """Per candidate attempt with differing rows, how many these are."""
+    return row_differences(rows).groupBy(*RESULT_KEY).agg(F.count(F.lit(1)).alias("differing"))
+
+
 def typed_comparison(prints: DataFrame, rows: DataFrame) -> DataFrame:
     """Per candidate attempt: outcome, fingerprint, whether it matches, and whether all rows are equal."""
+    return judged(prints, differing_rows(rows))
+
+
+def judged(prints: DataFrame, differing: DataFrame) -> DataFrame:
+    """``typed_comparison`` from the ``differing_rows``, which a caller may have stored."""
     want = references(prints).select("question_id", F.col("rows").alias("want_rows"), F.col("sha256").alias("want_sha"))
-    differing = row_differences(rows).groupBy(*RESULT_KEY).agg(F.count(F.lit(1)).alias("differing"))
     joined = prints.where(F.col("attempt_n") != REFERENCE).join(want, "question_id").join(differing, RESULT_KEY, "left")
     same_count = F.col("rows").eqNullSafe(F.col("want_rows"))
     return joined.select(

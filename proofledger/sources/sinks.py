@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofledger import schemas
+from proofledger.session import brief_shuffles
 
 
 def run_path(root: str, run_date: str, serializer_version: int) -> str:
@@ -64,4 +65,5 @@ def replay_documents(attempts: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").json(path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,3 +307,25 @@ def test_identity_gate_comes_before_any_query(spark, tmp_path):
     with pytest.raises(ValueError, match="identity drift"):
         jobs.verify_published(spark, *args, str(tmp_path / "w2"), str(tmp_path / "o2"))
     assert not (tmp_path / "w2").exists()
+
+
+def test_documents_leave_no_shuffles_behind(spark, tmp_path):
+    from workloads import source_queries
+
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    items = spark.range(60).selectExpr(
+        "id DIV 3 AS l_orderkey", "id + 5 AS l_partkey", "id % 4 AS l_suppkey", "cast(id % 3 AS int) AS l_linenumber", "2.0D AS l_quantity",
+        "id * 1.25D AS l_extendedprice", "0.04D AS l_discount", "id % 2 / 10 AS l_tax", "'A' AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp_ntz'1996-03-01 00:00:00' + make_dt_interval(cast(id AS int)) AS l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = shuffle_files()
+    found = source_queries.replay_documents(spark, str(tmp_path))
+    wait = time.time() + 20
+    while shuffle_files() - before and time.time() < wait:
+        time.sleep(0.1)
+    assert not shuffle_files() - before
+    kinds = {k: {(r.match, r.direct_rows_equal) for r in found.collect() if r.question_id % 7 == k} for k in (0, 1, 3, 5)}
+    assert kinds == {0: {(True, True)}, 1: {(False, False)}, 3: {(False, False)}, 5: {(False, False)}}

@@ -17,7 +17,7 @@ from proofledger.operators.ordering import numbered
 from proofledger.plans import staging
 from proofledger.plans.fingerprints import line_columns
 from proofledger.plans.questions import Subject
-from proofledger.session import work_path
+from proofledger.session import brief_shuffles, work_path
 from proofledger.sources import publish
 from proofledger.sources.manifest import file_manifest
 
@@ -123,6 +123,12 @@ def made_once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
         return _made[key]
 
 
+def write_once(df: DataFrame, path: str, *parts: str) -> None:
+    """``df`` in a new folder, without the shuffles that made it."""
+    with brief_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").partitionBy(*parts).parquet(path)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path nobody has written to yet."""
     return work_path(spark, what, uuid.uuid4().hex)
@@ -316,7 +322,7 @@ def order_rows(spark: SparkSession, sf_dir: str, attempt_n: int) -> DataFrame:
     def make(path: str) -> None:
         cells = order_results(spark, sf_dir)
         both = cells.withColumn("attempt_n", F.lit(0)).unionByName(changed_results(cells).withColumn("attempt_n", F.lit(1)))
-        both.write.mode("errorifexists").partitionBy("attempt_n").parquet(path)
+        write_once(both, path, "attempt_n")
 
     cells = spark.read.parquet(made_once(spark, sf_dir, "order_cells", make)).where(F.col("attempt_n") == attempt_n)
     return as_result_rows(cells, attempt_n)

@@ -62,9 +62,18 @@ def compared(spark, sf_dir):
 
 
 def typed_comparison(spark, sf_dir):
-    references, attempts = _order_prints(spark, sf_dir)
-    rows = an.order_rows(spark, sf_dir, 0).unionByName(an.order_rows(spark, sf_dir, 1))
-    return rp.typed_comparison(references.unionByName(attempts), rows)
+    """Prints and numbers of differing rows are written before they meet: the rows' text is shuffled for each, and would lie on the disk
+    for both until the end."""
+    def prints(path):
+        references, attempts = _order_prints(spark, sf_dir)
+        an.write_once(references.unionByName(attempts), path)
+
+    def differing(path):
+        rows = an.order_rows(spark, sf_dir, 0).unionByName(an.order_rows(spark, sf_dir, 1))
+        an.write_once(rp.differing_rows(rows), path)
+
+    found, differ = (spark.read.parquet(an.made_once(spark, sf_dir, f"order_{make.__name__}", make)) for make in (prints, differing))
+    return rp.judged(found, differ)
 
 
 def order_differences(spark, sf_dir, extra_rows=False):
