@@ -431,6 +431,27 @@ def test_words_of_any_rank_are_exchanged_one_by_one(spark, monkeypatch, whole):
     assert found > 11_900 and sum(max(c.values(), default=0) for c in held.values()) > 0.9 * found
 
 
+def test_rounds_read_words_where_they_are(spark, monkeypatch):
+    rng, found = np.random.default_rng(8), []
+    texts = [" ".join(f"w{k}" for k in rng.geometric(0.02, 60)) for _ in range(120)]
+    docs = class_lm.prepared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False))
+    words = class_lm.vocabulary(docs).cache()
+    for whole in (0, 1 << 24):
+        monkeypatch.setattr(class_lm, "WHOLE", whole)
+        model = class_lm.learned(words, docs, rounds=3)
+        found.append({r.word: r["class"] for r in model.table.collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) > 20
+
+    class Seen(class_lm.Arrays):
+        def move(self, *args):
+            before = shuffle_files(spark)
+            super().move(*args)
+            assert not shuffle_files(spark) - before  # no pair moves in a round
+
+    monkeypatch.setattr(class_lm, "Arrays", Seen)
+    class_lm.learned(words, docs, rounds=2)
+
+
 def test_classes_grow_and_scores_do_not_depend_on_what_is_broadcast(spark, sf_dir, monkeypatch):
     assert class_lm.n_classes(100) == 48 < class_lm.n_classes(10 ** 6) < class_lm.n_classes(10 ** 7)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 < 3")
